@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode White_Space characters, as text and as a regex class.
+# The Unicode White_Space characters.
 SPACES = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # A line of this many bytes or more is refused by the line reader.
 LONG_LINE_BYTES = 65536
@@ -29,16 +28,15 @@ def count_of(text: Column, needle: str) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text: a final newline adds no line, one ``\\r`` before each end is dropped."""
-    plain = F.when(
-        F.contains(text, F.lit("\r")),
-        F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\\r\\z", ""),
+    # Without its last newline the text splits into exactly its lines.
+    body = F.when(
+        F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)
     ).otherwise(text)
-    parts = F.split(plain, "\n", -1)
-    return (
-        F.when(text == "", F.array().cast("array<string>"))
-        .when(F.endswith(text, F.lit("\n")), F.slice(parts, F.lit(1), F.size(parts) - 1))
-        .otherwise(parts)
-    )
+    plain = F.when(
+        F.contains(body, F.lit("\r")),
+        F.regexp_replace(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\\r\\z", ""),
+    ).otherwise(body)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(plain, "\n", -1))
 
 
 def line_count(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafledger.functions import linecodes, sniff, tokens
@@ -64,17 +64,31 @@ def age_bucket(mtime: Column, as_of: dt.datetime) -> Column:
     return chosen.otherwise(AGE_BUCKETS[-1][0])
 
 
-def facts(corpus: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
-    """One narrow row per file; ``as_of`` adds ``age_bucket``."""
+def _once(df: DataFrame, name: str, expensive: Column) -> DataFrame:
+    """Add a column that filters above will read rather than compute again.
+
+    Spark moves filters below projections by repeating the projected
+    expressions in them; a generated column stops that.
+    """
+    return df.select("*", F.explode(F.array(expensive)).alias(name))
+
+
+def facts(
+    corpus: DataFrame, as_of: dt.datetime | None = None, with_lines: bool = True
+) -> DataFrame:
+    """One narrow row per file; ``as_of`` adds ``age_bucket``.
+
+    ``with_lines=False`` leaves out the line measures, whose one pass over the
+    text would otherwise be made even where they are not used.
+    """
     require(corpus, "relpath", "size_bytes")
     path, text, content = F.col("relpath"), text_of(corpus), bytes_of(corpus)
     ext_key = P.extension_key(path)
     textual = sniff.is_text(ext_key, content)
     times = [c for c in ("mtime",) if c in corpus.columns]
-    if as_of is not None:
-        require(corpus, "mtime")
-    wide = corpus.select(
+    columns = [
         "relpath",
+        F.lit(1).cast("long").alias("files"),
         "size_bytes",
         *times,
         P.extension(path).alias("ext"),
@@ -83,34 +97,25 @@ def facts(corpus: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
         sniff.has_nul(content).alias("is_binary"),
         F.when(textual, tokens.file_tokens(ext_key, text, F.col("size_bytes")))
         .otherwise(0).alias("tokens"),
-        F.when(
-            ext_key.isNotNull() & ~TX.has_long_line(text), linecodes.line_codes(ext_key, text)
-        ).alias("codes"),
-    )
-    out = wide.select(
-        "relpath",
-        F.lit(1).cast("long").alias("files"),
-        "size_bytes",
-        *times,
-        "ext",
-        "ext_key",
-        "is_text",
-        "is_binary",
-        "tokens",
-        F.col("codes").isNotNull().cast("long").alias("measured"),
-        *[
-            F.coalesce(c, F.lit(0)).alias(n)
-            for n, c in metric_columns(F.col("codes")).items()
-        ],
         size_bucket(F.col("size_bytes")).alias("size_bucket"),
+    ]
+    if as_of is not None:
+        columns.append(age_bucket(F.col("mtime"), as_of).alias("age_bucket"))
+    if not with_lines:
+        return corpus.select(*columns)
+    codes = linecodes.line_codes(ext_key, text)
+    coded = _once(corpus, "codes", F.when(ext_key.isNotNull() & ~TX.has_long_line(text), codes))
+    return coded.select(
+        *columns,
+        F.col("codes").isNotNull().cast("long").alias("measured"),
+        *[F.coalesce(c, F.lit(0)).alias(n) for n, c in metric_columns(F.col("codes")).items()],
     )
-    return out if as_of is None else out.withColumn("age_bucket", age_bucket(F.col("mtime"), as_of))
 
 
 def condense(file_facts: DataFrame) -> DataFrame:
     """Facts summed per extension and class: as many rows as there are combinations."""
     classes = [c for c in (*CLASSES, "age_bucket") if c in file_facts.columns]
-    sums = [F.sum(m).alias(m) for m in MEASURES]
+    sums = [F.sum(m).alias(m) for m in MEASURES if m in file_facts.columns]
     if "mtime" in file_facts.columns:
         sums += [F.min("mtime").alias("oldest"), F.max("mtime").alias("newest")]
     summed = file_facts.groupBy(*classes).agg(*sums)
@@ -191,15 +196,24 @@ def complexity_totals(f: DataFrame) -> DataFrame:
 
 
 def _with_share(grouped: DataFrame) -> DataFrame:
-    """Add the share of all files in percent, as a scalar subquery of the small result."""
-    total = grouped.agg(F.sum("files").cast("double")).scalar()
-    return grouped.withColumn("percentage", F.col("files") / total * 100)
+    """Add the share of all files in percent.
+
+    The total is a scalar subquery over the same groups.  It sums every count
+    of the group, used or not, so that it needs the same columns and Spark
+    reuses the shuffle it has written instead of reading the corpus again.
+    """
+    counts = [c for c, kind in grouped.dtypes if kind == "bigint"]
+    totals = grouped.agg(F.struct(*[F.sum(c).alias(c) for c in counts])).scalar()
+    return grouped.withColumn(
+        "percentage", F.col("files") / totals["files"].cast("double") * 100
+    )
 
 
 def language_metrics(f: DataFrame) -> DataFrame:
     """Line sums per lower-cased extension over measured files."""
     grouped = (
-        f.where("measured > 0")
+        require(f, "measured")
+        .where("measured > 0")
         .groupBy("ext_key")
         .agg(
             F.sum("measured").alias("files"),
@@ -211,7 +225,7 @@ def language_metrics(f: DataFrame) -> DataFrame:
 
 def complex_files(file_facts: DataFrame) -> DataFrame:
     """Files that are long or score high; needs one row per file."""
-    return file_facts.where(
+    return require(file_facts, "measured").where(
         (F.col("measured") > 0)
         & ((F.col("lines") > COMPLEX_LINES) | (F.col("complexity_score") > COMPLEX_SCORE))
     ).select("relpath", "lines", "complexity_score")
@@ -248,16 +262,34 @@ def language_stats(f: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     counts = per_ext.groupBy("language").agg(
         F.sum("files").alias("files"),
         F.sum("size_bytes").alias("size_bytes"),
-        F.count(F.lit(1)).alias("extension_count"),
+        F.count("extension").alias("extension_count"),
+    )
+    # One row per language, 32 at most: one window and a broadcast are enough.
+    everything = Window.partitionBy(F.lit(0))
+    shared = counts.withColumn(
+        "percentage", F.col("files") / F.sum("files").over(everything).cast("double") * 100
+    )
+    # Both readers of ``per_ext`` use all its columns, so its shuffle is shared.
+    listed = F.when(
+        F.col("extension_count") <= list_limit,
+        F.struct("extension", per_ext["files"], per_ext["size_bytes"]),
+    )
+    known = [c for c in shared.columns if c != "language"]
+    joined = per_ext.join(
+        F.broadcast(shared.withColumnsRenamed({"files": "all_files", "size_bytes": "all_bytes"})),
+        "language",
+    )
+    grouped = joined.groupBy("language").agg(
+        F.any_value("all_files").alias("files"),
+        F.any_value("all_bytes").alias("size_bytes"),
+        F.any_value("extension_count").alias("extension_count"),
+        F.any_value("percentage").alias("percentage"),
+        F.collect_list(listed).alias("listed"),
     )
-    # The counts have one row per language: 32 at most.
-    listed = (
-        per_ext.join(F.broadcast(counts.select("language", "extension_count")), "language")
-        .where(F.col("extension_count") <= list_limit)
-        .groupBy("language")
-        .agg(F.sort_array(F.collect_list("extension")).alias("extensions"))
+    names = F.transform(F.sort_array("listed"), lambda e: e["extension"])
+    return grouped.select(
+        "language", *known, F.when(F.size("listed") > 0, names).alias("extensions")
     )
-    return _with_share(counts.join(F.broadcast(listed), "language", "left"))
 
 
 def top_languages(f: DataFrame, limit: int = 0) -> DataFrame:

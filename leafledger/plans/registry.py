@@ -44,6 +44,10 @@ def _union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return S.facts(_union(spark, sf), with_lines=False)
+
+
+def _line_facts(spark: SparkSession, sf: str) -> DataFrame:
     return S.facts(_union(spark, sf))
 
 
@@ -209,7 +213,7 @@ def tokens_default(spark, sf):
 
 @query
 def estimate_tokens(spark, sf):
-    return S.facts(_union(spark, sf)).select("relpath", "tokens")
+    return _facts(spark, sf).select("relpath", "tokens")
 
 
 @query
@@ -222,7 +226,7 @@ def tokens_rough(spark, sf):
 
 @query
 def basic_stats(spark, sf):
-    return S.basic_stats(S.facts(D.sniff_corpus(spark, sf)))
+    return S.basic_stats(S.facts(D.sniff_corpus(spark, sf), with_lines=False))
 
 
 @query
@@ -247,22 +251,22 @@ def size_distribution(spark, sf):
 
 @query
 def mtime_distribution(spark, sf):
-    return S.mtime_distribution(S.facts(D.corpus(spark, sf), AS_OF))
+    return S.mtime_distribution(S.facts(D.corpus(spark, sf), AS_OF, with_lines=False))
 
 
 @query
 def complexity_totals(spark, sf):
-    return S.complexity_totals(_facts(spark, sf))
+    return S.complexity_totals(_line_facts(spark, sf))
 
 
 @query
 def language_metrics(spark, sf):
-    return S.language_metrics(_facts(spark, sf))
+    return S.language_metrics(_line_facts(spark, sf))
 
 
 @query
 def complex_files(spark, sf):
-    return S.complex_files(_facts(spark, sf))
+    return S.complex_files(_line_facts(spark, sf))
 
 
 def _flat(stats: DataFrame) -> DataFrame:
@@ -401,7 +405,7 @@ def export_files(spark, sf):
 def export_metadata(spark, sf):
     files = D.corpus(spark, sf)
     row = render.export_metadata(
-        S.basic_stats(S.facts(files)), S.directory_count(paths.derive_entries(files)), files,
+        S.basic_stats(S.facts(files, with_lines=False)), S.directory_count(paths.derive_entries(files)), files,
         target="corpus", extensions=EXTENSIONS, max_file_size=SMALL_FILE, character_limit=BUDGET,
     )
     return row.select(
