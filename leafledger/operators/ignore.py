@@ -11,6 +11,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafledger.functions import globs
 from leafledger.functions import paths as P
@@ -25,7 +26,12 @@ COMPILED_RULES, COMPILED_RUNS = 500, 24
 INNER_GRAM = 3
 
 
-@F.pandas_udf("struct<regex:string,kind:string,anchor:string>")
+_TRANSLATION = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("regex", "kind", "anchor")]
+)
+
+
+@F.pandas_udf(_TRANSLATION)
 def _translated(patterns: pd.Series) -> pd.DataFrame:
     """Regex of each glob and a literal that every match must contain.
 
