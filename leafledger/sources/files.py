@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,19 @@ from leafledger.schema import require
 from leafledger.session import shared_dir
 
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-LISTED = "relpath string, is_dir boolean, size_bytes long, mtime timestamp, warning string"
-LOADED = "relpath string, size_bytes long, mtime timestamp, content binary"
+# Times travel as microseconds.
+LISTED = pa.schema(
+    [
+        ("relpath", pa.string()), ("is_dir", pa.bool_()), ("size_bytes", pa.int64()),
+        ("mtime", pa.int64()), ("warning", pa.string()),
+    ]
+)
+LOADED = pa.schema(
+    [
+        ("relpath", pa.string()), ("size_bytes", pa.int64()), ("mtime", pa.int64()),
+        ("content", pa.binary()),
+    ]
+)
 LISTING_BATCH = 10_000
 LOADING_BATCH_BYTES = 64 * 1024 * 1024
 
@@ -48,6 +59,12 @@ def read_corpus(spark: SparkSession, root: str, include_dotfiles: bool = False)
     )
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def _list_one_level(root: str, include_dotfiles: bool):
     def scan(folder: str) -> Iterator[tuple]:
         where = os.path.join(root, folder) if folder else root
@@ -56,27 +73,30 @@ def _list_one_level(root: str, include_dotfiles: bool):
                 for item in found:
                     if item.name.startswith(".") and not include_dotfiles:
                         continue
-                    is_dir = item.is_dir(follow_symlinks=False)
                     path = f"{folder}/{item.name}" if folder else item.name
+                    shown = path.encode("utf-8", "backslashreplace").decode()
+                    if shown != path:
+                        yield shown, False, None, None, "name is not UTF-8"
+                        continue
+                    is_dir = item.is_dir(follow_symlinks=False)
                     try:
                         facts = item.stat()
-                        yield path, is_dir, facts.st_size, pd.Timestamp(facts.st_mtime, unit="s"), None
+                        yield path, is_dir, facts.st_size, facts.st_mtime_ns // 1000, None
                     except OSError as error:
                         yield path, is_dir, None, None, str(error)
         except OSError as error:
             yield folder, True, None, None, str(error)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["relpath", "is_dir", "size_bytes", "mtime", "warning"]
+    def batches(levels: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for frame in frames:
-            for folder in frame["relpath"]:
+        for level in levels:
+            for folder in level.column("relpath").to_pylist():
                 for row in scan(folder):
                     rows.append(row)
                     if len(rows) == LISTING_BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _batch(rows, LISTED)
                         rows = []
-        yield pd.DataFrame(rows, columns=columns).astype({"is_dir": "bool", "warning": "object"})
+        yield _batch(rows, LISTED)
 
     return batches
 
@@ -99,7 +119,11 @@ def list_entries(spark: SparkSession, root: str, include_dotfiles: bool = False)
         spread = max(1, spark.sparkContext.defaultParallelism)
         listed = (
             level.repartition(spread, "relpath")
-            .mapInPandas(_list_one_level(root, include_dotfiles), LISTED)
+            .mapInArrow(
+                _list_one_level(root, include_dotfiles),
+                "relpath string, is_dir boolean, size_bytes long, mtime long, warning string",
+            )
+            .withColumn("mtime", F.timestamp_micros("mtime"))
             .checkpoint()
         )
         found = listed if found is None else found.unionByName(listed)
@@ -122,22 +146,23 @@ def load_contents(entries: DataFrame, root: str) -> DataFrame:
     """Contents of the files among ``entries``; unreadable files are left out."""
     files = require(entries, "relpath", "is_dir", "size_bytes", "mtime").where(~F.col("is_dir"))
 
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["relpath", "size_bytes", "mtime", "content"]
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for frame in frames:
-            for item in frame.itertuples(index=False):
+        for batch in batches:
+            for path, mtime in zip(*(batch.column(c).to_pylist() for c in ("relpath", "mtime"))):
                 try:
-                    with open(os.path.join(root, item.relpath), "rb") as stream:
+                    with open(os.path.join(root, path), "rb") as stream:
                         content = stream.read()
                 except OSError:
                     continue
-                rows.append((item.relpath, len(content), item.mtime, content))
+                rows.append((path, len(content), mtime, content))
                 held += len(content)
                 if held >= LOADING_BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield _batch(rows, LOADED)
                     rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
+        yield _batch(rows, LOADED)
 
-    return files.select("relpath", "size_bytes", "mtime").mapInPandas(load, LOADED)
+    loaded = files.select("relpath", F.unix_micros("mtime").alias("mtime")).mapInArrow(
+        load, "relpath string, size_bytes long, mtime long, content binary"
+    )
+    return loaded.withColumn("mtime", F.timestamp_micros("mtime"))
