@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafledger.functions.lookups import COMMENT_SYNTAX
+from leafledger.functions.lookups import COMMENT_SYNTAX, one_of
 from leafledger.functions.text import split_lines, strip
 
 # What makes a code line complex, and by how much.
@@ -42,53 +42,60 @@ COMMENT, CODE = "swi/p", "0123qrtu"
 _INSIDE = "(?:(?<=s)|\\G(?!^)(?<![wpqrtu]))(b*+)[^b]"
 
 
-def _line_code(line: Column, syntax: tuple[str | None, str | None, str | None]) -> Column:
-    prefix, start, end = syntax
+def comment_syntax(ext_key: Column) -> Column:
+    """``struct<prefix, start, end>`` of an extension; parts it lacks are null."""
+
+    def part(at: int) -> Column:
+        chosen = F.lit(None).cast("string")
+        for syntax, extensions in COMMENT_SYNTAX.items():
+            chosen = F.when(one_of(ext_key, extensions), F.lit(syntax[at])).otherwise(chosen)
+        return chosen
+
+    return F.struct(*[part(i).alias(n) for i, n in enumerate(("prefix", "start", "end"))])
+
+
+def _line_code(line: Column, syntax: Column) -> Column:
+    trimmed = strip(line)
     control, function = F.rlike(line, F.lit(CONTROL_LINE)), F.rlike(line, F.lit(FUNCTION_HEAD))
-    # Both patterns need one of these words; the test spares most lines the regexes.
+    # Both patterns need one of these; the test spares most lines the regexes.
     worth = F.contains(line, F.lit("{")) | F.contains(line, F.lit("func"))
 
-    def kind(comment: str, letters: str) -> Column:
-        code = F.when(
-            worth,
+    def code(letters: str) -> Column:
+        featured = (
             F.when(control & function, letters[3])
             .when(control, letters[2])
             .when(function, letters[1])
-            .otherwise(letters[0]),
-        ).otherwise(letters[0])
-        if prefix is None:
-            return code
-        return F.when(F.startswith(strip(line), F.lit(prefix)), comment).otherwise(code)
-
-    blank = F.when(strip(line) == "", "b")
-    if start is None:
-        return blank.otherwise(kind("/", "0123"))
-    has_start, has_end = F.contains(line, F.lit(start)), F.contains(line, F.lit(end))
+            .otherwise(letters[0])
+        )
+        return F.when(worth, featured).otherwise(letters[0])
+
+    # Null parts make these null, which a condition takes as false.
+    has_start, has_end = F.contains(line, syntax["start"]), F.contains(line, syntax["end"])
+    by_prefix = syntax["prefix"].isNotNull() & F.startswith(trimmed, syntax["prefix"])
     return (
-        blank.when(has_start & has_end, "w")
+        F.when(trimmed == "", "b")
+        .when(has_start & has_end, "w")
         .when(has_start, "s")
-        .when(has_end, kind("p", "qrtu"))
-        .otherwise(kind("/", "0123"))
+        .when(by_prefix & has_end, "p")
+        .when(by_prefix, "/")
+        .when(has_end, code("qrtu"))
+        .otherwise(code("0123"))
     )
 
 
 def line_codes(ext_key: Column, text: Column) -> Column:
     """One letter per line of ``text`` under the comment syntax of its extension."""
     lines = split_lines(text)
-
-    def coded(syntax) -> Column:
-        return F.array_join(F.transform(lines, lambda line: _line_code(line, syntax)), "")
-
-    chosen = None
-    for syntax, extensions in COMMENT_SYNTAX.items():
-        codes = coded(syntax)
-        if syntax[1] is not None:
-            codes = F.when(
-                F.contains(codes, F.lit("s")), F.regexp_replace(codes, _INSIDE, "$1i")
-            ).otherwise(codes)
-        test = ext_key.isin(extensions.split())
-        chosen = F.when(test, codes) if chosen is None else chosen.when(test, codes)
-    return chosen.otherwise(coded((None, None, None)))
+    # The inner array binds the syntax once per file instead of once per line.
+    codes = F.transform(
+        F.array(comment_syntax(ext_key)),
+        lambda syntax: F.array_join(F.transform(lines, lambda line: _line_code(line, syntax)), ""),
+    )
+    marked = F.transform(
+        codes,
+        lambda c: F.when(F.contains(c, F.lit("s")), F.regexp_replace(c, _INSIDE, "$1i")).otherwise(c),
+    )
+    return F.get(marked, F.lit(0))
 
 
 def kinds(codes: Column) -> Column:

@@ -123,6 +123,12 @@ def by_extension(table: dict) -> dict:
     return {ext: value for value, exts in table.items() for ext in exts.split()}
 
 
+def one_of(value: Column, names: str | list[str]) -> Column:
+    """Membership in a fixed list of names without commas; null stays null."""
+    listed = names.split() if isinstance(names, str) else names
+    return F.find_in_set(value, F.lit(",".join(listed))) > 0
+
+
 def map_column(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 

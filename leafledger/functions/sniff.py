@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafledger.functions.lookups import TEXT_EXTENSIONS
+from leafledger.functions.lookups import TEXT_EXTENSIONS, one_of
 
 SNIFF_BYTES = 512
 VALID_SHARE = 0.8
@@ -49,7 +49,7 @@ def looks_textual(content: Column) -> Column:
 
 def is_text(ext_key: Column, content: Column) -> Column:
     """A known text extension decides; then emptiness; then the byte tests."""
-    known = F.coalesce(ext_key.isin(TEXT_EXTENSIONS), F.lit(False))
+    known = F.coalesce(one_of(ext_key, TEXT_EXTENSIONS), F.lit(False))
     return (
         F.when(known, True)
         .when(F.octet_length(content) == 0, True)

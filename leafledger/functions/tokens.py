@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafledger.functions.lookups import TOKEN_FAMILIES
+from leafledger.functions.lookups import TOKEN_FAMILIES, one_of
 from leafledger.functions.text import count_of, has_long_line, split_lines
 
 # Weights; the symbols counted in code and the separators of data
@@ -109,7 +109,7 @@ def file_tokens(ext_key: Column, text: Column, size_bytes: Column) -> Column:
     """Tokens of a file by its extension's family; a quarter of its bytes if a line is too long."""
     counted = F.when(has_long_line(text), rough_tokens(size_bytes))
     for family, extensions in TOKEN_FAMILIES.items():
-        counted = counted.when(ext_key.isin(extensions.split()), family_total(family, text))
+        counted = counted.when(one_of(ext_key, extensions), family_total(family, text))
     return counted.otherwise(family_total("other", text)).cast("long")
 
 

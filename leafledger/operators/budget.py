@@ -87,7 +87,7 @@ def with_budget(
     narrow = sized.select(
         "tree_key", F.when(F.col("too_large"), F.lit(0)).otherwise(written).cast("long").alias("written")
     )
-    ends = running_total(narrow, F.col("written"), ["tree_key"], name="end")
+    ends = running_total(narrow, "written", ["tree_key"], name="end")
     cut = ends.where(F.col("end") > limit).agg(
         F.min(F.struct("tree_key", (F.col("end") - F.col("written")).alias("start"))).alias("cut")
     )

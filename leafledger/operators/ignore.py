@@ -20,6 +20,7 @@ from leafledger.operators.lines import split_lines
 from leafledger.operators.running import running_total
 from leafledger.operators.spread import spread_join
 from leafledger.schema import require
+from leafledger.session import shared_dir
 
 # Rule tables up to this size become one expression; larger ones are joined.
 COMPILED_RULES, COMPILED_RUNS = 500, 24
@@ -100,7 +101,8 @@ def _distinct_rules(rules: DataFrame) -> DataFrame:
 
 
 def _verdict(rule_no: Column, is_negation: Column) -> Column:
-    return F.struct(rule_no.cast("long").alias("rule_no"), is_negation.alias("is_negation"))
+    """Rule number and outcome as one number: the largest is that of the last rule."""
+    return rule_no.cast("long") * 2 + is_negation.cast("long")
 
 
 def _alternatives(patterns: list[str]) -> str | None:
@@ -143,44 +145,47 @@ def _last_bare_match(rows, is_dir: Column) -> Column:
     return F.coalesce(*choices)
 
 
-def _anchors(paths: DataFrame, kind: str, lengths: list[int]) -> DataFrame:
+def _offered(path: Column, kind: str, lengths: list[int]) -> Column:
     """Literals of the given lengths that a path offers to rules of ``kind``."""
     sizes = F.array(*[F.lit(n) for n in lengths])
-    path = F.col("relpath")
+
+    def fitting(text: Column) -> Column:
+        return F.filter(sizes, lambda n: n <= F.length(text))
+
     if kind == "tail":
-        fitting = F.filter(sizes, lambda n: n <= F.length(path))
-        offered = F.transform(fitting, lambda n: F.right(path, n))
-    elif kind == "head":
+        return F.transform(fitting(path), lambda n: F.right(path, n))
+    if kind == "head":
         parts = F.split(path, "/")
         starts = F.transform(
             F.sequence(F.lit(1), F.size(parts)),
             lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "/"),
         )
-        offered = F.flatten(
-            F.transform(
-                starts,
-                lambda s: F.transform(
-                    F.filter(sizes, lambda n: n <= F.length(s)), lambda n: F.left(s, n)
-                ),
-            )
+        return F.flatten(
+            F.transform(starts, lambda s: F.transform(fitting(s), lambda n: F.left(s, n)))
         )
-    else:
-        offered = F.flatten(
-            F.transform(
-                F.filter(sizes, lambda n: n <= F.length(path)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(path) - n + 1), lambda i: F.substring(path, i, n)
-                ),
-            )
+    return F.flatten(
+        F.transform(
+            fitting(path),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length(path) - n + 1), lambda i: F.substring(path, i, n)
+            ),
         )
-    return paths.select(
-        "relpath",
-        "__is_dir",
-        F.lit(kind).alias("kind"),
-        F.explode(F.array_distinct(offered)).alias("anchor"),
     )
 
 
+def _anchors(paths: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
+    """A row per literal a path offers, for all kinds from one scan of the paths."""
+
+    def of_kind(kind: str) -> Column:
+        literals = F.array_distinct(_offered(F.col("relpath"), kind, lengths[kind]))
+        return F.transform(
+            literals, lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor"))
+        )
+
+    offers = F.concat(*[of_kind(kind) for kind in lengths])
+    return paths.select("relpath", "__is_dir", F.inline(offers))
+
+
 def _joined_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """``(relpath, verdict)`` for any number of rules.
 
@@ -188,35 +193,38 @@ def _joined_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
     compared only with rules it could match.  Globs without any literal (such
     as ``*``) are few distinct texts and are compiled.
     """
-    parsed = _distinct_rules(rules).withColumn("t", _translated("pattern")).select(
-        "rule_no", "is_negation", "is_dir_only", "pattern", "t.regex", "t.kind", "t.anchor"
+    # The rules are read several times below, so they are parsed and translated
+    # once and stored in the shared checkpoint folder.
+    shared_dir(rules.sparkSession)
+    parsed = (
+        _distinct_rules(rules)
+        .withColumn("t", _translated("pattern"))
+        .select("rule_no", "is_negation", "is_dir_only", "pattern", "t.regex", "t.kind", "t.anchor")
+        .checkpoint()
     )
     shapes = parsed.select("kind", F.length("anchor").alias("n")).distinct().collect()
-    found = []
-    for kind in ("tail", "head", "inner"):
-        # A path has at most 4096 characters, so this list is short.
-        lengths = sorted(s.n for s in shapes if s.kind == kind and s.n <= 4096)
-        if lengths:
-            found.append(_anchors(paths, kind, lengths))
+    # A path has at most 4096 characters, so these lists are short.
+    lengths = {
+        kind: sorted(s.n for s in shapes if s.kind == kind and s.n <= 4096)
+        for kind in ("tail", "head", "inner")
+    }
+    lengths = {kind: sizes for kind, sizes in lengths.items() if sizes}
     verdicts = []
-    if found:
-        offered = found[0]
-        for more in found[1:]:
-            offered = offered.unionByName(more)
-        keyed = parsed.where(F.col("kind").isin("tail", "head", "inner")).drop("pattern")
-        candidates = spread_join(offered, keyed, ["kind", "anchor"], F.col("relpath"), "inner")
+    if lengths:
+        keyed = parsed.where(F.col("kind").isin(*lengths)).drop("pattern")
+        candidates = spread_join(
+            _anchors(paths, lengths), keyed, ["kind", "anchor"], F.col("relpath"), "inner"
+        )
         applies = F.col("is_negation") | ~F.col("is_dir_only") | F.col("__is_dir")
         hits = candidates.where(applies & F.rlike(F.col("relpath"), F.col("regex")))
-        verdicts.append(
-            hits.select("relpath", _verdict(F.col("rule_no"), F.col("is_negation")).alias("verdict"))
-        )
+        verdict = _verdict(F.col("rule_no"), F.col("is_negation"))
+        verdicts.append(hits.select("relpath", verdict.alias("verdict")))
     if any(s.kind == "none" for s in shapes):
         bare = parsed.where(F.col("kind") == "none").collect()
         matched = _last_bare_match(bare, F.col("__is_dir")).alias("verdict")
         verdicts.append(paths.select("relpath", matched).where("verdict is not null"))
     if not verdicts:
-        nothing = F.lit(None).cast("struct<rule_no:bigint,is_negation:boolean>")
-        return paths.select("relpath", nothing.alias("verdict")).where(F.lit(False))
+        return paths.select("relpath", F.lit(0).cast("long").alias("verdict")).where(F.lit(False))
     merged = verdicts[0]
     for more in verdicts[1:]:
         merged = merged.unionByName(more)
@@ -239,7 +247,7 @@ def with_ignored(df: DataFrame, rules: DataFrame, is_dir: Column | None = None)
     paths = df.select("relpath", is_dir.alias("__is_dir"))
     ignored = (
         _joined_verdicts(paths, rules)
-        .where(~F.col("verdict.is_negation"))
+        .where(F.pmod(F.col("verdict"), F.lit(2)) == 0)
         .select("relpath", F.lit(True).alias("is_ignored"))
     )
     return df.join(ignored, "relpath", "left").withColumn(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from leafledger.functions import linecodes
 from leafledger.functions import paths as P
 from leafledger.functions import text as TX
-from leafledger.functions.lookups import COMMENT_SYNTAX
 from leafledger.schema import require, text_of
 
 # Layouts of a numbered line.
@@ -49,13 +48,6 @@ def classify_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def _syntax(ext_key: Column, part: int) -> Column:
-    chosen = F.lit(None).cast("string")
-    for syntax, extensions in COMMENT_SYNTAX.items():
-        chosen = F.when(ext_key.isin(extensions.split()), F.lit(syntax[part])).otherwise(chosen)
-    return chosen
-
-
 def classify_line_rows(lines: DataFrame) -> DataFrame:
     """Add ``kind`` to rows that are already one line each.
 
@@ -63,7 +55,8 @@ def classify_line_rows(lines: DataFrame) -> DataFrame:
     it lies inside; the window is per file.
     """
     require(lines, "relpath", "ext_key", "line_no", "line")
-    prefix, start, end = (_syntax(F.col("ext_key"), i) for i in range(3))
+    syntax = linecodes.comment_syntax(F.col("ext_key"))
+    prefix, start, end = syntax["prefix"], syntax["start"], syntax["end"]
     has_start = F.coalesce(F.contains("line", start), F.lit(False))
     has_end = F.coalesce(F.contains("line", end), F.lit(False))
     trimmed = TX.strip(F.col("line"))

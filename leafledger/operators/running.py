@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 MIN_BUCKETS, MAX_BUCKETS = 2, 256
 SAMPLES_PER_BUCKET = 16
 
-_BUCKET, _KEY, _OFFSET, _PART = "__bucket", "__key", "__offset", "__part"
+_BUCKET, _OFFSET, _PART = "__bucket", "__offset", "__part"
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -44,9 +44,34 @@ def sorted_unique(rows: list[tuple]) -> list[tuple]:
     return kept
 
 
+def _bucket_of(columns: Sequence[str], bounds: list[tuple], kinds: dict) -> Column:
+    """How many bounds are at or below the row's key."""
+    key = F.struct(*[F.col(c).alias(c) for c in columns])
+    literals = F.array(
+        *[
+            F.struct(*[_literal(v, kinds[c]).alias(c) for c, v in zip(columns, bound)])
+            for bound in bounds
+        ]
+    )
+    return F.size(F.filter(literals, lambda b: b <= key))
+
+
+def _in_cut_groups(within: Sequence[str], bounds: list[tuple], kinds: dict) -> Column:
+    """Groups that a bound falls into; no other group spans ranges."""
+    groups = sorted_unique([b[: len(within)] for b in bounds])
+    literals = F.array(
+        *[
+            F.struct(*[_literal(v, kinds[c]).alias(c) for c, v in zip(within, group)])
+            for group in groups
+        ]
+    )
+    own = F.struct(*[F.col(c).alias(c) for c in within])
+    return F.exists(literals, lambda g: g == own)
+
+
 def running_total(
     df: DataFrame,
-    value: Column,
+    value: Column | str,
     order: Sequence[str],
     within: Sequence[str] = (),
     name: str = "running",
@@ -60,54 +85,46 @@ def running_total(
     group, so at most ``buckets`` groups span ranges and the table of earlier
     sums has at most ``2 * buckets`` rows: it is safe to broadcast.  A group
     with a third of all rows is thus spread over a third of the ranges.
+
+    Given a frame of nothing but the order and the value (then named, not
+    computed), the shuffled rows also serve for the range sums, so that
+    ``df`` is evaluated once for both.
     """
     order, within = list(order), list(within)
     columns = within + order
     buckets = buckets or _bucket_count(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     bounds = _key_bounds(df, columns, buckets)
-    valued = df.withColumn(_PART, value.cast("long"))
-
-    if bounds:
-        as_key = F.struct(*[F.col(c).alias(c) for c in columns])
-        literals = F.array(
-            *[
-                F.struct(*[_literal(v, kinds[c]).alias(c) for c, v in zip(columns, bound)])
-                for bound in bounds
-            ]
-        )
-        bucket = F.size(F.filter(literals, lambda b: b <= F.col(_KEY)))
-        valued = valued.withColumn(_KEY, as_key).withColumn(_BUCKET, bucket).drop(_KEY)
-    else:
-        valued = valued.withColumn(_BUCKET, F.lit(0))
-
-    rows_in_range = (
+    part = value if isinstance(value, str) else _PART
+    rows = df if isinstance(value, str) else df.withColumn(_PART, value.cast("long"))
+    rows = rows.withColumn(_BUCKET, _bucket_of(columns, bounds, kinds) if bounds else F.lit(0))
+
+    is_narrow = not within and set(df.columns) == {*order, part}
+    if bounds and is_narrow:
+        rows = rows.repartition(_BUCKET)
+    in_range = (
         Window.partitionBy(*within, _BUCKET)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = valued.withColumn(name, F.sum(_PART).over(rows_in_range))
+    summed = rows.withColumn(name, F.sum(part).over(in_range))
     if not bounds:
         return summed.drop(_PART, _BUCKET)
 
-    spanning = valued
-    if within:
-        cut_groups = F.array(
-            *[
-                F.struct(*[_literal(v, kinds[c]).alias(c) for c, v in zip(within, group)])
-                for group in sorted_unique([b[: len(within)] for b in bounds])
-            ]
-        )
-        group = F.struct(*[F.col(c).alias(c) for c in within])
-        spanning = valued.where(F.exists(cut_groups, lambda g: g == group))
-    totals = spanning.groupBy(*within, _BUCKET).agg(F.sum(_PART).alias(_PART))
-    earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy(_BUCKET).rowsBetween(
-        Window.unboundedPreceding, -1
+    spanning = rows.where(_in_cut_groups(within, bounds, kinds)) if within else rows
+    # Ranges follow the order, so their last keys order them; asking for these
+    # makes the sums need the same columns as the rows.
+    last = F.max(F.struct(*order)) if is_narrow else F.max(_BUCKET)
+    totals = spanning.groupBy(*within, _BUCKET).agg(F.sum(part).alias("__sum"), last.alias("__last"))
+    earlier = (
+        Window.partitionBy(*(within or [F.lit(0)]))
+        .orderBy("__last")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
         *[F.col(c).alias(f"__{c}") for c in within],
         F.col(_BUCKET).alias("__b"),
-        F.coalesce(F.sum(_PART).over(earlier), F.lit(0)).alias(_OFFSET),
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias(_OFFSET),
     )
     match = F.col(_BUCKET) == F.col("__b")
     for c in within:

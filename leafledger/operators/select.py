@@ -145,17 +145,18 @@ class Selection:
 def select_files(df: DataFrame, spec: Selection) -> DataFrame:
     """Files that pass every part of ``spec``.
 
-    The path predicates come first and the content test last; ignore rules and
-    the tracked set meet only paths that survived, and join on the path.
+    The path predicates come first and the content test last.  Ignore rules and
+    the tracked set meet only paths that survived, and no content: what comes
+    back to be joined is a set of paths.
     """
     kept = require(df, "relpath").where(spec.path_predicate())
-    if spec.max_file_size != 0:
-        kept = max_size(kept, spec.max_file_size)
-    if spec.tracked is not None:
-        kept = tracked_only(kept, spec.tracked)
     if spec.rules is not None:
         kept = with_ignored(kept, spec.rules, is_dir=F.lit(False)).where(~F.col("is_ignored"))
         kept = kept.drop("is_ignored")
+    if spec.tracked is not None:
+        kept = tracked_only(kept, spec.tracked)
+    if spec.max_file_size != 0:
+        kept = max_size(kept, spec.max_file_size)
     if spec.text_only:
         kept = kept.where(sniff.is_text(P.extension_key(_path()), bytes_of(df)))
     return kept
