@@ -37,7 +37,7 @@ CORPUS = """corpus AS (
   FROM documents)"""
 PAGES = """page_corpus AS (
   SELECT page_id,
-    regexp_replace(p, '/$', '/index') || CASE WHEN p LIKE '%.html' THEN '' ELSE '.html' END AS relpath,
+    regexp_replace(regexp_replace(p, '/$', '/index'), '\\.html$', '') || '-' || CAST(page_id AS VARCHAR) || '.html' AS relpath,
     CAST(strlen(html) AS BIGINT) AS size_bytes, replace(html, ' ', chr(10)) AS text
   FROM (SELECT *, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS p FROM pages))"""
 PROJECTS = """projects AS (

@@ -52,12 +52,15 @@ def project_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` as HTML files; blanks become newlines, so comments span lines."""
+    """``pages`` as HTML files; blanks become newlines, so comments span lines.
+
+    Several addresses can name one path, so the page number is part of the name.
+    """
     bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
-    path = F.regexp_replace(bare, "/$", "/index")
+    stem = F.regexp_replace(F.regexp_replace(bare, "/$", "/index"), "\\.html$", "")
     return table(spark, sf_dir, "pages").select(
         "page_id",
-        F.concat(path, F.when(bare.like("%.html"), "").otherwise(".html")).alias("relpath"),
+        F.concat(stem, F.lit("-"), F.col("page_id").cast("string"), F.lit(".html")).alias("relpath"),
         F.octet_length("html").cast("long").alias("size_bytes"),
         F.replace("html", F.lit(" "), F.lit("\n")).alias("text"),
     )

@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from leafledger.sources import tables
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -21,3 +22,9 @@ def test_query(spark, sf_dir, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("make", [tables.corpus, tables.page_corpus, tables.project_corpus, tables.sniff_corpus])
+def test_a_path_identifies_a_file(spark, sf_dir, make):
+    files = make(spark, sf_dir)
+    assert files.count() == files.select("relpath").distinct().count() > 0
