@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 MIN_BUCKETS, MAX_BUCKETS = 2, 256
 SAMPLES_PER_BUCKET = 16
+# Rows worth a range of their own when the whole table is known to be small.
+SMALL_RANGE = 1000
 
 _BUCKET, _OFFSET, _PART = "__bucket", "__offset", "__part"
 
@@ -22,17 +24,22 @@ def _literal(value, kind) -> Column:
     return F.lit(value).cast(kind)
 
 
-def _key_bounds(df: DataFrame, columns: Sequence[str], buckets: int) -> list[tuple]:
+def _key_bounds(df: DataFrame, columns: Sequence[str], buckets: int | None) -> list[tuple]:
     """Quantile keys from a bounded sample: the rows with the smallest key hashes.
 
     The sample has at most ``buckets * SAMPLES_PER_BUCKET`` rows whatever the
     input size, is the same on every run, and only steers the balance of the
-    buckets: any bounds give right totals.
+    buckets: any bounds give right totals.  A table that fits into the sample
+    as a whole needs few ranges or none.
     """
+    wanted = buckets or _bucket_count(df)
+    size = wanted * SAMPLES_PER_BUCKET
     keys = df.select(*columns)
-    sample = keys.orderBy(F.xxhash64(*columns), *columns).limit(buckets * SAMPLES_PER_BUCKET)
+    sample = keys.orderBy(F.xxhash64(*columns), *columns).limit(size)
     rows = [tuple(r) for r in sample.orderBy(*columns).collect()]
-    picks = [rows[len(rows) * i // buckets] for i in range(1, buckets)] if rows else []
+    if buckets is None and len(rows) < size:
+        wanted = len(rows) // SMALL_RANGE
+    picks = [rows[len(rows) * i // wanted] for i in range(1, wanted)] if rows else []
     return sorted_unique(picks)
 
 
@@ -82,8 +89,8 @@ def running_total(
     ``within`` + ``order`` must identify a row.  The combined key is cut into
     ranges; each range is summed by its own task, and the sum of the earlier
     ranges of the same group is added.  A range bound falls inside at most one
-    group, so at most ``buckets`` groups span ranges and the table of earlier
-    sums has at most ``2 * buckets`` rows: it is safe to broadcast.  A group
+    group, so only as many groups as there are bounds span ranges and the table of earlier
+    sums has at most twice as many rows as there are ranges: it is safe to broadcast.  A group
     with a third of all rows is thus spread over a third of the ranges.
 
     Given a frame of nothing but the order and the value (then named, not
@@ -92,7 +99,6 @@ def running_total(
     """
     order, within = list(order), list(within)
     columns = within + order
-    buckets = buckets or _bucket_count(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     bounds = _key_bounds(df, columns, buckets)
     part = value if isinstance(value, str) else _PART
