@@ -11,7 +11,6 @@ from leafledger.functions.text import count_of, has_long_line, split_lines
 # Weights; the symbols counted in code and the separators of data
 # are listed in the classes below.
 CODE_WORD, CODE_SYMBOL, DATA_WORD, TEXT_WORD = 1.3, 0.5, 1.1, 1.3
-BYTES_PER_TOKEN = 4
 
 WORD = "w"
 # ``(?U)`` makes ``\s`` the Unicode White_Space property; Java matches it several
@@ -114,4 +113,5 @@ def file_tokens(ext_key: Column, text: Column, size_bytes: Column) -> Column:
 
 
 def rough_tokens(size_bytes: Column) -> Column:
+    """One token per four bytes."""
     return F.shiftright(size_bytes.cast("long"), 2)

@@ -18,7 +18,6 @@ IGNORE_FILE = ".gitignore"
 TEST_DIRS = ("tests", "test")
 TEST_SUFFIX = "_test.go"
 LARGE_FILE = "10MB"
-CHECKS = ("has_readme", "has_license", "has_gitignore", "has_tests", "has_test_files")
 
 
 def _project(path: Column, by_top: bool) -> tuple[Column, Column]:

@@ -96,3 +96,9 @@ def test_random_rules_against_brute_force(spark, monkeypatch, joined):
 def test_no_rules(spark):
     got = ignore.apply_ignore_rules(entries(spark, [("a", False)]), spark.createDataFrame([], RULE))
     assert ignored(got) == []
+
+
+def test_regex_column(spark):
+    rules = spark.createDataFrame([(1, "*.log", False, False), (2, "[bad", False, False)], RULE)
+    regexes = {r.pattern: r.regex for r in ignore.with_regex(rules).collect()}
+    assert regexes == {"*.log": globs.suffix_match("*.log"), "[bad": None}
