@@ -4,9 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from leafledger.plans import oracles, registry
 from leafledger.sources import tables
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, oracles.queries()
 
 
 def test_every_query_has_sql():
