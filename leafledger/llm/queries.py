@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafledger.llm import bpe, langid, simhash
+from leafledger.llm import bpe, gridjoin, langid, linechunks, mixing, simhash, sql, warc
 from leafledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Slots that a source gets in a period of the mixture.
+TARGET_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3}
+DEFAULT_WEIGHT = 2
 
 
 def query(fn):
@@ -37,3 +40,29 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), TARGET_WEIGHTS, DEFAULT_WEIGHT)
+    return mixed.select("doc_id", "source", "size", "block", "release", "deadline", "slot", F.col("place.offset").alias("offset"))
+
+
+@query
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linechunks.without_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", "n_chunks", "n_removed", digest.alias("kept_sha256"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_ok")
+
+
+@query
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL |= {"op3_mixing": sql.MIX, "op7_line_chunks": sql.LINES, "op9_warc": sql.WARC, "op10_embeddings": sql.EMBEDDINGS}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafledger.llm.components import connected_components
+from leafledger.llm.forest import Forest
 from leafledger.llm.shared import stored
 
 SEED = 42
@@ -114,26 +115,10 @@ def _cells(segments: int, distance: int):
     return run
 
 
-class _Forest:
-    """Smallest index of each group of linked indices, kept up by array operations."""
-
-    def __init__(self, size: int) -> None:
-        self.label = np.arange(size)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while a.size:
-            x, y = self.label[a], self.label[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
-            while (jump := self.label[self.label]).tobytes() != self.label.tobytes():
-                self.label = jump
-
-
 def forest_of_cell(home: np.ndarray, visitors: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one cell as a star per linked group, never as all pairs of a group."""
     everyone = np.concatenate([home, visitors])
-    forest = _Forest(everyone.size)
+    forest = Forest(everyone.size)
     width = max(1, min(everyone.size, BLOCK))
     rows = max(1, BLOCK // width)
     for top in range(0, home.size, rows):
@@ -143,8 +128,8 @@ def forest_of_cell(home: np.ndarray, visitors: np.ndarray, distance: int) -> tup
             i, j = np.nonzero(near)
             i, j = i + top, j + left
             forest.link(i[i < j], j[i < j])
-    linked = np.flatnonzero(forest.label != np.arange(everyone.size))
-    return everyone[linked], everyone[forest.label[linked]]
+    linked, smallest = forest.stars()
+    return everyone[linked], everyone[smallest]
 
 
 def _verify(distance: int):
