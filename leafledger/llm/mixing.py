@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from leafledger.llm.shared import col, free_name, stored
+from leafledger.llm.shared import col, stored
 
 #: Characters of a block, the unit that is scheduled.
 BLOCK_CHARS = 1 << 14
@@ -153,8 +152,11 @@ def in_mixed_order(
 ) -> DataFrame:
     """All rows of ``docs`` in the order of ``mix``: files written from it follow the mixture."""
     plan = _plan(docs, source_column, weights, default_weight)
-    own = free_name(docs.columns, "__source")
-    keyed = _keyed(docs.withColumn(own, col(source_column).cast("string")), id_column, text_column, _ranges(docs))
-    starts = stored(_starts(keyed, own), "starts")
-    rows = _placed(keyed, starts, plan, own, block_chars)
-    return rows.orderBy("__slot", "__offset", "__key").select(*[col(c) for c in docs.columns])
+    packed = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"),
+        col(id_column).alias("doc_id"), col(source_column).cast("string").alias("doc_source"), col(text_column).cast("string").alias("text"),
+    )
+    keyed = _keyed(packed, "doc_id", "text", _ranges(docs)).select("row", "doc_source", "__size", "__key", "__range")
+    starts = stored(_starts(keyed, "doc_source"), "starts")
+    rows = _placed(keyed, starts, plan, "doc_source", block_chars)
+    return rows.orderBy("__slot", "__offset", "__key").select("row.*")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafledger.llm import bpe, gridjoin, langid, linechunks, mixing, simhash, sql, warc
+from leafledger.llm import bpe, gridjoin, langid, linechunks, mixing, pii, simhash, sql, warc
 from leafledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,10 @@ TARGET_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3}
 DEFAULT_WEIGHT = 2
 
 
+def _of_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -66,3 +71,22 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL |= {"op3_mixing": sql.MIX, "op7_line_chunks": sql.LINES, "op9_warc": sql.WARC, "op10_embeddings": sql.EMBEDDINGS}
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

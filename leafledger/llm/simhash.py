@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafledger.llm.components import connected_components
 from leafledger.llm.forest import Forest
-from leafledger.llm.shared import stored
+from leafledger.llm.shared import col, free_name, stored
 
 SEED = 42
 #: Pairs compared at once; bounds a task's memory whatever a cell holds.
@@ -201,7 +201,7 @@ def simhash_groups(
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id names their group; one row where an id repeats with its text."""
     groups = simhash_groups(docs, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__kept_id"))
-    stay = docs.join(kept, same, "left_semi").withColumn("__text_hash", F.xxhash64("text"))
-    return stay.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    kept_id, text_hash = free_name(docs.columns, "__kept_id"), free_name(docs.columns, "__text_hash")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    stay = docs.join(kept, col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi").withColumn(text_hash, F.xxhash64("text"))
+    return stay.dropDuplicates(["doc_id", text_hash]).select(*[col(c) for c in docs.columns])
