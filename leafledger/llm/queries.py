@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafledger.llm import bpe, gridjoin, langid, linechunks, mixing, pii, simhash, sql, warc
+from leafledger.llm import bpe, gridjoin, iblt, langid, linechunks, mixing, pii, simhash, sql, warc
 from leafledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = iblt.compare_versions(table(spark, sf_dir, "documents"))
+    return versions.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
