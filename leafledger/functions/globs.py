@@ -26,11 +26,13 @@ _RANGE = re.compile(r"(\\.|[^\\])(?:-(\\.|[^\\]))?", re.DOTALL)
 class Glob:
     """A translated glob: its regex body and its literal runs in order.
 
-    ``pieces`` holds literal text and ``None`` for each wildcard or class.
+    ``pieces`` holds literal text and ``None`` for each wildcard or class; ``stars`` counts
+    the runs of ``*`` among these.
     """
 
     regex: str
     pieces: tuple[str | None, ...]
+    stars: int = 0
 
     @property
     def head(self) -> str:
@@ -63,7 +65,7 @@ def _class(body: str, negated: bool) -> str:
 
 def translate(pattern: str) -> Glob | None:
     """The glob's regex and literal pieces, ``None`` if it is malformed."""
-    at, regex, pieces = 0, [], []
+    at, stars, regex, pieces = 0, 0, [], []
     while at < len(pattern):
         token = _TOKEN.match(pattern, at)
         if token is None:
@@ -80,11 +82,12 @@ def translate(pattern: str) -> Glob | None:
         pieces.append(None)
         if token["star"]:
             regex.append("[^/]*")
+            stars += 1
         elif token["one"]:
             regex.append("[^/]")
         else:
             regex.append(_class(token["set"], bool(token["not"])))
-    return Glob("".join(regex), tuple(pieces))
+    return Glob("".join(regex), tuple(pieces), stars)
 
 
 def full_match(pattern: str) -> str | None:

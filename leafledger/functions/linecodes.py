@@ -47,8 +47,9 @@ def comment_syntax(ext_key: Column) -> Column:
 
     def part(at: int) -> Column:
         chosen = F.lit(None).cast("string")
-        for syntax, extensions in COMMENT_SYNTAX.items():
-            chosen = F.when(one_of(ext_key, extensions), F.lit(syntax[at])).otherwise(chosen)
+        for mark in dict.fromkeys(syntax[at] for syntax in COMMENT_SYNTAX.values()):
+            extensions = tuple(e for e, syntax in COMMENT_SYNTAX.items() if syntax[at] == mark)
+            chosen = F.when(one_of(ext_key, extensions), F.lit(mark)).otherwise(chosen)
         return chosen
 
     return F.struct(*[part(i).alias(n) for i, n in enumerate(("prefix", "start", "end"))])

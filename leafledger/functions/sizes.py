@@ -12,7 +12,6 @@ from leafledger.functions.text import strip
 # The accepted units.
 UNIT_BYTES = {"B": 1, "KB": 1024, "MB": 1024**2, "GB": 1024**3}
 
-DEFAULT_MAX_FILE = "1MB"
 LONG_MAX = 2**63 - 1
 
 

@@ -1,4 +1,4 @@
-"""Text-or-binary tests over the first bytes of a file."""
+"""Text-or-binary tests over all bytes of a file."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from leafledger.functions.lookups import TEXT_EXTENSIONS, one_of
 
-SNIFF_BYTES = 512
 VALID_SHARE = 0.8
 CONTROL_SHARE = 0.3
 REPLACEMENT = "\ufffd"
@@ -17,20 +16,15 @@ REPLACEMENT = "\ufffd"
 _CONTROL = "[\\x00-\\x07\\x0e-\\x1f]"
 
 
-def _prefix(content: Column) -> Column:
-    return F.substring(content, 1, SNIFF_BYTES)
-
-
 def has_nul(content: Column) -> Column:
-    """A NUL byte in the prefix; false for an empty file."""
-    return F.contains(_prefix(content), F.lit(b"\x00"))
+    """A NUL byte anywhere; false for an empty file."""
+    return F.contains(content, F.lit(b"\x00"))
 
 
 def looks_textual(content: Column) -> Column:
     """The byte tests alone: no NUL, mostly valid UTF-8, few control bytes."""
-    prefix = _prefix(content)
-    total = F.octet_length(prefix)
-    as_text = prefix.cast("string")
+    total = F.octet_length(content)
+    as_text = content.cast("string")
     drop = lambda s: F.octet_length(F.replace(s, F.lit(REPLACEMENT)))
     # Repair turns each bad sequence into U+FFFD; those that were in the file
     # already are valid and are counted from the raw bytes.
@@ -38,7 +32,7 @@ def looks_textual(content: Column) -> Column:
         drop(F.make_valid_utf8(as_text)) + total - drop(as_text)
     )
     controls = total - F.length(
-        F.regexp_replace(F.decode(prefix, "ISO-8859-1"), _CONTROL, "")
+        F.regexp_replace(F.decode(content, "ISO-8859-1"), _CONTROL, "")
     )
     return (
         ~has_nul(content)

@@ -12,7 +12,7 @@ SPACES = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# A line of this many bytes or more is refused by the line reader.
+# A line of this many bytes or more is flagged.
 LONG_LINE_BYTES = 65536
 
 
@@ -46,7 +46,7 @@ def line_count(text: Column) -> Column:
 
 
 def has_long_line(text: Column) -> Column:
-    """Some raw line (before ``\\r`` is dropped) reaches the reader's limit."""
+    """Some raw line (before ``\\r`` is dropped) has ``LONG_LINE_BYTES`` or more; only a flag."""
     return F.when(F.octet_length(text) < LONG_LINE_BYTES, F.lit(False)).otherwise(
         F.exists(F.split(text, "\n", -1), lambda s: F.octet_length(s) >= LONG_LINE_BYTES)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafledger.functions.lookups import TOKEN_FAMILIES, one_of
-from leafledger.functions.text import count_of, has_long_line, split_lines
+from leafledger.functions.text import count_of, split_lines
 
 # Weights; the symbols counted in code and the separators of data
 # are listed in the classes below.
@@ -104,12 +104,12 @@ def family_total(family: str, text: Column) -> Column:
     return _total(F.transform(split_lines(text), default_tokens))
 
 
-def file_tokens(ext_key: Column, text: Column, size_bytes: Column) -> Column:
-    """Tokens of a file by its extension's family; a quarter of its bytes if a line is too long."""
-    counted = F.when(has_long_line(text), rough_tokens(size_bytes))
+def file_tokens(ext_key: Column, text: Column) -> Column:
+    """Tokens of a file by its extension's family."""
+    counted = family_total("other", text)
     for family, extensions in TOKEN_FAMILIES.items():
-        counted = counted.when(one_of(ext_key, extensions), family_total(family, text))
-    return counted.otherwise(family_total("other", text)).cast("long")
+        counted = F.when(one_of(ext_key, extensions), family_total(family, text)).otherwise(counted)
+    return counted.cast("long")
 
 
 def rough_tokens(size_bytes: Column) -> Column:

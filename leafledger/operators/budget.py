@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from leafledger.functions import paths as P
 from leafledger.functions import text as TX
-from leafledger.functions.sizes import DEFAULT_MAX_FILE, parse_size
+from leafledger.functions.sizes import parse_size
 from leafledger.operators.lines import numbered as numbered_line
 from leafledger.operators.running import running_total
 from leafledger.schema import require, text_of
 
 
+# The texts of both notes.
+
+
 def truncated_message(limit: int) -> str:
     return f"[Output truncated: reached character limit of {limit}]"
 
@@ -34,13 +37,13 @@ def too_large_message(size: Column, limit: int) -> Column:
 
 
 def _too_large(max_file: str | int | None) -> Column:
-    bound = parse_size(DEFAULT_MAX_FILE if max_file is None else max_file)
+    bound = parse_size(max_file)
     return F.col("size_bytes") > bound if bound > 0 else F.lit(False)
 
 
 def too_large_rows(corpus: DataFrame, max_file: str | int | None = None) -> DataFrame:
     """The note that replaces a file above the size limit."""
-    bound = parse_size(DEFAULT_MAX_FILE if max_file is None else max_file)
+    bound = parse_size(max_file)
     note = too_large_message(F.col("size_bytes"), bound)
     return require(corpus, "relpath", "size_bytes").where(_too_large(max_file)).select(
         "relpath", note.alias("message")

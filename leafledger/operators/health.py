@@ -21,13 +21,18 @@ LARGE_FILE = "10MB"
 
 
 def _project(path: Column, by_top: bool) -> tuple[Column, Column]:
-    """Project key and the path inside the project."""
+    """Project key and the path inside the project; a file at the root has no project."""
     if not by_top:
         return F.lit(""), path
     top = P.top_component(path)
     return top, F.substring(path, F.length(top) + 2, F.length(path))
 
 
+def _in_projects(rows: DataFrame, by_top: bool) -> DataFrame:
+    """Without the files that lie beside the project directories."""
+    return rows.where("is_dir OR inside <> ''") if by_top else rows
+
+
 def _check_columns(path: Column, is_dir: Column) -> dict[str, Column]:
     file = ~is_dir
     return {
@@ -45,6 +50,7 @@ def presence_checks(entries: DataFrame, by_top: bool = False) -> DataFrame:
     rows = require(entries, "relpath", "is_dir").select(
         project.alias("project"), inside.alias("inside"), "is_dir"
     )
+    rows = _in_projects(rows, by_top)
     checks = _check_columns(F.col("inside"), F.col("is_dir"))
     flags = [F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()]
     return rows.groupBy("project").agg(*flags) if by_top else rows.agg(*flags)
@@ -64,12 +70,16 @@ def empty_directories(entries: DataFrame) -> DataFrame:
     """Directories that are no entry's parent.
 
     Parents are made distinct before the join, so a directory with a third of
-    all entries is one key.
+    all entries is one key.  A directory with a ``warning`` could not be listed, so it is
+    not known to be empty.
     """
     parents = require(entries, "relpath", "parent", "is_dir").select(
         F.col("parent").alias("relpath")
     ).distinct()
-    return entries.where("is_dir").select("relpath").join(parents, "relpath", "left_anti")
+    folders = entries.where("is_dir")
+    if "warning" in entries.columns:
+        folders = folders.where("warning is null")
+    return folders.select("relpath").join(parents, "relpath", "left_anti")
 
 
 def health_check(
@@ -107,6 +117,7 @@ def health_check(
     rows = seen.unionByName(measured).unionByName(empty).select(
         project.alias("project"), inside.alias("inside"), "is_dir", "large", "binary", "empty"
     )
+    rows = _in_projects(rows, by_top)
     checks = _check_columns(F.col("inside"), F.col("is_dir"))
     aggregates = [
         *[F.coalesce(c, no).alias(n) for n, c in checks.items()],
@@ -130,7 +141,7 @@ def _warnings() -> Column:
             F.when(~F.col("has_readme"), "No README.md file found"),
             F.when(~F.col("has_license"), "No LICENSE file found"),
             F.when(~F.col("has_gitignore"), "No .gitignore file found"),
-            F.when(~F.col("has_tests"), "No tests found"),
+            F.when(~(F.col("has_tests") | F.col("has_test_files")), "No tests found"),
             counted("large_files", "Large files detected: "),
             counted("empty_directories", "Empty directories: "),
             counted("binary_files", "Binary files: ", " (consider adding to .gitignore)"),

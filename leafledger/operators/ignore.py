@@ -6,7 +6,7 @@ is one regular expression anchored at the start or behind a slash.
 
 from __future__ import annotations
 
-from itertools import groupby
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,10 +22,7 @@ from leafledger.operators.spread import spread_join
 from leafledger.schema import require
 from leafledger.session import shared_dir
 
-# Rule tables up to this size become one expression; larger ones are joined.
-COMPILED_RULES, COMPILED_RUNS = 500, 24
-INNER_GRAM = 3
-
+KINDS = ("tail", "head", "inner", "exact", "open")
 
 _TRANSLATION = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("regex", "kind", "anchor")]
@@ -34,10 +31,11 @@ _TRANSLATION = T.StructType(
 
 @F.pandas_udf(_TRANSLATION)
 def _translated(patterns: pd.Series) -> pd.DataFrame:
-    """Regex of each glob and a literal that every match must contain.
+    """Regex of each glob and something whole that every match offers.
 
-    ``tail``: the path ends with it; ``head``: it follows the start or a slash;
-    ``inner``: it occurs somewhere; ``none``: the glob has no literal.
+    ``tail``: the path ends with the literal; ``head``: it follows the start or a slash;
+    ``inner``: it occurs somewhere; ``exact`` and ``open``: the glob has no literal, and the
+    match has just so many characters, or at least so many.
     """
 
     def one(pattern: str):
@@ -50,8 +48,8 @@ def _translated(patterns: pd.Series) -> pd.DataFrame:
         if glob.head:
             return regex, "head", glob.head
         if glob.longest:
-            return regex, "inner", glob.longest[:INNER_GRAM]
-        return regex, "none", ""
+            return regex, "inner", glob.longest
+        return regex, "open" if glob.stars else "exact", str(len(glob.pieces) - glob.stars)
 
     return pd.DataFrame([one(p) for p in patterns], columns=["regex", "kind", "anchor"])
 
@@ -62,14 +60,13 @@ def ignore_file_lines(corpus: DataFrame, name: str = ".gitignore") -> DataFrame:
     return split_lines(rule_files).select("relpath", "line_no", "line")
 
 
-def parse_ignore_rules(lines: DataFrame) -> DataFrame:
-    """``(rule_no, pattern, is_negation, is_dir_only)`` from ``(relpath, line_no, line)``.
+def rules_of_lines(lines: DataFrame) -> DataFrame:
+    """``(walk, line_no, pattern, is_negation, is_dir_only)`` from ``(relpath, line_no, line)``.
 
-    Rules are numbered through all files in walk order; the numbers come from a
-    distributed running count.
+    ``walk`` and ``line_no`` order the rules of all files; applying them needs no numbers.
     """
     trimmed = strip(F.col("line"))
-    rules = (
+    return (
         require(lines, "relpath", "line_no", "line")
         .select(P.walk_key(F.col("relpath")).alias("walk"), "line_no", trimmed.alias("line"))
         .where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
@@ -80,9 +77,17 @@ def parse_ignore_rules(lines: DataFrame) -> DataFrame:
             "pattern",
             F.when(F.col("is_dir_only"), F.expr("left(body, length(body) - 1)")).otherwise(F.col("body")),
         )
-        .drop("line", "body")
+        .select("walk", "line_no", "pattern", "is_negation", "is_dir_only")
     )
-    numbered = running_total(rules, F.lit(1), ["walk", "line_no"], name="rule_no")
+
+
+def parse_ignore_rules(lines: DataFrame) -> DataFrame:
+    """``(rule_no, pattern, is_negation, is_dir_only)`` from ``(relpath, line_no, line)``.
+
+    Rules are numbered through all files in walk order; the numbers come from a
+    distributed running count.
+    """
+    numbered = running_total(rules_of_lines(lines), F.lit(1), ["walk", "line_no"], name="rule_no")
     return numbered.select("rule_no", "pattern", "is_negation", "is_dir_only")
 
 
@@ -92,74 +97,35 @@ def with_regex(rules: DataFrame) -> DataFrame:
 
 
 def _distinct_rules(rules: DataFrame) -> DataFrame:
-    """Equal rules act alike, so only the last of each can decide."""
-    return (
-        require(rules, "rule_no", "pattern", "is_negation", "is_dir_only")
-        .groupBy("pattern", "is_negation", "is_dir_only")
-        .agg(F.max("rule_no").alias("rule_no"))
+    """Equal rules act alike, so only the last of each can decide; ``at`` is its place."""
+    require(rules, "pattern", "is_negation", "is_dir_only")
+    at = ["rule_no"] if "rule_no" in rules.columns else ["walk", "line_no"]
+    return require(rules, *at).groupBy("pattern", "is_negation", "is_dir_only").agg(F.max(F.struct(*at)).alias("at"))
+
+
+def _after_slashes(path: Column) -> Column:
+    """The path and what follows each of its slashes."""
+    parts = F.split(path, "/")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "/"),
     )
 
 
-def _verdict(rule_no: Column, is_negation: Column) -> Column:
-    """Rule number and outcome as one number: the largest is that of the last rule."""
-    return rule_no.cast("long") * 2 + is_negation.cast("long")
-
-
-def _alternatives(patterns: list[str]) -> str | None:
-    """One regex for several globs, anchored like ``globs.suffix_match``."""
-    bodies = [g.regex for g in map(globs.translate, patterns) if g is not None]
-    return f"(?:\\A|/)(?:{'|'.join(bodies)})\\z" if bodies else None
-
-
-def _runs(rows) -> list[tuple[bool, list]]:
-    """Rules from last to first, in runs of equal negation.
-
-    Inside a run every match has the same outcome, so its order is free.
-    """
-    latest_first = sorted(rows, key=lambda r: -r.rule_no)
-    return [(neg, list(run)) for neg, run in groupby(latest_first, key=lambda r: r.is_negation)]
-
-
-def _ignored_by(runs: list[tuple[bool, list]], is_dir: Column) -> Column:
-    """Whether the last applicable match ignores the path, as one expression."""
-    ignored = F.lit(False)
-    for is_negation, run in reversed(runs):
-        always = _alternatives([r.pattern for r in run if is_negation or not r.is_dir_only])
-        for_dirs = _alternatives([r.pattern for r in run if r.is_dir_only and not is_negation])
-        if always:
-            ignored = F.when(F.col("relpath").rlike(always), not is_negation).otherwise(ignored)
-        if for_dirs:
-            hit = is_dir & F.col("relpath").rlike(for_dirs)
-            ignored = F.when(hit, True).otherwise(ignored)
-    return ignored
-
-
-def _last_bare_match(rows, is_dir: Column) -> Column:
-    """Verdict of the last applicable glob among those without literals."""
-    choices = []
-    for rule in sorted(rows, key=lambda r: -r.rule_no):
-        hit = F.col("relpath").rlike(globs.suffix_match(rule.pattern))
-        if rule.is_dir_only and not rule.is_negation:
-            hit = hit & is_dir
-        choices.append(F.when(hit, _verdict(F.lit(rule.rule_no), F.lit(rule.is_negation))))
-    return F.coalesce(*choices)
-
-
-def _offered(path: Column, kind: str, lengths: list[int]) -> Column:
-    """Literals of the given lengths that a path offers to rules of ``kind``."""
-    sizes = F.array(*[F.lit(n) for n in lengths])
+def _offered(path: Column, kind: str, sizes: Column) -> Column:
+    """What a path offers to rules of ``kind``: literals of the given sizes, or sizes."""
+    starts = _after_slashes(path)
 
     def fitting(text: Column) -> Column:
         return F.filter(sizes, lambda n: n <= F.length(text))
 
     if kind == "tail":
         return F.transform(fitting(path), lambda n: F.right(path, n))
+    if kind in ("exact", "open"):
+        fits = (lambda n, s: n == F.length(s)) if kind == "exact" else (lambda n, s: n <= F.length(s))
+        found = F.filter(sizes, lambda n: F.exists(starts, lambda s: fits(n, s)))
+        return F.transform(found, lambda n: n.cast("string"))
     if kind == "head":
-        parts = F.split(path, "/")
-        starts = F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "/"),
-        )
         return F.flatten(
             F.transform(starts, lambda s: F.transform(fitting(s), lambda n: F.left(s, n)))
         )
@@ -173,62 +139,47 @@ def _offered(path: Column, kind: str, lengths: list[int]) -> Column:
     )
 
 
-def _anchors(paths: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
-    """A row per literal a path offers, for all kinds from one scan of the paths."""
+def _anchors(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row per literal or size a path offers, for all kinds from one scan of the paths.
 
-    def of_kind(kind: str) -> Column:
-        literals = F.array_distinct(_offered(F.col("relpath"), kind, lengths[kind]))
-        return F.transform(
-            literals, lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor"))
-        )
+    Which sizes occur is a subquery over the stored rules, so nothing passes the driver.
+    """
+    sizes = F.when(F.col("kind").isin("exact", "open"), F.col("anchor").cast("int")).otherwise(F.length("anchor"))
+    of_kind = [F.sort_array(F.collect_set(F.when(F.col("kind") == kind, sizes))).alias(kind) for kind in KINDS]
+    known = rules.agg(F.struct(*of_kind).alias("sizes")).scalar()
+    named = [_of_kind(kind, _offered(F.col("relpath"), kind, F.col(f"__sizes.{kind}"))) for kind in KINDS]
+    rows = paths.withColumn("__sizes", known)
+    return rows.select("relpath", "__is_dir", F.inline(F.concat(*named)))
+
+
+def _of_kind(kind: str, offer: Column) -> Column:
+    return F.transform(F.array_distinct(offer), lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor")))
 
-    offers = F.concat(*[of_kind(kind) for kind in lengths])
-    return paths.select("relpath", "__is_dir", F.inline(offers))
 
+def _stored(rules: DataFrame) -> DataFrame:
+    """Distinct rules, translated; parsed once and kept in the shared checkpoint folder."""
+    folder = f"{shared_dir(rules.sparkSession)}/rules-{uuid.uuid4().hex}"
+    parsed = _distinct_rules(rules).withColumn("t", _translated("pattern"))
+    parsed = parsed.select("at", "is_negation", "is_dir_only", "t.regex", "t.kind", "t.anchor")
+    parsed.write.parquet(folder)
+    return rules.sparkSession.read.schema(parsed.schema).parquet(folder)
 
-def _joined_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(relpath, verdict)`` for any number of rules.
 
-    Each rule is looked up by a literal its matches must contain, so a path is
-    compared only with rules it could match.  Globs without any literal (such
-    as ``*``) are few distinct texts and are compiled.
+def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ``relpath`` that the last applicable rule ignores, from ``(relpath, __is_dir)``.
+
+    Each rule is looked up by the whole of a literal that its matches contain, or where it has
+    none by their length, so a path meets only rules that it could match.
     """
-    # The rules are read several times below, so they are parsed and translated
-    # once and stored in the shared checkpoint folder.
-    shared_dir(rules.sparkSession)
-    parsed = (
-        _distinct_rules(rules)
-        .withColumn("t", _translated("pattern"))
-        .select("rule_no", "is_negation", "is_dir_only", "pattern", "t.regex", "t.kind", "t.anchor")
-        .checkpoint()
+    parsed = _stored(rules)
+    candidates = spread_join(
+        _anchors(paths, parsed), parsed, ["kind", "anchor"], F.col("relpath"), "inner"
     )
-    shapes = parsed.select("kind", F.length("anchor").alias("n")).distinct().collect()
-    # A path has at most 4096 characters, so these lists are short.
-    lengths = {
-        kind: sorted(s.n for s in shapes if s.kind == kind and s.n <= 4096)
-        for kind in ("tail", "head", "inner")
-    }
-    lengths = {kind: sizes for kind, sizes in lengths.items() if sizes}
-    verdicts = []
-    if lengths:
-        keyed = parsed.where(F.col("kind").isin(*lengths)).drop("pattern")
-        candidates = spread_join(
-            _anchors(paths, lengths), keyed, ["kind", "anchor"], F.col("relpath"), "inner"
-        )
-        applies = F.col("is_negation") | ~F.col("is_dir_only") | F.col("__is_dir")
-        hits = candidates.where(applies & F.rlike(F.col("relpath"), F.col("regex")))
-        verdict = _verdict(F.col("rule_no"), F.col("is_negation"))
-        verdicts.append(hits.select("relpath", verdict.alias("verdict")))
-    if any(s.kind == "none" for s in shapes):
-        bare = parsed.where(F.col("kind") == "none").collect()
-        matched = _last_bare_match(bare, F.col("__is_dir")).alias("verdict")
-        verdicts.append(paths.select("relpath", matched).where("verdict is not null"))
-    if not verdicts:
-        return paths.select("relpath", F.lit(0).cast("long").alias("verdict")).where(F.lit(False))
-    merged = verdicts[0]
-    for more in verdicts[1:]:
-        merged = merged.unionByName(more)
-    return merged.groupBy("relpath").agg(F.max("verdict").alias("verdict"))
+    applies = F.col("is_negation") | ~F.col("is_dir_only") | F.col("__is_dir")
+    hits = candidates.where(applies & F.rlike(F.col("relpath"), F.col("regex")))
+    # Of a rule and its negation in one place, which numbers given by hand allow, the negation counts.
+    last = hits.groupBy("relpath").agg(F.max(F.struct("at", "is_negation")).alias("last"))
+    return last.where("not last.is_negation").select("relpath")
 
 
 def with_ignored(df: DataFrame, rules: DataFrame, is_dir: Column | None = None) -> DataFrame:
@@ -236,21 +187,13 @@ def with_ignored(df: DataFrame, rules: DataFrame, is_dir: Column | None = None)
 
     A negation that matches keeps the path; a directory-only rule is passed
     over for files.  Rules match the path itself and not what lies above it.
+    ``df`` should be narrow: it is joined as it is.
     """
     if is_dir is None:
         require(df, "relpath", "is_dir")
         is_dir = F.col("is_dir")
-    few = _distinct_rules(rules).limit(COMPILED_RULES + 1).collect()
-    runs = _runs(few)
-    if len(few) <= COMPILED_RULES and len(runs) <= COMPILED_RUNS:
-        return df.withColumn("is_ignored", _ignored_by(runs, is_dir))
-    paths = df.select("relpath", is_dir.alias("__is_dir"))
-    ignored = (
-        _joined_verdicts(paths, rules)
-        .where(F.pmod(F.col("verdict"), F.lit(2)) == 0)
-        .select("relpath", F.lit(True).alias("is_ignored"))
-    )
-    return df.join(ignored, "relpath", "left").withColumn(
+    ignored = ignored_paths(df.select("relpath", is_dir.alias("__is_dir")), rules)
+    return df.join(ignored.withColumn("is_ignored", F.lit(True)), "relpath", "left").withColumn(
         "is_ignored", F.coalesce(F.col("is_ignored"), F.lit(False))
     )
 

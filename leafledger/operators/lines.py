@@ -91,13 +91,10 @@ def metric_columns(codes: Column) -> dict[str, Column]:
 
 
 def file_metrics(corpus: DataFrame) -> DataFrame:
-    """Line counts and complexity per file that has an extension.
-
-    Files with a line beyond the reader's limit are left out.
-    """
+    """Line counts and complexity per file that has an extension, lines of any length included."""
     text = text_of(require(corpus, "relpath"))
     ext_key = P.extension_key(F.col("relpath"))
-    coded = corpus.where(ext_key.isNotNull() & ~TX.has_long_line(text)).select(
+    coded = corpus.where(ext_key.isNotNull()).select(
         "relpath", ext_key.alias("ext_key"), linecodes.line_codes(ext_key, text).alias("codes")
     )
     return coded.select(

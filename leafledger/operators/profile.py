@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from leafledger.functions import linecodes, sniff, tokens
 from leafledger.functions import paths as P
-from leafledger.functions import text as TX
 from leafledger.functions.lookups import OTHER_LANGUAGE, language_table
 from leafledger.operators.lines import metric_columns
 from leafledger.schema import bytes_of, require, text_of
@@ -39,13 +38,10 @@ AGE_BUCKETS = (
     ("older", None),
 )
 COMPLEX_LINES, COMPLEX_SCORE = 300, 20
-LINE_MEASURES = ("lines", "code_lines", "blank_lines", "comments", "complexity_score")
+LINE_MEASURES = ("lines", "code_lines", "blank_lines", "comments", "complexity_score", "complex_files")
 MEASURES = ("files", "size_bytes", "tokens", "measured", *LINE_MEASURES)
 CLASSES = ("ext", "size_bucket", "is_text", "is_binary")
 
-# An extension list is folded into one cell only up to this many entries.
-LIST_LIMIT = 10_000
-
 
 def size_bucket(size: Column) -> Column:
     chosen = None
@@ -56,10 +52,15 @@ def size_bucket(size: Column) -> Column:
 
 
 def age_bucket(mtime: Column, as_of: dt.datetime) -> Column:
-    """Age class at ``as_of``; a date in the future counts as new."""
-    chosen = None
+    """Age class at ``as_of``; a date in the future counts as new.
+
+    ``as_of`` and a time without zone are read on one clock, whatever the driver's zone.  A
+    time with a zone is first put on the session's clock, on which ``as_of`` then is.
+    """
+    chosen, local = None, mtime.cast("timestamp_ntz")
     for label, days in AGE_BUCKETS[:-1]:
-        test = mtime > F.lit(as_of - dt.timedelta(days=days)).cast("timestamp_ntz")
+        bound = (as_of - dt.timedelta(days=days)).isoformat(sep=" ")
+        test = local > F.lit(bound).cast("timestamp_ntz")
         chosen = F.when(test, label) if chosen is None else chosen.when(test, label)
     return chosen.otherwise(AGE_BUCKETS[-1][0])
 
@@ -95,7 +96,7 @@ def facts(
         ext_key.alias("ext_key"),
         textual.alias("is_text"),
         sniff.has_nul(content).alias("is_binary"),
-        F.when(textual, tokens.file_tokens(ext_key, text, F.col("size_bytes")))
+        F.when(textual, tokens.file_tokens(ext_key, text))
         .otherwise(0).alias("tokens"),
         size_bucket(F.col("size_bytes")).alias("size_bucket"),
     ]
@@ -104,12 +105,16 @@ def facts(
     if not with_lines:
         return corpus.select(*columns)
     codes = linecodes.line_codes(ext_key, text)
-    coded = _once(corpus, "codes", F.when(ext_key.isNotNull() & ~TX.has_long_line(text), codes))
+    coded = _once(corpus, "codes", F.when(ext_key.isNotNull(), codes))
     return coded.select(
         *columns,
         F.col("codes").isNotNull().cast("long").alias("measured"),
         *[F.coalesce(c, F.lit(0)).alias(n) for n, c in metric_columns(F.col("codes")).items()],
-    )
+    ).withColumn("complex_files", _is_complex().cast("long"))
+
+
+def _is_complex() -> Column:
+    return (F.col("measured") > 0) & ((F.col("lines") > COMPLEX_LINES) | (F.col("complexity_score") > COMPLEX_SCORE))
 
 
 def condense(file_facts: DataFrame) -> DataFrame:
@@ -225,10 +230,7 @@ def language_metrics(f: DataFrame) -> DataFrame:
 
 def complex_files(file_facts: DataFrame) -> DataFrame:
     """Files that are long or score high; needs one row per file."""
-    return require(file_facts, "measured").where(
-        (F.col("measured") > 0)
-        & ((F.col("lines") > COMPLEX_LINES) | (F.col("complexity_score") > COMPLEX_SCORE))
-    ).select("relpath", "lines", "complexity_score")
+    return require(file_facts, "measured").where(_is_complex()).select("relpath", "lines", "complexity_score")
 
 
 def language_extensions(f: DataFrame) -> DataFrame:
@@ -251,45 +253,19 @@ def language_extensions(f: DataFrame) -> DataFrame:
     )
 
 
-def language_stats(f: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Files, bytes, share and sorted extensions per language.
-
-    Mapped languages have a handful of extensions.  Unmapped ones are open
-    ended, so a list beyond ``list_limit`` stays null rather than growing one
-    cell without bound; ``language_extensions`` has those rows.
-    """
-    per_ext = language_extensions(f)
-    counts = per_ext.groupBy("language").agg(
+def language_stats(f: DataFrame) -> DataFrame:
+    """Files, bytes, share and number of extensions per language; ``language_extensions`` has
+    the extensions as rows."""
+    counts = language_extensions(f).groupBy("language").agg(
         F.sum("files").alias("files"),
         F.sum("size_bytes").alias("size_bytes"),
         F.count("extension").alias("extension_count"),
     )
-    # One row per language, 32 at most: one window and a broadcast are enough.
+    # One row per language, 32 at most: one window is enough.
     everything = Window.partitionBy(F.lit(0))
-    shared = counts.withColumn(
+    return counts.withColumn(
         "percentage", F.col("files") / F.sum("files").over(everything).cast("double") * 100
     )
-    # Both readers of ``per_ext`` use all its columns, so its shuffle is shared.
-    listed = F.when(
-        F.col("extension_count") <= list_limit,
-        F.struct("extension", per_ext["files"], per_ext["size_bytes"]),
-    )
-    known = [c for c in shared.columns if c != "language"]
-    joined = per_ext.join(
-        F.broadcast(shared.withColumnsRenamed({"files": "all_files", "size_bytes": "all_bytes"})),
-        "language",
-    )
-    grouped = joined.groupBy("language").agg(
-        F.any_value("all_files").alias("files"),
-        F.any_value("all_bytes").alias("size_bytes"),
-        F.any_value("extension_count").alias("extension_count"),
-        F.any_value("percentage").alias("percentage"),
-        F.collect_list(listed).alias("listed"),
-    )
-    names = F.transform(F.sort_array("listed"), lambda e: e["extension"])
-    return grouped.select(
-        "language", *known, F.when(F.size("listed") > 0, names).alias("extensions")
-    )
 
 
 def top_languages(f: DataFrame, limit: int = 0) -> DataFrame:
@@ -298,10 +274,10 @@ def top_languages(f: DataFrame, limit: int = 0) -> DataFrame:
 
 
 def profile_report(condensed: DataFrame) -> DataFrame:
-    """The whole profile as rows ``(section, item, measures)`` in one pass.
+    """Sums per class as rows ``(section, item, measures, oldest, newest, percentage)``.
 
     Grouping sets over condensed facts: the corpus is scanned once, and the
-    sets multiply only the condensed rows.
+    sets multiply only the condensed rows.  The share is that of all files.
     """
     require(condensed, "age_bucket")
     table = F.broadcast(language_table(condensed.sparkSession))
@@ -314,9 +290,15 @@ def profile_report(condensed: DataFrame) -> DataFrame:
     grouped = named.groupingSets([[c] for c in columns] + [[]], *columns).agg(
         *[F.grouping(d).alias(f"g_{d}") for d in dims],
         *[_total(m).alias(m) for m in MEASURES],
+        F.min("oldest").alias("oldest"),
+        F.max("newest").alias("newest"),
     )
     section, item = F.lit("total"), F.lit("")
     for d in dims:
         section = F.when(F.col(f"g_{d}") == 0, F.lit(d)).otherwise(section)
         item = F.when(F.col(f"g_{d}") == 0, F.col(d)).otherwise(item)
-    return grouped.select(section.alias("section"), item.alias("item"), *MEASURES)
+    rows = grouped.select(section.alias("section"), item.alias("item"), *MEASURES, "oldest", "newest")
+    # The total is one of the few rows here: the largest count of files.
+    everything = F.max("files").over(Window.partitionBy(F.lit(0)))
+    share = F.col("files") / F.nullif(everything, F.lit(0)).cast("double") * 100
+    return rows.withColumn("percentage", F.coalesce(share, F.lit(0.0)))

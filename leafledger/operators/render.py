@@ -12,7 +12,9 @@ from leafledger.functions import text as TX
 from leafledger.functions.globs import comma_list
 from leafledger.functions.lookups import fence_of
 from leafledger.functions.tokens import rough_tokens
+from leafledger.operators.budget import with_budget
 from leafledger.operators.lines import numbered
+from leafledger.operators.select import Selection, selection_reasons
 from leafledger.schema import require, text_of
 
 # The layouts.
@@ -79,25 +81,54 @@ def render_html(corpus: DataFrame, is_numbered: bool = True) -> DataFrame:
     return _render(corpus, html_block, is_numbered)
 
 
-def export_files(corpus: DataFrame, root: str = "") -> DataFrame:
-    """The JSON record of each file; ``root`` is put before ``path``."""
-    require(corpus, "relpath", "size_bytes")
-    path, text = F.col("relpath"), text_of(corpus)
+def _record(files: DataFrame, root: str, content: Column, skip_reason: Column, truncated: Column) -> DataFrame:
+    path, text = F.col("relpath"), text_of(files)
     prefix = f"{root.rstrip('/')}/" if root else ""
-    return corpus.select(
+    return files.select(
         F.concat(F.lit(prefix), path).alias("path"),
         path.alias("relative_path"),
         F.lit("text").alias("type"),
         F.col("size_bytes"),
         TX.line_count(text).alias("line_count"),
         F.substring_index(P.extension(path), ".", -1).alias("extension"),
-        F.make_valid_utf8(text).alias("content"),
-        F.lit(False).alias("skipped"),
-        F.lit("").alias("skip_reason"),
-        F.lit(False).alias("truncated"),
+        F.make_valid_utf8(content).alias("content"),
+        (skip_reason != "").alias("skipped"),
+        skip_reason.alias("skip_reason"),
+        truncated.alias("truncated"),
     )
 
 
+def export_files(
+    corpus: DataFrame,
+    root: str = "",
+    spec: Selection | None = None,
+    limit: int = 0,
+    max_file: str | int | None = None,
+) -> DataFrame:
+    """The JSON record of each file; ``root`` is put before ``path``.
+
+    A file that ``spec`` does not select, or that is above ``max_file``, is skipped: it keeps
+    its record with the reason and without content.  A file that loses lines to ``limit`` is
+    truncated and has the lines that fit.
+    """
+    require(corpus, "relpath", "size_bytes")
+    chosen = corpus
+    if spec is not None:
+        reasons = selection_reasons(corpus, spec).where("reason <> 'selected'").select("relpath", "reason")
+        chosen = corpus.join(reasons, "relpath", "left_anti")
+    cut = with_budget(chosen, limit, True, max_file)
+    text, too_large = text_of(chosen), F.col("too_large")
+    lost = ~too_large & (F.col("kept_lines") < F.col("line_count"))
+    lines = F.slice(TX.split_lines(text), F.lit(1), F.col("kept_lines").cast("int"))
+    fitting = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    content = F.when(too_large, "").when(lost, fitting).otherwise(text)
+    records = _record(cut, root, content, F.when(too_large, "too_large").otherwise(""), lost)
+    if spec is None:
+        return records
+    skipped = corpus.join(reasons, "relpath")
+    return records.unionByName(_record(skipped, root, F.lit(""), F.col("reason"), F.lit(False)))
+
+
 def export_metadata(
     stats: DataFrame,
     directories: DataFrame,
@@ -112,7 +143,7 @@ def export_metadata(
     max_file_size: str = "",
     character_limit: int = 0,
     include_dotfiles: bool = False,
-    truncated: bool = False,
+    truncated: bool | Column = False,
     extra: DataFrame | None = None,
 ) -> DataFrame:
     """One row: options, counts, sizes, tokens; ``extra`` is a caller's one-row metadata.

@@ -7,17 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_BUCKETS, MAX_BUCKETS = 2, 256
 SAMPLES_PER_BUCKET = 16
-# Rows worth a range of their own when the whole table is known to be small.
-SMALL_RANGE = 1000
 
 _BUCKET, _OFFSET, _PART = "__bucket", "__offset", "__part"
 
 
 def _bucket_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+    """One range per shuffle partition: the cluster's setting decides how far work spreads."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _literal(value, kind) -> Column:
@@ -29,16 +26,12 @@ def _key_bounds(df: DataFrame, columns: Sequence[str], buckets: int | None) -> l
 
     The sample has at most ``buckets * SAMPLES_PER_BUCKET`` rows whatever the
     input size, is the same on every run, and only steers the balance of the
-    buckets: any bounds give right totals.  A table that fits into the sample
-    as a whole needs few ranges or none.
+    buckets: any bounds give right totals.
     """
     wanted = buckets or _bucket_count(df)
-    size = wanted * SAMPLES_PER_BUCKET
     keys = df.select(*columns)
-    sample = keys.orderBy(F.xxhash64(*columns), *columns).limit(size)
+    sample = keys.orderBy(F.xxhash64(*columns), *columns).limit(wanted * SAMPLES_PER_BUCKET)
     rows = [tuple(r) for r in sample.orderBy(*columns).collect()]
-    if buckets is None and len(rows) < size:
-        wanted = len(rows) // SMALL_RANGE
     picks = [rows[len(rows) * i // wanted] for i in range(1, wanted)] if rows else []
     return sorted_unique(picks)
 
@@ -52,7 +45,7 @@ def sorted_unique(rows: list[tuple]) -> list[tuple]:
 
 
 def _bucket_of(columns: Sequence[str], bounds: list[tuple], kinds: dict) -> Column:
-    """How many bounds are at or below the row's key."""
+    """How many bounds are at or below the row's key: a binary search over the sorted bounds."""
     key = F.struct(*[F.col(c).alias(c) for c in columns])
     literals = F.array(
         *[
@@ -60,7 +53,20 @@ def _bucket_of(columns: Sequence[str], bounds: list[tuple], kinds: dict) -> Colu
             for bound in bounds
         ]
     )
-    return F.size(F.filter(literals, lambda b: b <= key))
+    zero, size = F.lit(0), F.lit(len(bounds))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        above = F.get(literals, middle) <= key
+        narrower = F.struct(
+            F.when(above, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(above, at["high"]).otherwise(middle).alias("high"),
+        )
+        return F.when(at["low"] < at["high"], narrower).otherwise(at)
+
+    start = F.struct(zero.alias("low"), size.alias("high"))
+    return F.aggregate(steps, start, halve, lambda at: at["low"])
 
 
 def _in_cut_groups(within: Sequence[str], bounds: list[tuple], kinds: dict) -> Column:
@@ -93,9 +99,8 @@ def running_total(
     sums has at most twice as many rows as there are ranges: it is safe to broadcast.  A group
     with a third of all rows is thus spread over a third of the ranges.
 
-    Given a frame of nothing but the order and the value (then named, not
-    computed), the shuffled rows also serve for the range sums, so that
-    ``df`` is evaluated once for both.
+    Without ``within`` the shuffled rows also serve for the range sums, so that ``df`` is
+    evaluated once for both; it should be narrow.
     """
     order, within = list(order), list(within)
     columns = within + order
@@ -105,8 +110,7 @@ def running_total(
     rows = df if isinstance(value, str) else df.withColumn(_PART, value.cast("long"))
     rows = rows.withColumn(_BUCKET, _bucket_of(columns, bounds, kinds) if bounds else F.lit(0))
 
-    is_narrow = not within and set(df.columns) == {*order, part}
-    if bounds and is_narrow:
+    if bounds and not within:
         rows = rows.repartition(_BUCKET)
     in_range = (
         Window.partitionBy(*within, _BUCKET)
@@ -120,7 +124,8 @@ def running_total(
     spanning = rows.where(_in_cut_groups(within, bounds, kinds)) if within else rows
     # Ranges follow the order, so their last keys order them; asking for these
     # makes the sums need the same columns as the rows.
-    last = F.max(F.struct(*order)) if is_narrow else F.max(_BUCKET)
+    rest = [c for c in rows.columns if c not in (*order, part, _BUCKET)]
+    last = F.max(_BUCKET) if within else F.max(F.struct(*order, *rest))
     totals = spanning.groupBy(*within, _BUCKET).agg(F.sum(part).alias("__sum"), last.alias("__last"))
     earlier = (
         Window.partitionBy(*(within or [F.lit(0)]))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from leafledger.functions import paths as P
 from leafledger.functions import sniff
 from leafledger.functions.globs import comma_list, full_match
-from leafledger.functions.sizes import DEFAULT_MAX_FILE, parse_size, size_column
-from leafledger.operators.ignore import with_ignored
+from leafledger.functions.sizes import parse_size, size_column
+from leafledger.operators.ignore import ignored_paths, with_ignored
 from leafledger.operators.spread import spread_join
 from leafledger.schema import bytes_of, require
 
@@ -49,8 +49,8 @@ def matches_glob(patterns: str | Iterable[str] | None) -> Column:
 
 
 def within_size(limit: str | int | None) -> Column:
-    """``size_bytes`` up to the limit; ``0`` means none and ``None`` the default."""
-    bound = parse_size(DEFAULT_MAX_FILE if limit is None else limit)
+    """``size_bytes`` up to the limit; ``0`` and ``None`` mean none."""
+    bound = parse_size(limit)
     return F.col("size_bytes") <= bound if bound > 0 else F.lit(True)
 
 
@@ -69,7 +69,7 @@ def exclude_globs(df: DataFrame, patterns: str | Iterable[str] | None) -> DataFr
     return require(df, "relpath").where(~matches_glob(patterns))
 
 
-def max_size(df: DataFrame, limit: str | int | None = DEFAULT_MAX_FILE) -> DataFrame:
+def max_size(df: DataFrame, limit: str | int | None = None) -> DataFrame:
     return require(df, "size_bytes").where(within_size(limit))
 
 
@@ -118,7 +118,7 @@ def classify_text(df: DataFrame) -> DataFrame:
 
 
 def nul_sniff(df: DataFrame) -> DataFrame:
-    """Add ``is_binary``: a NUL among the first bytes."""
+    """Add ``is_binary``: a NUL anywhere."""
     return df.withColumn("is_binary", sniff.has_nul(bytes_of(df)))
 
 
@@ -145,18 +145,20 @@ class Selection:
 def select_files(df: DataFrame, spec: Selection) -> DataFrame:
     """Files that pass every part of ``spec``.
 
-    The path predicates come first and the content test last.  Ignore rules and
-    the tracked set meet only paths that survived, and no content: what comes
-    back to be joined is a set of paths.
+    The path predicates come first and the content test last.  The tracked set and then the
+    ignore rules meet narrow rows of the paths that are left; what they leave is one set of
+    paths, and a single semi join takes it back to the content.
     """
     kept = require(df, "relpath").where(spec.path_predicate())
-    if spec.rules is not None:
-        kept = with_ignored(kept, spec.rules, is_dir=F.lit(False)).where(~F.col("is_ignored"))
-        kept = kept.drop("is_ignored")
+    kept = max_size(kept, spec.max_file_size) if parse_size(spec.max_file_size) > 0 else kept
+    paths = kept.select("relpath")
     if spec.tracked is not None:
-        kept = tracked_only(kept, spec.tracked)
-    if spec.max_file_size != 0:
-        kept = max_size(kept, spec.max_file_size)
+        paths = tracked_only(paths, spec.tracked)
+    if spec.rules is not None:
+        ignored = ignored_paths(paths.withColumn("__is_dir", F.lit(False)), spec.rules)
+        paths = paths.join(ignored, "relpath", "left_anti")
+    if spec.tracked is not None or spec.rules is not None:
+        kept = kept.join(paths, "relpath", "left_semi")
     if spec.text_only:
         kept = kept.where(sniff.is_text(P.extension_key(_path()), bytes_of(df)))
     return kept

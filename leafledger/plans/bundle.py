@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from leafledger.functions import paths as P
 from leafledger.functions import text as TX
-from leafledger.functions.sizes import DEFAULT_MAX_FILE, parse_size
+from leafledger.functions.sizes import parse_size
 from leafledger.operators import budget, render
+from leafledger.operators import profile as S
 from leafledger.operators.paths import derive_entries
 from leafledger.operators.select import Selection, select_files
 from leafledger.operators.tree import render_tree
@@ -28,7 +29,7 @@ def _text_files(files: DataFrame, limit: int, is_numbered: bool, max_file) -> Da
     """Text blocks under both limits, notes in place of what is missing."""
     cut = budget.with_budget(files, limit, is_numbered, max_file)
     lines = F.slice(TX.split_lines(text_of(files)), F.lit(1), F.col("kept_lines").cast("int"))
-    bound = parse_size(DEFAULT_MAX_FILE if max_file is None else max_file)
+    bound = parse_size(max_file)
     lost = F.col("kept_lines") < F.col("line_count")
     body = F.when(
         F.col("too_large"),
@@ -55,8 +56,8 @@ def bundle(
     """``section, tree_key, relpath, block``; sorted by the first two it is the document.
 
     The tree shows all entries, the files are the selected ones.  Both limits
-    belong to the text format.  For ``json`` the blocks are JSON records.
-    ``write_bundle`` sorts and writes; nothing is sorted here.
+    belong to the text format.  For ``json`` the blocks are JSON records: first the metadata,
+    then the tree, then the files.  ``write_bundle`` sorts and writes; nothing is sorted here.
     """
     kind = output_format(format)
     spec = spec or Selection()
@@ -94,4 +95,17 @@ def bundle(
             rows, "section int, tree_key string, relpath string, block string"
         )
         out = out.unionByName(heading)
+    if kind == "json":
+        out = out.unionByName(_metadata(files, entries, spec, is_numbered))
     return out
+
+
+def _metadata(files: DataFrame, entries: DataFrame, spec: Selection, is_numbered: bool) -> DataFrame:
+    """The record that heads a JSON bundle, about the selected files."""
+    stats = S.basic_stats(S.facts(files, with_lines=False))
+    row = render.export_metadata(
+        stats, S.directory_count(entries), files, is_numbered=is_numbered, extensions=spec.extensions,
+        exclude=spec.exclude, max_file_size=str(spec.max_file_size or ""), include_dotfiles=spec.include_dotfiles,
+    )
+    block = F.to_json(F.struct(*[F.col(c) for c in row.columns]))
+    return row.select(F.lit(0).alias("section"), F.lit("").alias("tree_key"), F.lit("").alias("relpath"), block.alias("block"))

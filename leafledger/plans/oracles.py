@@ -7,10 +7,9 @@ window, rules from testing every rule on every path.
 
 from __future__ import annotations
 
-from leafledger.functions.lookups import COMMENT_SYNTAX, FENCES, LANGUAGES, STATUS_TEXT
-from leafledger.functions.lookups import TEXT_EXTENSIONS, TOKEN_FAMILIES, by_extension
-from leafledger.functions.text import SPACES
-from leafledger.plans.registry import BUDGET, CONVERSATION_BUDGET, QUOTAS
+from leafledger.plans.expected import (
+    BUDGET, COMMENTS, CONVERSATION_BUDGET, FENCES, LANGUAGES, QUOTA_BYTES, SPACES, STATUS_TEXT, TEXT_EXTENSIONS, TOKEN_FAMILIES,
+)
 
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SMALL = 8 * 1024
@@ -25,6 +24,10 @@ def values(table: dict[str, str]) -> str:
     return ", ".join(f"({quoted(pair)})" for pair in table.items())
 
 
+def by_extension(table: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    return {ext: value for value, exts in table.items() for ext in exts}
+
+
 CORPUS = """corpus AS (
   SELECT doc_id, source, lang, text,
     source || '/' || lang || '/' || (CASE WHEN doc_id % 41 = 0 THEN '.' ELSE '' END)
@@ -41,7 +44,8 @@ PAGES = """page_corpus AS (
     CAST(strlen(html) AS BIGINT) AS size_bytes, replace(html, ' ', chr(10)) AS text
   FROM (SELECT *, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS p FROM pages))"""
 PROJECTS = """projects AS (
-  SELECT 'p' || CAST(doc_id // 25 AS VARCHAR) || '/' || CASE
+  SELECT CASE WHEN doc_id % 25 = 24 THEN '' ELSE 'p' || CAST(doc_id // 25 AS VARCHAR) || '/' END || CASE
+      WHEN doc_id % 25 = 24                    THEN 'README-' || CAST(doc_id AS VARCHAR) || '.md'
       WHEN doc_id % 25 = 0 AND lang <> 'fr'    THEN 'README.md'
       WHEN doc_id % 25 = 1 AND n_chars % 2 = 0 THEN 'LICENSE'
       WHEN doc_id % 25 = 2 AND n_chars % 3 = 0 THEN '.gitignore'
@@ -99,14 +103,14 @@ def order_key(is_dir: str = "is_dir") -> str:
 
 
 def case(column: str, table: dict[str, str], default: str = "NULL") -> str:
-    arms = " ".join(f"WHEN {column} IN ({quoted(e.split())}) THEN '{v}'" for v, e in table.items())
+    arms = " ".join(f"WHEN {column} IN ({quoted(e)}) THEN '{v}'" for v, e in table.items())
     return f"CASE {arms} ELSE {default} END"
 
 
 def _syntax(part: int) -> str:
     arms = " ".join(
-        f"WHEN ext_key IN ({quoted(e.split())}) THEN '{s[part]}'"
-        for s, e in COMMENT_SYNTAX.items() if s[part]
+        f"WHEN ext_key IN ({quoted(extensions)}) THEN '{marks[part]}'"
+        for marks, extensions in COMMENTS if marks[part]
     )
     return f"CASE {arms} END"
 
@@ -152,7 +156,7 @@ def default_tokens(line: str) -> str:
 
 
 def _family(name: str) -> str:
-    return f"ext_key IN ({quoted(TOKEN_FAMILIES[name].split())})"
+    return f"ext_key IN ({quoted(TOKEN_FAMILIES[name])})"
 
 
 LINE_TOKENS = f"""CASE
@@ -166,26 +170,15 @@ LINE_TOKENS = f"""CASE
 TOKENS = f"""tokens AS (SELECT f.relpath, CAST(coalesce(sum({LINE_TOKENS.replace('ext_key', 'lines.ext_key')}), 0) AS BIGINT) AS tokens
   FROM f LEFT JOIN lines ON lines.relpath = f.relpath GROUP BY f.relpath)"""
 
-# The text test, from the bytes in hexadecimal.  The texts are valid UTF-8, so
-# only a character cut at byte 512 is invalid.
-_BYTE = "substr(h, 2 * i + 1, 2)"
+# The text test, from the bytes in hexadecimal.  The texts are valid UTF-8, so no byte is bad.
+_BYTE = "substr(whole, 2 * i + 1, 2)"
 _CONTROLS = f"len(list_filter(generate_series(0, n - 1), lambda i: {_BYTE} < '20' AND {_BYTE} NOT IN ('08', '09', '0A', '0B', '0C', '0D')))"
-_NULS = f"len(list_filter(generate_series(0, n - 1), lambda i: {_BYTE} = '00'))"
-
-
-def _continues(byte: int) -> str:
-    return f"substr(whole, {2 * byte - 1}, 2) BETWEEN '80' AND 'BF'"
-
-
-SNIFF = f"""s0 AS (SELECT *, hex(encode(text)) AS whole FROM f),
-s1 AS (SELECT *, substr(whole, 1, 1024) AS h, least(length(whole) // 2, 512) AS n FROM s0),
-sniff AS (SELECT *, {_NULS} > 0 AS is_binary,
+SNIFF = f"""s0 AS (SELECT *, hex(encode(text)) AS whole, strlen(text) AS n FROM f),
+sniff AS (SELECT *, contains(text, chr(0)) AS is_binary,
   CASE WHEN coalesce(ext_key IN ({quoted(TEXT_EXTENSIONS)}), false) THEN true
     WHEN n = 0 THEN true
-    WHEN {_NULS} > 0 THEN false
-    WHEN (n - CASE WHEN NOT {_continues(513)} THEN 0 WHEN NOT {_continues(512)} THEN 1
-      WHEN NOT {_continues(511)} THEN 2 ELSE 3 END)::DOUBLE / n < 0.8::DOUBLE THEN false
-    WHEN {_CONTROLS}::DOUBLE / n > 0.3::DOUBLE THEN false ELSE true END AS is_text FROM s1)"""
+    WHEN contains(text, chr(0)) THEN false
+    WHEN {_CONTROLS}::DOUBLE / n > 0.3::DOUBLE THEN false ELSE true END AS is_text FROM s0)"""
 
 RULES = r"""rule_lines AS (
   SELECT d.source || '/.gitignore' AS relpath, d.doc_id AS line_no, CASE d.doc_id % 9
@@ -258,7 +251,7 @@ PER_EXT = """per_ext AS (SELECT coalesce(language, 'Other') AS language, f.ext_k
   CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM f LEFT JOIN langs ON langs.ext_key = f.ext_key
   WHERE f.ext_key IS NOT NULL GROUP BY ALL)"""
 LANGUAGE_STATS = """SELECT language, CAST(sum(files) AS BIGINT) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
-  count(*) AS extension_count, string_agg(extension, ',' ORDER BY extension) AS extensions,
+  count(*) AS extension_count,
   CAST(sum(files) AS DOUBLE) / (SELECT sum(files) FROM per_ext)::DOUBLE * 100 AS percentage
   FROM per_ext GROUP BY language"""
 
@@ -278,9 +271,7 @@ def escaped(text: str) -> str:
 
 
 def _quota_bytes() -> str:
-    """Sizes of the quota texts, worked out by hand; NULL where invalid."""
-    known = {"512B": 512, "2KB": 2048, " 4 kb ": 4096, "1MB": 1048576, "0": 0, "": 0, "3000": 3000}
-    rows = ", ".join(f"({i}, {known.get(q, 'NULL')})" for i, q in enumerate(QUOTAS))
+    rows = ", ".join(f"({i}, {'NULL' if q is None else q})" for i, q in enumerate(QUOTA_BYTES))
     return f"quotas(n, quota_bytes) AS (VALUES {rows})"
 
 
@@ -302,7 +293,7 @@ def health_sql(select: str, *ctes: str) -> str:
   bool_or(NOT is_dir AND ends_with(inside, '_test.go')) AS has_test_files"""
     table = f"""inner_ AS (SELECT *, string_split(relpath, '/')[1] AS project,
   array_to_string(string_split(relpath, '/')[2:], '/') AS inside FROM full_entries),
-checks AS (SELECT project, {checks} FROM inner_ GROUP BY project)"""
+checks AS (SELECT project, {checks} FROM inner_ WHERE is_dir OR contains(relpath, '/') GROUP BY project)"""
     return sql(select, *PROJECT_FILES, ENTRIES, WITH_EMPTY, table, *ctes)
 
 
@@ -409,7 +400,7 @@ def queries() -> dict[str, str]:
           CASE WHEN NOT has_readme THEN 'No README.md file found' END,
           CASE WHEN NOT has_license THEN 'No LICENSE file found' END,
           CASE WHEN NOT has_gitignore THEN 'No .gitignore file found' END,
-          CASE WHEN NOT has_tests THEN 'No tests found' END,
+          CASE WHEN NOT has_tests AND NOT has_test_files THEN 'No tests found' END,
           CASE WHEN large_files > 0 THEN 'Large files detected: ' || large_files END,
           CASE WHEN empty_directories > 0 THEN 'Empty directories: ' || empty_directories END,
           CASE WHEN binary_files > 0 THEN 'Binary files: ' || binary_files || ' (consider adding to .gitignore)' END],
@@ -430,10 +421,27 @@ def queries() -> dict[str, str]:
       {SIZE_CLASS} AS size_bucket, {AGE_CLASS} AS age_bucket, CASE WHEN is_text THEN 'text' ELSE 'binary' END AS kind
       FROM sniff s JOIN tokens USING (relpath) LEFT JOIN metrics m ON m.relpath = s.relpath
       LEFT JOIN langs ON langs.ext_key = s.ext_key)"""
+    measures = measures.replace(" FROM wide", """, count(*) FILTER (lines > 300 OR complexity_score > 20) AS complex_files,
+      min(mtime) AS oldest, max(mtime) AS newest,
+      count(*) / (SELECT count(*) FROM wide)::DOUBLE * 100 AS percentage FROM wide""")
+    empty = "NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL"
+    root = "contains(relpath, '/')"
+    findings = {
+        "has_readme": "count(*) FILTER (relpath IN ('README.md', 'readme.md')) > 0",
+        "has_license": "count(*) FILTER (relpath IN ('LICENSE', 'license')) > 0",
+        "has_gitignore": "count(*) FILTER (relpath = '.gitignore') > 0",
+        "has_tests": f"any_value((SELECT count(*) FROM dirs WHERE NOT {root} AND relpath IN ('tests', 'test'))) > 0",
+        "has_test_files": "count(*) FILTER (ends_with(relpath, '_test.go')) > 0",
+        "large_files": "count(*) FILTER (size_bytes > 10485760)",
+        "empty_directories": "any_value((SELECT count(*) FROM dirs WHERE relpath NOT IN (SELECT parent FROM entries)))",
+        "binary_files": "count(*) FILTER (contains(text, chr(0)))",
+    }
     sections = " UNION ALL ".join(
         [f"SELECT '{d}' AS section, {d} AS item, {measures} GROUP BY {d}" for d in ("ext", "language", "size_bucket", "age_bucket", "kind")]
-        + [f"SELECT 'total' AS section, '' AS item, {measures}"])
-    q["profile_report"] = sql(sections, *FILES, SNIFF, LINES, KINDS, METRICS, TOKENS, LANGS, wide)
+        + [f"SELECT 'total' AS section, '' AS item, {measures}"]
+        + [f"SELECT 'directories', '', (SELECT count(*) + 1 FROM dirs), {empty}"]
+        + [f"SELECT 'health', '{name}', CAST({count} AS BIGINT), {empty} FROM f" for name, count in findings.items()])
+    q["profile_report"] = sql(sections, *FILES, ENTRIES, SNIFF, LINES, KINDS, METRICS, TOKENS, LANGS, wide)
 
     q["tree_order"] = sql(
         f"SELECT relpath, is_dir, row_number() OVER (ORDER BY {order_key()}) AS position FROM entries", *FILES, ENTRIES)
@@ -473,10 +481,22 @@ def queries() -> dict[str, str]:
         f"""SELECT f.relpath, '        <div class="file">' || chr(10) || '            <div class="file-header">' || {escaped('f.relpath')}
         || '</div>' || chr(10) || '            <div class="file-content">' || chr(10) || {body(span)}
         || '            </div>' || chr(10) || '        </div>' || chr(10) AS block {joined}""", *ALL_FILES, LINES)
+    reason = f"""CASE WHEN {DOTTED} THEN 'dotfile' WHEN {EXCLUDED} THEN 'excluded' WHEN NOT is_text THEN 'binary' ELSE '' END"""
+    exported = f"""reasons AS (SELECT *, {reason} AS why FROM sniff),
+chosen AS (SELECT * FROM reasons WHERE why = '')"""
     q["export_files"] = sql(
-        """SELECT 'corpus/' || f.relpath AS path, f.relpath AS relative_path, 'text' AS type, f.size_bytes,
-        (SELECT count(*) FROM lines WHERE lines.relpath = f.relpath) AS line_count, substr(ext, 2) AS extension,
-        text AS content, false AS skipped, '' AS skip_reason, false AS truncated FROM f""", *FILES, LINES)
+        f"""SELECT 'corpus/' || r.relpath AS path, r.relpath AS relative_path, 'text' AS type, r.size_bytes,
+        CAST(length(r.text) - length(replace(r.text, chr(10), ''))
+          + CASE WHEN r.text <> '' AND NOT ends_with(r.text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
+        substr(r.ext, 2) AS extension,
+        CASE WHEN why <> '' OR r.size_bytes > {SMALL} THEN '' WHEN coalesce(lost, false) THEN fitting ELSE r.text END AS content,
+        why <> '' OR r.size_bytes > {SMALL} AS skipped,
+        CASE WHEN why <> '' THEN why WHEN r.size_bytes > {SMALL} THEN 'too_large' ELSE '' END AS skip_reason,
+        why = '' AND r.size_bytes <= {SMALL} AND coalesce(lost, false) AS truncated
+        FROM reasons r LEFT JOIN (SELECT relpath, bool_or(NOT fits) AS lost,
+          coalesce(string_agg(line || chr(10), '' ORDER BY line_no) FILTER (fits), '') AS fitting FROM kept GROUP BY relpath) k
+        ON k.relpath = r.relpath""",
+        *SNIFFED_FILES, SNIFF, exported, LINES.replace(" FROM f)", " FROM chosen)"), BUDGETED)
     q["export_metadata"] = sql(
         f"""SELECT 'corpus' AS target_directory, count(*) AS total_files,
         (SELECT count(*) + 1 FROM dirs) AS total_directories, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
@@ -485,18 +505,52 @@ def queries() -> dict[str, str]:
         '8KB' AS max_file_size, CAST({BUDGET} AS BIGINT) AS character_limit FROM sniff""", *FILES, ENTRIES, SNIFF)
     chosen = f"chosen AS (SELECT * FROM sniff WHERE NOT {DOTTED} AND NOT {EXCLUDED} AND is_text)"
     chosen_lines = LINES.replace(" FROM f)", " FROM chosen)")
-    q["bundle"] = sql(
-        f"""SELECT 1 AS section, relpath, line || chr(10) AS block FROM tree UNION ALL
+    text_bundle = f"""SELECT 1 AS section, relpath, line || chr(10) AS block FROM tree UNION ALL SELECT 2, '', chr(10) UNION ALL
         SELECT 3, c.relpath, chr(10) || c.relpath || ':' || chr(10) || '{rule}' || chr(10)
           || CASE WHEN c.size_bytes > {SMALL} THEN {too_large_note('c.size_bytes')} || chr(10) ELSE coalesce(b.body, '') END
         FROM chosen c LEFT JOIN (SELECT relpath,
             coalesce(string_agg(written || chr(10), '' ORDER BY line_no) FILTER (fits), '')
             || CASE WHEN bool_or(NOT fits) THEN '{TRUNCATED}' || chr(10) ELSE '' END AS body
-          FROM kept GROUP BY relpath) b ON b.relpath = c.relpath""",
-        *FILES, ENTRIES, TREE, SNIFF, chosen, chosen_lines, BUDGETED)
+          FROM kept GROUP BY relpath) b ON b.relpath = c.relpath"""
+    parts = (*FILES, ENTRIES, TREE, SNIFF, chosen, chosen_lines)
+    q["bundle"] = sql(text_bundle, *parts, BUDGETED)
+    q["bundle_written"] = sql(
+        f"""SELECT line, count(*) AS n FROM (
+        SELECT unnest(string_split(regexp_replace(block, '\\n$', ''), chr(10))) AS line FROM ({text_bundle})) GROUP BY line""",
+        *parts, BUDGETED)
+    chosen_joined = "FROM chosen f LEFT JOIN lines l ON l.relpath = f.relpath GROUP BY f.relpath"
+    q["bundle_markdown"] = sql(
+        f"""SELECT 0 AS section, '' AS relpath, '# Project Structure' || chr(10) || chr(10) || '## Directory Tree' || chr(10) || '```' || chr(10) AS block
+        UNION ALL SELECT 1, relpath, line || chr(10) FROM tree
+        UNION ALL SELECT 2, '', chr(10) || '```' || chr(10) || chr(10) || '## Files' || chr(10)
+        UNION ALL SELECT 3, f.relpath, chr(10) || '### ' || f.relpath || chr(10) || '```' || {fence} || chr(10)
+        || {body("CAST(line_no AS VARCHAR) || ' | ' || line")} || '```' || chr(10) {chosen_joined}""", *parts)
+    q["bundle_html"] = sql(
+        f"""SELECT 0 AS section, '' AS relpath, '<div class="tree">' AS block
+        UNION ALL SELECT 1, relpath, {escaped('line')} || '<br>' FROM tree
+        UNION ALL SELECT 2, '', '</div>' || chr(10)
+        UNION ALL SELECT 3, f.relpath, '        <div class="file">' || chr(10) || '            <div class="file-header">' || {escaped('f.relpath')}
+        || '</div>' || chr(10) || '            <div class="file-content">' || chr(10) || {body(span)}
+        || '            </div>' || chr(10) || '        </div>' || chr(10) {chosen_joined}""", *parts)
+    counted = """CAST(length(text) - length(replace(text, chr(10), ''))
+          + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT)"""
+    q["bundle_json"] = sql(
+        f"""SELECT 0 AS section, '' AS relpath, CAST(to_json({{'target_directory': '', 'scan_time': '', 'total_files': count(*),
+          'total_directories': (SELECT count(*) + 1 FROM dirs), 'total_size_bytes': CAST(sum(size_bytes) AS BIGINT),
+          'estimated_tokens': CAST(sum(size_bytes // 4) AS BIGINT), 'text_files': count(*) FILTER (is_text),
+          'binary_files': count(*) FILTER (NOT is_text), 'options': {{'include_line_numbers': true,
+          'extensions_filter': CAST([] AS VARCHAR[]), 'exclude_patterns': ['doc_1*', 'src3/*/*', '*.html'], 'format': 'json',
+          'max_file_size': '', 'character_limit': 0, 'include_dotfiles': false}}, 'truncated': false}}) AS VARCHAR) AS block FROM chosen
+        UNION ALL SELECT 1, relpath, CAST(to_json({{'relpath': relpath, 'is_dir': is_dir, 'line': line}}) AS VARCHAR) FROM tree
+        UNION ALL SELECT 3, relpath, CAST(to_json({{'path': relpath, 'relative_path': relpath, 'type': 'text', 'size_bytes': size_bytes,
+          'line_count': {counted}, 'extension': substr(ext, 2), 'content': text, 'skipped': false, 'skip_reason': '',
+          'truncated': false}}) AS VARCHAR) FROM chosen""", *parts)
     q["corpus_growth"] = sql(
         """SELECT date_trunc('day', mtime)::TIMESTAMP AS window_start, date_trunc('day', mtime)::TIMESTAMP + INTERVAL 1 DAY AS window_end,
         count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, CAST(sum(tokens) AS BIGINT) AS tokens
-        FROM f JOIN tokens USING (relpath) GROUP BY 1
-        HAVING window_end <= (SELECT max(mtime) - INTERVAL 1 DAY FROM f)""", *FILES, LINES, TOKENS)
+        FROM f JOIN tokens USING (relpath) GROUP BY 1""", *FILES, LINES, TOKENS)
+    q["corpus_stats_stream"] = sql(
+        """SELECT ext AS extension, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
+        count(*) FILTER (is_text) AS text_files, CAST(sum(CASE WHEN is_text THEN tokens ELSE 0 END) AS BIGINT) AS tokens
+        FROM sniff JOIN tokens USING (relpath) GROUP BY ext""", *FILES, SNIFF, LINES, TOKENS)
     return q

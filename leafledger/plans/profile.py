@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafledger.operators import health, profile as S
 from leafledger.operators.paths import derive_entries
@@ -65,6 +66,22 @@ def profile(
     return Profile(tables, (classes, rows))
 
 
-def report(corpus: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The profile as one table, without storing anything."""
-    return S.profile_report(S.condense(S.facts(corpus, as_of)))
+def report(
+    corpus: DataFrame, as_of: dt.datetime, entries: DataFrame | None = None, large: str | int = health.LARGE_FILE
+) -> DataFrame:
+    """The profile as one table, without storing anything.
+
+    Beside the sums per class: the number of directories, and each finding of the health check
+    as a row whose ``files`` is a count, or 1 for yes and 0 for no.
+    """
+    entries = derive_entries(corpus) if entries is None else entries
+    sums = S.profile_report(S.condense(S.facts(corpus, as_of)))
+    folders = S.directory_count(entries).select(
+        F.lit("directories").alias("section"), F.lit("").alias("item"), F.col("total_directories").alias("files")
+    )
+    checks = health.health_check(corpus, entries, large).drop("warnings")
+    pairs = [x for c in checks.columns for x in (F.lit(c), F.col(c).cast("long"))]
+    findings = checks.select(F.stack(F.lit(len(checks.columns)), *pairs).alias("item", "files")).select(
+        F.lit("health").alias("section"), "item", "files"
+    )
+    return sums.unionByName(folders.unionByName(findings), allowMissingColumns=True)

@@ -17,6 +17,7 @@ from leafledger.operators import tree
 from leafledger.plans import bundle as B
 from leafledger.plans import profile as E
 from leafledger.sources import tables as D
+from leafledger.sources.sinks import write_bundle
 from leafledger.streaming import stats as ST
 from leafledger.session import shared_dir
 
@@ -56,7 +57,7 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
-    return ignore.parse_ignore_rules(D.rule_lines(spark, sf))
+    return ignore.rules_of_lines(D.rule_lines(spark, sf))
 
 
 def _spec(spark: SparkSession, sf: str) -> select.Selection:
@@ -101,7 +102,7 @@ def tracked_only(spark, sf):
 
 @query
 def ignore_rules(spark, sf):
-    return _rules(spark, sf)
+    return ignore.parse_ignore_rules(D.rule_lines(spark, sf))
 
 
 @query
@@ -269,13 +270,9 @@ def complex_files(spark, sf):
     return S.complex_files(_line_facts(spark, sf))
 
 
-def _flat(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("extensions", F.array_join("extensions", ","))
-
-
 @query
 def language_stats(spark, sf):
-    return _flat(S.language_stats(_facts(spark, sf)))
+    return S.language_stats(_facts(spark, sf))
 
 
 @query
@@ -285,7 +282,7 @@ def language_extensions(spark, sf):
 
 @query
 def top_languages(spark, sf):
-    return _flat(S.top_languages(_facts(spark, sf), 4))
+    return S.top_languages(_facts(spark, sf), 4)
 
 
 @query
@@ -398,7 +395,8 @@ def render_html(spark, sf):
 
 @query
 def export_files(spark, sf):
-    return render.export_files(D.corpus(spark, sf), "corpus")
+    spec = select.Selection(exclude=EXCLUDE)
+    return render.export_files(D.sniff_corpus(spark, sf), "corpus", spec, limit=BUDGET, max_file=SMALL_FILE)
 
 
 @query
@@ -416,34 +414,63 @@ def export_metadata(spark, sf):
     )
 
 
+def _bundle(spark, sf, format: str, **limits) -> DataFrame:
+    packed = B.bundle(D.corpus(spark, sf), select.Selection(exclude=EXCLUDE), format, **limits)
+    return packed.select("section", "relpath", "block")
+
+
 @query
 def bundle(spark, sf):
-    spec = select.Selection(exclude=EXCLUDE)
-    packed = B.bundle(D.corpus(spark, sf), spec, limit=BUDGET, max_file=SMALL_FILE)
-    return packed.where("relpath <> ''").select("section", "relpath", "block")
+    return _bundle(spark, sf, "text", limit=BUDGET, max_file=SMALL_FILE)
+
+
+@query
+def bundle_markdown(spark, sf):
+    return _bundle(spark, sf, "markdown")
+
+
+@query
+def bundle_html(spark, sf):
+    return _bundle(spark, sf, "html")
+
+
+@query
+def bundle_json(spark, sf):
+    return _bundle(spark, sf, "json")
+
+
+@query
+def bundle_written(spark, sf):
+    """The lines of the written text bundle and how often each stands in it."""
+    out = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    packed = B.bundle(D.corpus(spark, sf), select.Selection(exclude=EXCLUDE), limit=BUDGET, max_file=SMALL_FILE)
+    write_bundle(packed, out)
+    lines_of = spark.read.option("lineSep", "\n").text(out).groupBy(F.col("value").alias("line"))
+    return lines_of.agg(F.count("*").alias("n"))
 
 
 # -- streaming ---------------------------------------------------------------
 
 
+def _arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as a stream over the documents' files."""
+    documents = D.table(spark, sf, "documents")
+    stream = spark.readStream.schema(documents.schema)
+    arriving = stream.option("pathGlobFilter", "*.parquet").parquet(f"{sf}/documents.parquet*")
+    return spark.sql(f"SELECT {D.CORPUS} FROM {{docs}}", docs=arriving)
+
+
+def _drained(frame: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    folder = f"{shared_dir(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return ST.drain(frame, folder, keys)
+
+
 @query
 def corpus_growth(spark, sf):
-    """Drains the stream into a table in the cluster's shared folder and reads it back."""
-    return drain_growth(spark, sf, shared_dir(spark))
+    """All windows, from a stream that is drained into the cluster's shared folder."""
+    return _drained(ST.corpus_growth(_arriving(spark, sf), delay=None), "growth", ["window_start", "window_end"])
 
 
-def drain_growth(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    documents = D.table(spark, sf, "documents")
-    arriving = (
-        spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
-    grown = ST.corpus_growth(spark.sql(f"SELECT {D.CORPUS} FROM {{docs}}", docs=arriving))
-    out = f"{folder}/growth-{uuid.uuid4().hex}"
-    stream = (
-        grown.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{out}/table").option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True).start()
-    )
-    stream.awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+@query
+def corpus_stats_stream(spark, sf):
+    return _drained(ST.corpus_stats_stream(_arriving(spark, sf)), "running", ["extension"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,7 +32,9 @@ def build_session(app: str = "leafledger", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster.
 
-    Only where the setting is missing (tests, a laptop) a local folder is made.
+    Where the setting is missing, a folder of this machine is made only if driver and
+    executors are one process; on a cluster that is an error, as each machine would have
+    its own.
     """
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     context_dir = spark.sparkContext.getCheckpointDir()
@@ -40,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if context_dir is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafledger-"))
         context_dir = spark.sparkContext.getCheckpointDir()
     return context_dir.rstrip("/")

@@ -1,4 +1,9 @@
-"""Corpora from directories."""
+"""Corpora from directories, listed and read by the executors.
+
+A root is a path on a file system that all executors see, or an address such as
+``hdfs://...`` or ``s3://...`` that they can open.  Names are bytes: what is not UTF-8 is
+shown with escapes, and ``raw`` keeps the bytes so that such files are entered and read too.
+"""
 
 from __future__ import annotations
 
@@ -7,56 +12,50 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafledger.functions import paths as P
 from leafledger.operators.paths import entry_columns
 from leafledger.schema import require
 from leafledger.session import shared_dir
 
-_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 # Times travel as microseconds.
 LISTED = pa.schema(
     [
-        ("relpath", pa.string()), ("is_dir", pa.bool_()), ("size_bytes", pa.int64()),
+        ("relpath", pa.string()), ("raw", pa.binary()), ("is_dir", pa.bool_()), ("size_bytes", pa.int64()),
         ("mtime", pa.int64()), ("warning", pa.string()),
     ]
 )
+LISTED_COLUMNS = "relpath string, raw binary, is_dir boolean, size_bytes long, mtime long, warning string"
 LOADED = pa.schema(
     [
         ("relpath", pa.string()), ("size_bytes", pa.int64()), ("mtime", pa.int64()),
-        ("content", pa.binary()),
+        ("content", pa.binary()), ("warning", pa.string()),
     ]
 )
+LOADED_COLUMNS = "relpath string, size_bytes long, mtime long, content binary, warning string"
 LISTING_BATCH = 10_000
 LOADING_BATCH_BYTES = 64 * 1024 * 1024
 
 
-def _relative(path: str, root: str) -> object:
-    """``path`` column below ``root``, both without scheme and authority."""
-    bare_root = re.sub(_SCHEME, "", root).rstrip("/") + "/"
-    bare = F.regexp_replace(F.col(path), _SCHEME, "")
-    return F.substring(bare, len(bare_root) + 1, 1 << 20)
+def _local(root: str) -> str | None:
+    """The path of a root on a mounted file system, None for any other address."""
+    scheme = re.match(_SCHEME, root)
+    if scheme and scheme[1] != "file":
+        return None
+    return os.path.abspath(re.sub("^file:(//[^/]*)?", "", root))
 
 
 def read_corpus(spark: SparkSession, root: str, include_dotfiles: bool = False) -> DataFrame:
-    """Files below ``root`` as ``relpath, size_bytes, mtime, content``.
+    """Files below ``root`` as ``relpath, size_bytes, mtime, content, warning``.
 
-    The ``binaryFile`` source reads content only where it is used and takes
-    size and time filters into the listing, but it never shows names that start
-    with ``.`` or ``_``.  With ``include_dotfiles`` the directories are listed
-    by ``list_entries`` instead and read by ``load_contents``.
+    Only names with a leading dot are left out, and only without ``include_dotfiles``.  Paths
+    are those of ``list_entries``.  A file that cannot be read has null content and a warning.
     """
-    if include_dotfiles:
-        return load_contents(list_entries(spark, root, include_dotfiles=True), root)
-    root = root if re.match(_SCHEME, root) else os.path.abspath(root)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(
-        _relative("path", root).alias("relpath"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("mtime"),
-        "content",
-    )
+    return load_contents(list_entries(spark, root, include_dotfiles), root)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -65,32 +64,54 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def _shown(raw: bytes) -> str:
+    return raw.decode("utf-8", "backslashreplace")
+
+
+def _scan_mounted(root: str, folder: bytes, include_dotfiles: bool) -> Iterator[tuple]:
+    where = os.path.join(os.fsencode(root), folder) if folder else os.fsencode(root)
+    try:
+        with os.scandir(where) as found:
+            for item in found:
+                if item.name.startswith(b".") and not include_dotfiles:
+                    continue
+                raw = folder + b"/" + item.name if folder else item.name
+                is_dir = item.is_dir(follow_symlinks=False)
+                try:
+                    facts = item.stat()
+                    yield _shown(raw), raw, is_dir, facts.st_size, facts.st_mtime_ns // 1000, None
+                except OSError as error:
+                    yield _shown(raw), raw, is_dir, None, None, str(error)
+    except OSError as error:
+        yield _shown(folder), folder, True, None, None, str(error)
+
+
+def _scan_remote(root: str, folder: bytes, include_dotfiles: bool) -> Iterator[tuple]:
+    try:
+        store, base = pafs.FileSystem.from_uri(root)
+        where = f"{base.rstrip('/')}/{folder.decode()}" if folder else base
+        for item in store.get_file_info(pafs.FileSelector(where)):
+            if item.base_name.startswith(".") and not include_dotfiles:
+                continue
+            path = f"{folder.decode()}/{item.base_name}" if folder else item.base_name
+            mtime = None if item.mtime_ns is None else item.mtime_ns // 1000
+            yield path, path.encode(), item.type == pafs.FileType.Directory, item.size, mtime, None
+    except OSError as error:
+        yield _shown(folder), folder, True, None, None, str(error)
+
+
 def _list_one_level(root: str, include_dotfiles: bool):
-    def scan(folder: str) -> Iterator[tuple]:
-        where = os.path.join(root, folder) if folder else root
-        try:
-            with os.scandir(where) as found:
-                for item in found:
-                    if item.name.startswith(".") and not include_dotfiles:
-                        continue
-                    path = f"{folder}/{item.name}" if folder else item.name
-                    shown = path.encode("utf-8", "backslashreplace").decode()
-                    if shown != path:
-                        yield shown, False, None, None, "name is not UTF-8"
-                        continue
-                    is_dir = item.is_dir(follow_symlinks=False)
-                    try:
-                        facts = item.stat()
-                        yield path, is_dir, facts.st_size, facts.st_mtime_ns // 1000, None
-                    except OSError as error:
-                        yield path, is_dir, None, None, str(error)
-        except OSError as error:
-            yield folder, True, None, None, str(error)
+    mounted = _local(root)
+
+    def scan(folder: bytes) -> Iterator[tuple]:
+        if mounted is None:
+            return _scan_remote(root, folder, include_dotfiles)
+        return _scan_mounted(mounted, folder, include_dotfiles)
 
     def batches(levels: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for level in levels:
-            for folder in level.column("relpath").to_pylist():
+            for folder in level.column("raw").to_pylist():
                 for row in scan(folder):
                     rows.append(row)
                     if len(rows) == LISTING_BATCH:
@@ -101,68 +122,92 @@ def _list_one_level(root: str, include_dotfiles: bool):
     return batches
 
 
+def _is_directory(root: str) -> bool:
+    mounted = _local(root)
+    if mounted is not None:
+        return os.path.isdir(mounted)
+    store, base = pafs.FileSystem.from_uri(root)
+    return store.get_file_info(base).type == pafs.FileType.Directory
+
+
 def list_entries(spark: SparkSession, root: str, include_dotfiles: bool = False) -> DataFrame:
     """Every file and directory below ``root``, empty and hidden ones too.
 
     One round per directory level: the executors list the level's directories,
     and the result is checkpointed so that a round never lists earlier levels
-    again and survives lost executors.  The file system must be visible to all
-    executors.  A directory that cannot be listed yields a ``warning`` and no
-    children; a missing root is an error.
+    again and survives lost executors.  A directory that cannot be listed yields a
+    ``warning`` and no children; a missing root is an error.  ``raw`` has a name's bytes.
     """
-    if not os.path.isdir(root):
+    if not _is_directory(root):
         raise NotADirectoryError(f"{root} is not a directory")
     shared_dir(spark)
-    level = spark.createDataFrame([("",)], "relpath string")
+    level = spark.createDataFrame([("", b"")], "relpath string, raw binary")
     found: DataFrame | None = None
     while True:
         spread = max(1, spark.sparkContext.defaultParallelism)
         listed = (
             level.repartition(spread, "relpath")
-            .mapInArrow(
-                _list_one_level(root, include_dotfiles),
-                "relpath string, is_dir boolean, size_bytes long, mtime long, warning string",
-            )
+            .mapInArrow(_list_one_level(root, include_dotfiles), LISTED_COLUMNS)
             .withColumn("mtime", F.timestamp_micros("mtime"))
             .checkpoint()
         )
         found = listed if found is None else found.unionByName(listed)
-        level = listed.where("is_dir and warning is null").select("relpath")
+        level = listed.where("is_dir and warning is null").select("relpath", "raw")
         if level.isEmpty():
             break
     # A directory that failed is listed by its parent as well; the row with the
     # warning replaces that one.
-    merged = found.groupBy("relpath").agg(
+    merged = found.groupBy("relpath", "raw").agg(
         F.bool_or("is_dir").alias("is_dir"),
         F.max("size_bytes").alias("size_bytes"),
         F.max("mtime").alias("mtime"),
         F.max("warning").alias("warning"),
     )
     facts = merged.where("relpath <> ''")
-    return entry_columns(facts).join(facts.drop("is_dir"), "relpath")
+    parts = entry_columns(facts).columns
+    named = facts.withColumns({"parent": P.dir_name(F.col("relpath")), "name": P.base_name(F.col("relpath")), "depth": P.depth(F.col("relpath"))})
+    return named.select(*parts, "size_bytes", "mtime", "warning", "raw")
+
+
+def _reader(root: str):
+    """A function from a name's bytes to the file's content."""
+    mounted = _local(root)
+    if mounted is not None:
+
+        def read(raw: bytes) -> bytes:
+            with open(os.path.join(os.fsencode(mounted), raw), "rb") as stream:
+                return stream.read()
+
+        return read
+    store, base = pafs.FileSystem.from_uri(root)
+
+    def fetch(raw: bytes) -> bytes:
+        with store.open_input_stream(f"{base.rstrip('/')}/{raw.decode()}") as stream:
+            return stream.read()
+
+    return fetch
 
 
 def load_contents(entries: DataFrame, root: str) -> DataFrame:
-    """Contents of the files among ``entries``; unreadable files are left out."""
+    """Contents of the files among ``entries``; an unreadable file keeps its row, with null
+    content and a ``warning``."""
     files = require(entries, "relpath", "is_dir", "size_bytes", "mtime").where(~F.col("is_dir"))
+    raw = F.col("raw") if "raw" in entries.columns else F.col("relpath").cast("binary")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        read, rows, held = _reader(root), [], 0
         for batch in batches:
-            for path, mtime in zip(*(batch.column(c).to_pylist() for c in ("relpath", "mtime"))):
+            for path, name, size, mtime in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 try:
-                    with open(os.path.join(root, path), "rb") as stream:
-                        content = stream.read()
-                except OSError:
-                    continue
-                rows.append((path, len(content), mtime, content))
-                held += len(content)
+                    content, warning = read(name), None
+                except OSError as error:
+                    content, warning = None, str(error)
+                rows.append((path, size if content is None else len(content), mtime, content, warning))
+                held += len(content or b"")
                 if held >= LOADING_BATCH_BYTES:
                     yield _batch(rows, LOADED)
                     rows, held = [], 0
         yield _batch(rows, LOADED)
 
-    loaded = files.select("relpath", F.unix_micros("mtime").alias("mtime")).mapInArrow(
-        load, "relpath string, size_bytes long, mtime long, content binary"
-    )
-    return loaded.withColumn("mtime", F.timestamp_micros("mtime"))
+    narrow = files.select("relpath", raw.alias("raw"), "size_bytes", F.unix_micros("mtime").alias("mtime"))
+    return narrow.mapInArrow(load, LOADED_COLUMNS).withColumn("mtime", F.timestamp_micros("mtime"))

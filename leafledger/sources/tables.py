@@ -24,7 +24,8 @@ CORPUS = """
 """
 
 PROJECTS = """
-    'p' || CAST(doc_id DIV 25 AS STRING) || '/' || CASE
+    CASE WHEN doc_id % 25 = 24 THEN '' ELSE 'p' || CAST(doc_id DIV 25 AS STRING) || '/' END || CASE
+        WHEN doc_id % 25 = 24                    THEN 'README-' || CAST(doc_id AS STRING) || '.md'
         WHEN doc_id % 25 = 0 AND lang <> 'fr'    THEN 'README.md'
         WHEN doc_id % 25 = 1 AND n_chars % 2 = 0 THEN 'LICENSE'
         WHEN doc_id % 25 = 2 AND n_chars % 3 = 0 THEN '.gitignore'
@@ -47,7 +48,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as projects of 25 files each."""
+    """``documents`` as projects of 24 files each, and files beside the projects."""
     return spark.sql(f"SELECT {PROJECTS} FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
 
 

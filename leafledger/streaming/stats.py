@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +15,7 @@ def _measured(files: DataFrame) -> DataFrame:
     path, text = F.col("relpath"), text_of(files)
     ext_key = P.extension_key(path)
     textual = sniff.is_text(ext_key, bytes_of(files))
-    counted = tokens.file_tokens(ext_key, text, F.col("size_bytes"))
+    counted = tokens.file_tokens(ext_key, text)
     return files.withColumns(
         {
             "ext": P.extension(path),
@@ -41,15 +39,16 @@ def corpus_stats_stream(files: DataFrame) -> DataFrame:
     )
 
 
-def corpus_growth(files: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+def corpus_growth(files: DataFrame, window: str = "1 day", delay: str | None = "1 day") -> DataFrame:
     """Files, bytes and tokens per tumbling window of ``mtime``.
 
     In ``append`` mode a window is written once the watermark has passed its
-    end; files that arrive for a written window are dropped.
+    end; files that arrive for a written window are dropped.  Without ``delay`` no window is
+    ever closed: ``update`` and ``complete`` mode then give every window and count every file.
     """
     require(files, "relpath", "size_bytes", "mtime")
     is_local = isinstance(files.schema["mtime"].dataType, T.TimestampNTZType)
-    epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     # Watermarks need instants; a time without zone is read as UTC and given
     # back as it was, whatever the session's zone.
     since = F.timestamp_diff("MICROSECOND", epoch, F.col("mtime"))
@@ -57,7 +56,9 @@ def corpus_growth(files: DataFrame, window: str = "1 day", delay: str = "1 day")
     restored = (
         (lambda c: F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch)) if is_local else (lambda c: c)
     )
-    timed = _measured(files).withColumn("at", instant).withWatermark("at", delay)
+    timed = _measured(files).withColumn("at", instant)
+    if delay is not None:
+        timed = timed.withWatermark("at", delay)
     return (
         timed.groupBy(F.window("at", window).alias("w"))
         .agg(
@@ -71,3 +72,25 @@ def corpus_growth(files: DataFrame, window: str = "1 day", delay: str = "1 day")
             "files", "size_bytes", "tokens",
         )
     )
+
+
+def drain(frame: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Runs a streaming aggregation over all that has arrived; its result so far, by ``keys``.
+
+    Each batch writes the rows that it has changed below ``folder``, under its number, so that a
+    batch that is run again replaces its own rows.  The last row of each key counts.
+    """
+
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    stream = (
+        frame.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    )
+    stream.awaitTermination()
+    numbered = T.StructType([*frame.schema.fields, T.StructField("batch", T.LongType())])
+    rows = frame.sparkSession.read.schema(numbered).parquet(f"{folder}/table")
+    values = [c for c in frame.columns if c not in keys]
+    last = F.max_by(F.struct(*values), F.col("batch")).alias("v")
+    return rows.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"v.{c}") for c in frame.columns])

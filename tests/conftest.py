@@ -47,11 +47,3 @@ def corpus(spark):
 @pytest.fixture
 def paths_of():
     return lambda df: sorted(r.relpath for r in df.select("relpath").collect())
-
-
-@pytest.fixture(autouse=True)
-def many_ranges(monkeypatch):
-    """Cut even the small tables of the tests into several ranges."""
-    from leafledger.operators import running
-
-    monkeypatch.setattr(running, "SMALL_RANGE", 10)

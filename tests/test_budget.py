@@ -53,8 +53,9 @@ def test_edge_of_the_budget(corpus):
 
 def test_too_large(corpus):
     files = corpus({"a": "x", "b": "y"}, {"a": 5 * 2**20})
-    assert [tuple(r) for r in budget.too_large_rows(files).collect()] == [
+    assert [tuple(r) for r in budget.too_large_rows(files, "1MB").collect()] == [
         ("a", "[File too large: 5.0MB - skipped (max: 1.0MB)]")]
+    assert budget.too_large_rows(files).count() == 0
 
 
 def test_group_budget_over_a_hot_group(spark):

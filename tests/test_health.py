@@ -21,6 +21,14 @@ def test_presence_by_project(spark):
     assert rows == {"p": (True, False), "q": (False, True)}
 
 
+def test_files_beside_the_projects_are_no_projects(spark, corpus):
+    items = [("README.md", False), ("p", True), ("p/x_test.go", False)]
+    checks = health.presence_checks(listing(spark, items), True).collect()
+    assert [(r.project, r.has_readme, r.has_test_files) for r in checks] == [("p", False, True)]
+    row = health.health_check(corpus({"README.md": "x", "p/x_test.go": "y"}), listing(spark, items), by_top=True).collect()
+    assert [r.project for r in row] == ["p"] and "No tests found" not in row[0].warnings
+
+
 def test_no_entries(spark):
     row = health.presence_checks(listing(spark, []))
     assert row.first().has_readme is False

@@ -1,13 +1,11 @@
 import random
 import re
 
-import pytest
-
 from leafledger.functions import globs
 from leafledger.operators import ignore
 
 RULE = "rule_no long, pattern string, is_negation boolean, is_dir_only boolean"
-CASES = ["*.log", "!important.log", "build/", "node_modules/", "*.exe", "test_*"]
+RULE_LINES = ["*.bak", "!keep.bak", "cache/", "draft-?.md", "!draft-7.md", "out*/"]
 
 
 def parsed(spark, lines, path=".gitignore"):
@@ -48,11 +46,11 @@ def test_lines_come_from_the_rule_files_of_a_corpus(corpus):
 
 
 def test_decisions(spark):
-    items = [(p, False) for p in ("file.log", "test_file.go", "script.exe", "file.txt", "important.log", "main.go",
-                                  "document.pdf", "build.txt", "x/build")]
-    items += [("build", True), ("node_modules", True), ("src", True), ("deep/build", True)]
-    got = ignore.apply_ignore_rules(entries(spark, items), parsed(spark, CASES))
-    assert ignored(got) == ["build", "deep/build", "file.log", "node_modules", "script.exe", "test_file.go"]
+    items = [(p, False) for p in ("old.bak", "keep.bak", "deep/keep.bak", "draft-1.md", "draft-7.md", "draft-10.md",
+                                  "cache", "notes.txt", "x/output")]
+    items += [("cache", True), ("deep/cache", True), ("output", True), ("source", True)]
+    got = ignore.apply_ignore_rules(entries(spark, list(dict(items).items())), parsed(spark, RULE_LINES))
+    assert ignored(got) == ["cache", "deep/cache", "draft-1.md", "old.bak", "output"]
 
 
 def test_inherit(spark):
@@ -73,12 +71,7 @@ def brute(path, is_dir, rules):
     return False
 
 
-@pytest.mark.parametrize("joined", [False, True])
-def test_random_rules_against_brute_force(spark, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(ignore, "COMPILED_RULES", 0)
-    else:
-        monkeypatch.setattr(ignore, "COMPILED_RUNS", 1000)
+def test_random_rules_against_brute_force(spark):
     rng = random.Random(3)
     part = ["a", "ab", "b.c", "*", "?", "a*", "*c", "*b*", "[ab]", "[^a]", "x", "b?c", "[a", "**", "?*"]
     rules = [
@@ -93,6 +86,43 @@ def test_random_rules_against_brute_force(spark, monkeypatch, joined):
         assert ignored(got) == sorted(p for p, d in items.items() if brute(p, d, some)), some
 
 
+def test_a_long_literal_acts_alike_among_few_and_many_rules(spark):
+    name = "n" * 5000
+    for count in (5, 600):
+        rows = [(i, f"other{i}", False, False) for i in range(count)] + [(count, name, False, False)]
+        got = ignore.apply_ignore_rules(entries(spark, [(f"d/{name}", False), ("x", False)]), spark.createDataFrame(rows, RULE))
+        assert ignored(got) == [f"d/{name}"]
+
+
+def test_rules_with_one_stem_do_not_multiply_with_paths(spark):
+    rules = spark.range(10_000).selectExpr("id AS rule_no", "'*tes' || id || '_*' AS pattern", "false AS is_negation", "false AS is_dir_only")
+    paths = spark.range(200).selectExpr("'a/tes' || id || '_x' AS relpath", "false AS __is_dir")
+    stored = ignore._stored(rules)
+    met = ignore._anchors(paths, stored).join(stored, ["kind", "anchor"])
+    assert met.count() <= 3 * 200
+    assert ignore.ignored_paths(paths, rules).count() == 200
+
+
+def test_rules_without_literals(spark):
+    rules = spark.createDataFrame([(1, "?", False, False), (2, "[ab]?*", False, False), (3, "??", True, False)], RULE)
+    got = ignore.apply_ignore_rules(entries(spark, [(p, False) for p in ("x", "d/y", "ab", "abc", "d/bcd", "cde")]), rules)
+    assert ignored(got) == ["abc", "d/bcd", "d/y", "x"]
+
+
+def test_building_a_selection_starts_few_jobs(spark, sf_dir):
+    """Beyond what it takes to open the tables."""
+    from leafledger.operators import select
+    from leafledger.plans import registry
+    from leafledger.sources import tables
+
+    files, spec = tables.corpus(spark, sf_dir), registry._spec(spark, sf_dir)
+    spark.sparkContext.setJobGroup("building", "building")
+    select.select_files(files, spec)
+    started = len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert started <= 5
+
+
 def test_no_rules(spark):
     got = ignore.apply_ignore_rules(entries(spark, [("a", False)]), spark.createDataFrame([], RULE))
     assert ignored(got) == []

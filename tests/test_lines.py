@@ -87,7 +87,8 @@ def test_complexity(corpus):
 
 def test_long_lines(corpus):
     files = corpus({"ok.go": "a" * 65535 + "\nb", "long.go": "a" * 65536 + "\nb", "cr.go": "a" * 65535 + "\r\nb"})
-    assert [r.relpath for r in L.file_metrics(files).collect()] == ["ok.go"]
+    assert {r.relpath: r.lines for r in L.file_metrics(files).collect()} == {"ok.go": 2, "long.go": 2, "cr.go": 2}
+    assert L.file_metrics(corpus({"wide.js": "x " * (1 << 19) + "\n//y"})).first().comments == 1
     flagged = {r.relpath for r in L.split_lines(files).where("line_too_long").collect()}
     assert flagged == {"long.go", "cr.go"}
 

@@ -94,6 +94,8 @@ def test_json_and_html_bundles(corpus, tmp_path):
     write_bundle(bundle(files, format="json"), f"{tmp_path}/json", "json")
     rows = [json.loads(line) for line in document(f"{tmp_path}/json").splitlines()]
     records = [json.loads(r["block"]) for r in rows if r["section"] == 3]
+    head = json.loads(rows[0]["block"])
+    assert rows[0]["section"] == 0 and (head["total_files"], head["total_directories"], head["text_files"]) == (2, 2, 2)
     assert [(r["relative_path"], r["line_count"]) for r in records] == [("d/b", 1), ("a.go", 2)]
     write_bundle(bundle(files, format="html"), f"{tmp_path}/html", "html")
     page = document(f"{tmp_path}/html")
@@ -110,3 +112,12 @@ def test_rendered_lines_match_the_count(spark, sf_dir):
     drawn = R.render_text(files).join(counted, "relpath").select(
         (TX.count_of(F.col("block"), "\n") - 3).alias("shown"), "n")
     assert drawn.where("shown <> n").count() == 0
+
+
+def test_export_says_what_is_missing(corpus):
+    files = corpus({"a.txt": "one\ntwo\n", "b.txt": "q" * 90, ".h": "x", "c.bin": b"\x00", "d.txt": "three\n"})
+    rows = {r.relative_path: r for r in R.export_files(files, spec=Selection(), limit=10, max_file="50").collect()}
+    assert {p: (r.skipped, r.skip_reason, r.truncated, r.content) for p, r in rows.items()} == {
+        "a.txt": (False, "", True, "one\n"), "b.txt": (True, "too_large", False, ""), ".h": (True, "dotfile", False, ""),
+        "c.bin": (True, "binary", False, ""), "d.txt": (False, "", True, ""),
+    }

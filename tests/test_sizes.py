@@ -34,7 +34,7 @@ def test_max_size(corpus, paths_of):
     files = corpus({"a": "x", "b": "y", "c": "z"}, {"a": 1024, "b": 1025, "c": 2**21})
     assert paths_of(select.max_size(files, "1KB")) == ["a"]
     assert paths_of(select.max_size(files, 0)) == ["a", "b", "c"]
-    assert paths_of(select.max_size(files, None)) == ["a", "b"]
+    assert paths_of(select.max_size(files, None)) == ["a", "b", "c"]
 
 
 def test_megabytes_rounds_ties_to_even(spark):

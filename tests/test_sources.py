@@ -9,39 +9,53 @@ from leafledger.operators.select import Selection, select_files
 from leafledger.sources import files as A
 
 
+FILES = ["__init__.py", "__tests__/x.js", "_config.yml", "notes.txt", "sub/deep/leaf.json", "sub/read.md"]
+
+
 @pytest.fixture
 def tree(tmp_path):
-    for name in ("file1.txt", "file2.go", ".hidden", "_under", "subdir/file3.md", "subdir/nested/file4.json", ".dot/in.txt"):
+    for name in (*FILES, ".hidden", ".dot/in.txt"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(f"content of {name}\n")
     (tmp_path / "void").mkdir()
-    (tmp_path / "binary.bin").write_bytes(bytes([0, 1, 2, 255]))
+    (tmp_path / "raw.bin").write_bytes(bytes([0, 1, 2, 255]))
     return str(tmp_path)
 
 
 def test_read_corpus(spark, tree, paths_of):
     files = A.read_corpus(spark, tree)
-    assert paths_of(files) == ["binary.bin", "file1.txt", "file2.go", "subdir/file3.md", "subdir/nested/file4.json"]
-    row = files.where("relpath = 'file1.txt'").first()
-    assert (row.size_bytes, bytes(row.content)) == (21, b"content of file1.txt\n")
+    assert paths_of(files) == sorted([*FILES, "raw.bin"])
+    row = files.where("relpath = 'notes.txt'").first()
+    assert (row.size_bytes, bytes(row.content), row.warning) == (21, b"content of notes.txt\n", None)
     assert paths_of(A.read_corpus(spark, f"file:{tree}")) == paths_of(files)
+    listed = A.list_entries(spark, tree).where("not is_dir")
+    assert paths_of(listed) == paths_of(files)
+
+
+def test_names_that_are_not_utf8(spark, tmp_path, paths_of):
+    folder = os.fsencode(tmp_path) + b"/caf\xe9"
+    os.mkdir(folder)
+    with open(folder + b"/\xff.txt", "wb") as out:
+        out.write(b"inside")
+    files = A.read_corpus(spark, str(tmp_path))
+    assert [(r.relpath, bytes(r.content)) for r in files.collect()] == [("caf\\xe9/\\xff.txt", b"inside")]
 
 
-def test_content_is_read_only_where_used(spark, tree):
-    plan = A.read_corpus(spark, tree).where("size_bytes < 5").select("relpath")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(length), LessThan(length,5)]" in text
-    assert "content" not in text.split("ReadSchema")[1]
+def test_an_unreadable_file_keeps_its_row(spark, tree):
+    entries = A.list_entries(spark, tree)
+    os.remove(f"{tree}/notes.txt")
+    row = A.load_contents(entries, tree).where("relpath = 'notes.txt'").first()
+    assert row.content is None and "notes.txt" in row.warning and row.size_bytes == 21
 
 
 def test_listing(spark, tree, paths_of):
     shown = A.list_entries(spark, tree)
     assert paths_of(shown) == [
-        "_under", "binary.bin", "file1.txt", "file2.go", "subdir", "subdir/file3.md", "subdir/nested",
-        "subdir/nested/file4.json", "void"]
+        "__init__.py", "__tests__", "__tests__/x.js", "_config.yml", "notes.txt", "raw.bin", "sub", "sub/deep",
+        "sub/deep/leaf.json", "sub/read.md", "void"]
     assert [r.relpath for r in health.empty_directories(shown).collect()] == ["void"]
-    assert S.directory_count(shown).first()[0] == 4
+    assert S.directory_count(shown).first()[0] == 5
     hidden = paths_of(A.list_entries(spark, tree, include_dotfiles=True))
     assert {".hidden", ".dot", ".dot/in.txt"} < set(hidden)
 
@@ -55,20 +69,31 @@ def test_dotfiles_are_loaded(spark, tree, paths_of):
 def test_whole_directory(spark, tree, paths_of):
     files = A.read_corpus(spark, tree)
     row = S.basic_stats(S.facts(files)).first()
-    assert (row.total_files, row.text_files, row.binary_files) == (5, 4, 1)
-    assert "binary.bin" not in paths_of(select_files(files, Selection()))
+    assert (row.total_files, row.text_files, row.binary_files) == (7, 6, 1)
+    assert "raw.bin" not in paths_of(select_files(files, Selection()))
 
 
 def test_unreadable_and_missing(spark, tree):
     with pytest.raises(NotADirectoryError):
         A.list_entries(spark, f"{tree}/nowhere")
     with pytest.raises(NotADirectoryError):
-        A.list_entries(spark, f"{tree}/file1.txt")
+        A.list_entries(spark, f"{tree}/notes.txt")
     broken = A._list_one_level(tree, False)
-    listed = [row for batch in broken(iter([pa.RecordBatch.from_pydict({"relpath": ["gone"]})])) for row in batch.to_pylist()]
+    listed = [row for batch in broken(iter([pa.RecordBatch.from_pydict({"relpath": ["gone"], "raw": [b"gone"]})])) for row in batch.to_pylist()]
     assert [row["relpath"] for row in listed] == ["gone"] and listed[0]["warning"]
 
 
+def test_a_directory_with_a_warning_is_not_empty(spark):
+    rows = [("a", "", True, None), ("b", "", True, "denied")]
+    listed = spark.createDataFrame(rows, "relpath string, parent string, is_dir boolean, warning string")
+    assert [r.relpath for r in health.empty_directories(listed).collect()] == ["a"]
+
+
+def test_an_address_is_listed_like_a_path(spark, tree, paths_of, monkeypatch):
+    found = list(A._scan_remote(f"file://{tree}", b"", False))
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in A._scan_mounted(tree, b"", False))
+
+
 def test_deep_listing_is_complete(spark, tmp_path, paths_of):
     deep = tmp_path
     for level in range(6):

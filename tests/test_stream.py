@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,22 @@ def test_late_files_are_dropped(spark, tmp_path):
         query.awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()
     assert [(r.window_start, r.files) for r in rows] == [(day(1), 1)]
+
+
+def test_drained_growth_has_every_window(spark, arriving):
+    files, stream, tmp_path = arriving
+    got = ST.drain(ST.corpus_growth(stream, delay=None), f"{tmp_path}/drained", ["window_start", "window_end"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ST.corpus_growth(files).collect()))
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+def test_windows_do_not_depend_on_the_drivers_zone(spark, zone, monkeypatch):
+    rows = spark.sql("SELECT 'a' AS relpath, 1L AS size_bytes, 'x' AS text, timestamp_ntz'2024-01-02 03:04:05' AS mtime")
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        start = ST.corpus_growth(rows).selectExpr("cast(window_start AS string)").first()[0]
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert start == "2024-01-02 00:00:00"
