@@ -165,6 +165,7 @@ def _described(number: int, is_base: bool):
         return F.transform(F.array(_votes(kind, m, is_base)), lambda votes: F.struct(
             F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
             (F.lit(is_base) & _sound(kind, m["value"])).alias("base"),
+            F.lit(not is_base).alias("wide"),
             votes.alias("votes"), _features(kind, m, votes).alias("features"),
         ))[0]
 
@@ -242,8 +243,9 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """``doc_id``, ``base``, ``added`` per row of ``docs``: arrays of (kind, start, end).
 
     ``kind`` is the place in ``KINDS``; places are code points, the end exclusive. ``base``
-    has the sound matches of the base patterns; ``added`` has wider candidates that the
-    classifier takes for personal data and that no base span of their kind touches. Null and
+    has the sound matches of the base patterns; ``added`` has matches of the wider patterns that
+    the classifier takes for personal data and that no base span of their kind touches. Unsound
+    matches of base patterns are examples for the labelers and never reported. Null and
     empty texts have none; repeated rows and ids keep a row each; other columns are not looked
     at. An empty table gives an empty result. Documents are read once and never shuffled.
     """
@@ -257,7 +259,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     base = F.transform(F.filter("spans", lambda c: c["base"]), span)
-    rows = found.select("doc_id", F.array_sort(base).alias("base"), F.filter("spans", lambda c: ~c["base"]).alias("rest"))
+    rows = found.select("doc_id", F.array_sort(base).alias("base"), F.filter("spans", lambda c: c["wide"]).alias("rest"))
     limit = math.log(threshold / (1 - threshold))
     touches = lambda c: F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
     chosen = F.filter("rest", lambda c: (score(c) >= limit) & ~touches(c))
