@@ -23,10 +23,9 @@ LENGTH = 50
 ANCHOR = 20
 #: Bytes of text whose anchors are sought at once; a longer text is cut with an overlap.
 SLICE = 1 << 21
-#: Bytes of contexts that one suffix array holds at least, unless its partition has fewer.
-ARRAY_BYTES = 1 << 15
+#: Stands for a null id: larger than any other.
+NO_ID = (1 << 63) - 1
 _U = np.uint64
-_HASH_BYTES = 6
 
 
 def suffix_array(text: bytes, breaks: list[int]) -> list[int]:
@@ -128,8 +127,8 @@ def _sliding(values: np.ndarray, width: int, fold) -> np.ndarray:
     return fold(out[: out.size - (width - have)], out[width - have :]) if have < width else out
 
 
-def anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors, their hashes, and the first and last string that each one stands for.
+def anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors, their hashes, and for each place the least hash of its string.
 
     ``inside`` says from which places a string of ``LENGTH`` bytes lies within one text. A
     string is stood for by those of its grams with the smallest hash, wherever it occurs.
@@ -139,22 +138,33 @@ def anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     least = np.where(inside[: hashes.size - span + 1], _sliding(hashes, span, np.minimum), _U(0))
     reach = _sliding(np.concatenate([np.zeros(span - 1, _U), least, np.zeros(span - 1, _U)]), span, np.maximum)
     places = np.flatnonzero((reach == hashes) & (hashes > 0))
-    # The strings that a place stands for are neighbours: those whose least hash is its own.
-    changes = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-    runs = np.searchsorted(changes, np.minimum(places, least.size - 1), side="right") - 1
-    own, first = hashes[places], np.full(places.size, -1)
-    last = np.full(places.size, -1)
-    for back in range(span):
-        run = runs - back
-        ok = run >= 0
-        begin = np.where(ok, changes[np.maximum(run, 0)], 0)
-        end = np.where(run + 1 < changes.size, changes[np.clip(run + 1, 0, changes.size - 1)], least.size) - 1
-        ok &= (least[begin] == own) & (end >= places - span + 1) & (begin <= places)
-        first = np.where(ok, np.maximum(begin, places - span + 1), first)
-        last = np.where(ok & (last < 0), np.minimum(end, places), last)
-        if not ((run >= 0) & (begin > places - span + 1)).any():
-            break
-    return places, own, first, last
+    return places, hashes[places], least
+
+
+def owned(places: np.ndarray, hashes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last string that each anchor stands for: neighbours whose least hash is its own."""
+    span = LENGTH - ANCHOR + 1
+    starts = places[:, None] + np.arange(1 - span, 1)
+    mine = (starts >= 0) & (starts < least.size)
+    mine &= least[np.clip(starts, 0, least.size - 1)] == hashes[:, None]
+    return places - span + 1 + mine.argmax(axis=1), places - mine[:, ::-1].argmax(axis=1)
+
+
+def _beside(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """24 bits of hashes of what lies left and right of each anchor.
+
+    A string reaches half of what it has beside its anchor to the left or to the right, so of
+    two copies one of the halves agrees. Hashes run on over the ends of texts; where a copy of
+    a string reaches that far, it does not.
+    """
+    half = (LENGTH - ANCHOR + 1) // 2
+    powers = np.cumprod(np.full(half, 0x9E3779B97F4A7C15, _U)) | _U(1)
+    padded = np.concatenate([np.zeros(half, np.uint8), data, np.zeros(ANCHOR + half, np.uint8)]).astype(_U)
+    left = right = np.zeros(places.size, _U)
+    for k in range(half):
+        left = left + padded[places + k] * powers[k]
+        right = right + padded[places + half + ANCHOR + k] * powers[k]
+    return ((left >> _U(52)) | ((right >> _U(52)) << _U(12))).astype(np.uint32)
 
 
 def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -186,9 +196,9 @@ def _anchored(part: list[tuple[int, int, bytes]]):
     inside = np.ones(data.size, bool)
     for end in ends:
         inside[max(0, end - LENGTH + 1) : end] = False
-    places, hashes, first, last = anchors(data, inside)
+    places, hashes, least = anchors(data, inside)
     owner = np.searchsorted(ends, places, side="right")
-    return data, ends - lengths, places, hashes, first, last, owner
+    return data, ends - lengths, places, hashes, least, owner
 
 
 def _bytes(value: pa.Scalar) -> bytes:
@@ -197,51 +207,55 @@ def _bytes(value: pa.Scalar) -> bytes:
 
 
 def _send_anchors(parts: int):
-    """Per slice and part of the hashes: whose anchors are where."""
+    """Per slice and part of the hashes: whose anchors are where. An anchor takes three numbers:
+    32 bits of its hash; 8 more bits and those of what is beside it; its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for part in _groups([_bytes(t) for t in batch.column(2)]):
-                _, starts, places, hashes, _, _, owner = _anchored(part)
+            for part in _groups([_bytes(t) for t in batch.column(1)]):
+                data, starts, places, hashes, _, owner = _anchored(part)
                 offset = np.array([o for _, o, _ in part]) - starts
                 target = (hashes >> _U(48)) % _U(parts)
                 order = np.argsort(target, kind="stable")
                 cuts = np.searchsorted(target[order], np.arange(parts + 1))
                 row_keys = np.array([keys[i] for i, _, _ in part], np.int64)
+                marks = ((hashes >> _U(32)) & _U(255)).astype(np.uint32) | (_beside(data, places) << np.uint32(8))
+                records = np.stack([hashes.astype(np.uint32), marks, (places + offset[owner]).astype(np.uint32)], axis=1)
                 out = []
                 for t in range(parts):
-                    rows = order[cuts[t] : cuts[t + 1]]
-                    if not rows.size:
-                        continue
-                    who, count = np.unique(owner[rows], return_counts=True)
-                    rows = rows[np.argsort(owner[rows], kind="stable")]
-                    low = hashes[rows].view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
-                    at = (places[rows] + offset[owner[rows]]).astype(np.uint32)
-                    out.append((t, row_keys[who].tobytes(), count.astype(np.uint32).tobytes(), low.tobytes(), at.tobytes()))
+                    rows = order[cuts[t] : cuts[t + 1]]  # in order of the texts, as the sort is stable
+                    if rows.size:
+                        who, count = np.unique(owner[rows], return_counts=True)
+                        out.append((t, row_keys[who].tobytes(), count.astype(np.uint32).tobytes(), records[rows].tobytes()))
                 if out:
-                    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "keys", "counts", "hashes", "places"])
+                    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "keys", "counts", "records"])
 
     return run
 
 
+def _in_several(groups: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which members lie in a group with members of several rows."""
+    order = np.argsort(groups, kind="stable")
+    begin = np.flatnonzero(np.r_[True, groups[order][1:] != groups[order][:-1]])
+    differ = np.maximum.reduceat(keys[order], begin) != np.minimum.reduceat(keys[order], begin)
+    out = np.zeros(groups.size, bool)
+    out[order] = np.repeat(differ, np.diff(np.r_[begin, groups.size]))
+    return out
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one part: the places of anchors whose hash another row has too, by row."""
+    """Of one part: the places of anchors that another row has too, by row."""
 
     def close(blobs: list[tuple]) -> pa.RecordBatch:
         count = np.frombuffer(b"".join(b[1] for b in blobs), np.uint32)
         keys = np.repeat(np.frombuffer(b"".join(b[0] for b in blobs), np.int64), count)
-        low = np.frombuffer(b"".join(b[2] for b in blobs), np.uint8).reshape(-1, _HASH_BYTES)
-        hashes = np.zeros((low.shape[0], 8), np.uint8)
-        hashes[:, :_HASH_BYTES] = low
-        hashes = hashes.view(_U).ravel()
-        places = np.frombuffer(b"".join(b[3] for b in blobs), np.uint32)
-        order = np.argsort(hashes, kind="stable")
-        sorted_hashes, sorted_keys = hashes[order], keys[order]
-        begin = np.flatnonzero(np.r_[True, sorted_hashes[1:] != sorted_hashes[:-1]])
-        differ = np.maximum.reduceat(sorted_keys, begin) != np.minimum.reduceat(sorted_keys, begin)
-        chosen = order[np.repeat(differ, np.diff(np.r_[begin, sorted_hashes.size]))]
+        records = np.frombuffer(b"".join(b[2] for b in blobs), np.uint32).reshape(-1, 3)
+        places, marks = records[:, 2], records[:, 1].astype(_U)
+        hashes = (records[:, 0].astype(_U) | ((marks & _U(255)) << _U(32))) << _U(12)
+        again = _in_several(hashes | ((marks >> _U(8)) & _U(4095)), keys) | _in_several(hashes | (marks >> _U(20)), keys)
+        chosen = np.flatnonzero(again)
         chosen = chosen[np.lexsort((places[chosen], keys[chosen]))]
         first = np.flatnonzero(np.r_[True, keys[chosen][1:] != keys[chosen][:-1]]) if chosen.size else np.empty(0, int)
         lists = [p.tobytes() for p in np.split(places[chosen], first[1:])] if chosen.size else []
@@ -259,101 +273,77 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(blobs)
 
 
-_context_schema = "anchor long, context binary, low long, row long, doc long, start int"
+_met_schema = "anchor int, is_place boolean, context binary, low long, high long, places binary"
+_place = np.dtype([("row", np.int64), ("doc", np.int64), ("start", np.uint32)])
 
 
-def _contexts(merged: bool):
-    """The bytes around each repeated anchor that hold all strings it stands for.
-
-    Merged: each context once per slice with the smallest id; else a narrow row per place,
-    with a hash in place of the bytes.
-    """
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes around each repeated anchor that hold all strings it stands for: each context
+    once per slice with its smallest and largest id, and where it is, under its digest."""
+    for batch in batches:
+        rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        wanted = [np.frombuffer(b"".join(p.as_py()), np.uint32) for p in batch.column(3)]
+        for part in _groups([_bytes(t) for t in batch.column(2)]):
+            data, starts, places, hashes, least, owner = _anchored(part)
+            offset = np.array([o for _, o, _ in part]) - starts
+            chosen = []
+            for k, (i, _, piece) in enumerate(part):
+                lo, hi = np.searchsorted(places, [starts[k], starts[k] + len(piece)])
+                chosen.append(lo + np.flatnonzero(np.isin(places[lo:hi] + offset[k], wanted[i], kind="sort")))
+            chosen = np.concatenate(chosen)
+            if not chosen.size:
+                continue
+            first, last = owned(places[chosen], hashes[chosen], least)
+            raw, met = data.tobytes(), {}
+            anchor = (hashes[chosen].astype(np.uint32)).view(np.int32)
+            for a, begin, end, k in zip(anchor.tolist(), first.tolist(), last.tolist(), owner[chosen].tolist()):
+                i = part[k][0]
+                met.setdefault((a, raw[begin : end + LENGTH]), []).append((rows[i], ids[i], begin + int(offset[k])))
+            names = [c.split()[0] for c in _met_schema.split(", ")]
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            out = [(a, False, c, min(f[1] for f in found), max(f[1] for f in found), None) for (a, c), found in met.items()]
+            out += [(a, True, _digest(c), None, None, np.array(found, _place).tobytes()) for (a, c), found in met.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = [np.frombuffer(b"".join(p.as_py()), np.uint32) for p in batch.column(3)]
-            for part in _groups([_bytes(t) for t in batch.column(2)]):
-                data, starts, places, hashes, first, last, owner = _anchored(part)
-                offset = np.array([o for _, o, _ in part]) - starts
-                chosen = []
-                for k, (i, _, piece) in enumerate(part):
-                    lo, hi = np.searchsorted(places, [starts[k], starts[k] + len(piece)])
-                    chosen.append(lo + np.flatnonzero(np.isin(places[lo:hi] + offset[k], wanted[i], kind="sort")))
-                chosen = np.concatenate(chosen)
-                chosen = chosen[first[chosen] >= 0]
-                raw, out = data.tobytes(), {}
-                narrow = []
-                for a, begin, end, k in zip(hashes[chosen].view(np.int64).tolist(), first[chosen].tolist(), last[chosen].tolist(), owner[chosen].tolist()):
-                    context = raw[begin : end + LENGTH]
-                    i = part[k][0]
-                    doc = ids[i]
-                    if merged:
-                        known = out.get((a, context))
-                        out[a, context] = (doc, doc) if known is None else (min(known[0], doc), max(known[1], doc))
-                    else:
-                        narrow.append((a, xxhash.xxh64_intdigest(context) - (1 << 63), rows[i], doc, begin + int(offset[k])))
-                if merged and out:
-                    columns = list(zip(*((a, c, lo, hi) for (a, c), (lo, hi) in out.items())))
-                    kinds, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64()], ["anchor", "context", "low", "high"]
-                elif narrow:
-                    columns, kinds = list(zip(*narrow)), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                    names = ["anchor", "context", "row", "doc", "start"]
-                else:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return run
+def _digest(context: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(context)
 
 
 class _Matcher:
-    """Collects the contexts of anchors and finds for each string its smallest document."""
+    """Finds for each string of an anchor's contexts its smallest document."""
 
     def __init__(self) -> None:
-        self.pending: list[tuple[int, bytes, int]] = []
-        self.size = 0
-        self.out: list[tuple] = []
+        #: Of a context, by its digest: (first, last, smallest document) of runs of strings.
+        self.found: dict[bytes, list[tuple[int, int, int]]] = {}
 
-    def add(self, anchor: int, contexts: list[tuple[bytes, int, int]]) -> None:
+    def match(self, contexts: list[tuple[bytes, int, int]]) -> None:
         """A context that shares no string with another one needs no array: it is compared only
         with its own copies, which have been merged."""
-        if len(contexts) == 1:
-            self._alone(anchor, *contexts[0])
-            return
-        seen: dict[int, int] = {}
-        shared = set()
-        for c, (context, _, _) in enumerate(contexts):
-            for o in range(len(context) - LENGTH + 1):
-                other = seen.setdefault(hash(context[o : o + LENGTH]), c)
-                if other != c:
-                    shared.update((other, c))
+        self.found = {}
+        shared: set[int] = set()
+        if len(contexts) > 1:
+            seen: dict[int, int] = {}
+            for c, (context, _, _) in enumerate(contexts):
+                for o in range(len(context) - LENGTH + 1):
+                    other = seen.setdefault(hash(context[o : o + LENGTH]), c)
+                    if other != c:
+                        shared.update((other, c))
         for c, (context, low, high) in enumerate(contexts):
-            if c in shared:
-                self.pending.append((anchor, context, low))
-                self.size += len(context) + 1
-            else:
-                self._alone(anchor, context, low, high)
-        if self.size >= ARRAY_BYTES:
-            self.flush()
-
-    def _emit(self, anchor: int, context: bytes, first: int, last: int, low: int) -> None:
-        self.out.append((anchor, xxhash.xxh64_intdigest(context) - (1 << 63), first, last, low))
-
-    def _alone(self, anchor: int, context: bytes, low: int, high: int) -> None:
-        if low != high:
-            self._emit(anchor, context, 0, len(context) - LENGTH, low)
-
-    def flush(self) -> None:
+            if c not in shared and low != high:
+                self.found[_digest(context)] = [(0, len(context) - LENGTH, low)]
+        if shared:
+            self._ordered([contexts[c][:2] for c in sorted(shared)])
+
+    def _ordered(self, contexts: list[tuple[bytes, int]]) -> None:
         """Neighbours in the suffix array that agree in a whole string are its occurrences."""
-        if not self.pending:
-            return
-        text = b"".join(c + b"\0" for _, c, _ in self.pending)
-        breaks, owner, least = [], [], []
-        for c, (_, context, low) in enumerate(self.pending):
-            breaks.append(len(owner) + len(context))
-            usable = len(context) - LENGTH + 1
-            owner += [c] * usable + [-1] * LENGTH
-            least += [low] * usable + [0] * LENGTH
+        text = b"".join(c + b"\0" for c, _ in contexts)
+        breaks, usable, least = [], [], []
+        for context, low in contexts:
+            breaks.append(len(least) + len(context))
+            count = len(context) - LENGTH + 1
+            usable += [True] * count + [False] * LENGTH
+            least += [low] * count + [0] * LENGTH
         group: list[int] = []
 
         def settle() -> None:
@@ -365,72 +355,67 @@ class _Matcher:
 
         before = None
         for s in suffix_array(text, breaks):
-            if owner[s] < 0:
-                continue
-            string = text[s : s + LENGTH]
-            if string != before:
-                settle()
-                before = string
-            group.append(s)
+            if usable[s]:
+                string = text[s : s + LENGTH]
+                if string != before:
+                    settle()
+                    before = string
+                group.append(s)
         settle()
         at = 0
-        for anchor, context, _ in self.pending:
-            usable, begin = len(context) - LENGTH + 1, 0
-            for o in range(1, usable + 1):
-                if o == usable or least[at + o] != least[at + begin]:
-                    self._emit(anchor, context, begin, o - 1, least[at + begin])
+        for context, _ in contexts:
+            count, begin, runs = len(context) - LENGTH + 1, 0, []
+            for o in range(1, count + 1):
+                if o == count or least[at + o] != least[at + begin]:
+                    runs.append((begin, o - 1, least[at + begin]))
                     begin = o
+            self.found[_digest(context)] = runs
             at += len(context) + 1
-        self.pending, self.size = [], 0
-
-    def taken(self) -> pa.RecordBatch:
-        columns = list(zip(*self.out)) or [[]] * 5
-        self.out = []
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "context", "first", "last", "low"])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor and context; equal contexts are merged as they pass."""
-    matcher, current, contexts = _Matcher(), None, []
+    """Rows come by anchor, its contexts before its places. Equal contexts are merged as they
+    pass and places only pass, so a task holds the distinct contexts of one anchor."""
+    matcher, current, contexts, matched = _Matcher(), None, [], False
     for batch in batches:
-        for anchor, context, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+        spans: list[tuple] = []
+        for anchor, is_place, context, low, high, places in zip(*(c.to_pylist() for c in batch.columns)):
             if anchor != current:
-                if contexts:
-                    matcher.add(current, contexts)
-                current, contexts = anchor, []
-            if contexts and contexts[-1][0] == context:
-                contexts[-1] = (context, min(low, contexts[-1][1]), max(high, contexts[-1][2]))
-            else:
-                contexts.append((context, low, high))
-        if len(matcher.out) > 1 << 14:
-            yield matcher.taken()
-    if contexts:
-        matcher.add(current, contexts)
-    matcher.flush()
-    yield matcher.taken()
+                current, contexts, matched = anchor, [], False
+            if not is_place:
+                if contexts and contexts[-1][0] == context:
+                    contexts[-1] = (context, min(low, contexts[-1][1]), max(high, contexts[-1][2]))
+                else:
+                    contexts.append((context, low, high))
+                continue
+            if not matched:
+                matcher.match(contexts)
+                contexts, matched = [], True
+            for first, last, least in matcher.found.get(context, ()):
+                for row, doc, start in np.frombuffer(places, _place).tolist():
+                    if doc > least:
+                        spans.append((row, start + first, start + last))
+        columns = list(zip(*spans)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "first", "last"])
 
 
 def repeated_strings(rows: DataFrame) -> DataFrame:
     """``row``, ``starts``: (first, last) places from which a string is in a smaller document.
 
-    ``rows`` has ``row``, ``doc`` and ``text``. Anchors chosen by content make copies meet:
+    ``rows`` has ``row``, ``doc_id`` and ``text``. Anchors chosen by content make copies meet:
     their hashes go to one task per part, which answers with the places of those that other
-    rows have too. The contexts of these, merged where equal, are grouped by anchor, and
-    suffix arrays tell which of their strings are equal.
+    rows have too. The contexts of these, merged where equal, meet by anchor; suffix arrays
+    tell which of their strings are equal, and the places of the contexts become spans.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, hashes binary, places binary")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+    sent = rows.select("row", "text").mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(_repeated, "row long, places binary").groupBy("row").agg(F.collect_list("places").alias("places"))
-    marked = rows.join(found, "row").select("row", "doc", "text", "places")
-    contexts = marked.mapInArrow(_contexts(True), "anchor long, context binary, low long, high long")
-    sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor", "context")
-    matches = sorted_.mapInArrow(_match, "anchor long, context long, first int, last int, low long")
-    places = marked.mapInArrow(_contexts(False), "anchor long, context long, row long, doc long, start long")
-    hits = places.join(matches, ["anchor", "context"]).where("doc > low")
-    spans = hits.select("row", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).alias("s"))
-    return spans.groupBy("row").agg(F.collect_list("s").alias("starts"))
+    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    marked = rows.join(found, "row").select("row", doc, "text", "places")
+    met = marked.mapInArrow(_contexts, _met_schema).repartition("anchor").sortWithinPartitions("anchor", "is_place", "context")
+    spans = met.mapInArrow(_match, "row long, first long, last long")
+    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
 
 
 def _removed(starts: list[dict] | None) -> list[tuple[int, int]]:
@@ -473,8 +458,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     text = F.coalesce(col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
+    # Both uses of the texts need all three columns, so that they share one shuffle.
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
-    base = base.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    starts = repeated_strings(base.select("row", "doc", "text"))
-    joined = base.select("row", "doc", "text", "doc_id").join(starts, "row", "left").select("doc_id", "text", "starts")
+    starts = repeated_strings(base)
+    joined = base.join(starts, "row", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
