@@ -12,13 +12,17 @@ from leafledger.llm.shared import stored, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TARGET_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3}
 DEFAULT_WEIGHT = 2
+LEAST_SHARE = 0.25
 SHINGLE_WORDS = 3
 BIT_DISTANCE = 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language has half of the text, go."""
-    return langid.keep_identified(docs, least_score=0.5)
+    """Documents without a letter, or in which no language has a quarter of the text, go.
+
+    Documents in several languages stay.
+    """
+    return langid.keep_identified(docs, least_score=LEAST_SHARE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def identify(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return predict(narrow, model).drop("text")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, id_column: str = "doc_id") -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.25, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with a language that has at least ``least_score`` of the text."""
     model = train(docs.where(_learnable(id_column, "lang")))
     names = tuple(free_name(docs.columns, n) for n in ("__lang_pred", "__score", "__languages"))

@@ -18,7 +18,7 @@ def test_stages_against_plain_python(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     known = {r.doc_id: r for r in langid.identify(documents).collect()}
     rows = {r.doc_id: r.asDict() for r in documents.collect()}
-    rows = {i: r for i, r in rows.items() if known[i].lang_pred != "und" and known[i].score >= 0.5}
+    rows = {i: r for i, r in rows.items() if known[i].lang_pred != "und" and known[i].score >= corpus_pipeline.LEAST_SHARE}
     texts = lines_removed({i: r["text"] for i, r in rows.items()})
     kept = simhash_kept(texts)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
