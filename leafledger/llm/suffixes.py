@@ -8,19 +8,19 @@ name, and the finished groups are then emitted in ascending order.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafledger.llm.shared import col
+from leafledger.llm.shared import col, stored
 
 #: Bytes of the strings that are removed, and of the anchors by which their copies meet.
 LENGTH = 50
-ANCHOR = 20
+ANCHOR = 16
 #: Bytes of text whose anchors are sought at once; a longer text is cut with an overlap.
 SLICE = 1 << 21
 #: Stands for a null id: larger than any other.
@@ -213,7 +213,7 @@ def _send_anchors(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for part in _groups([_bytes(t) for t in batch.column(1)]):
+            for part in _groups([_bytes(t) for t in batch.column(2)]):
                 data, starts, places, hashes, _, owner = _anchored(part)
                 offset = np.array([o for _, o, _ in part]) - starts
                 target = (hashes >> _U(48)) % _U(parts)
@@ -273,13 +273,16 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(blobs)
 
 
-_met_schema = "anchor int, is_place boolean, context binary, low long, high long, places binary"
+_met_schema = "anchor int, context binary, places binary"
 _place = np.dtype([("row", np.int64), ("doc", np.int64), ("start", np.uint32)])
+_held = np.dtype([("context", np.uint32), ("place", _place)])
+#: Bytes of places that a task holds in memory; more of one anchor wait in a temporary file.
+HELD = 8 << 20
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each repeated anchor that hold all strings it stands for: each context
-    once per slice with its smallest and largest id, and where it is, under its digest."""
+    once per slice, with the places where it is."""
     for batch in batches:
         rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         wanted = [np.frombuffer(b"".join(p.as_py()), np.uint32) for p in batch.column(3)]
@@ -300,43 +303,78 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = part[k][0]
                 met.setdefault((a, raw[begin : end + LENGTH]), []).append((rows[i], ids[i], begin + int(offset[k])))
             names = [c.split()[0] for c in _met_schema.split(", ")]
-            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-            out = [(a, False, c, min(f[1] for f in found), max(f[1] for f in found), None) for (a, c), found in met.items()]
-            out += [(a, True, _digest(c), None, None, np.array(found, _place).tobytes()) for (a, c), found in met.items()]
+            out = [(a, c, np.array(found, _place).tobytes()) for (a, c), found in met.items()]
+            kinds = [pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
-def _digest(context: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(context)
+class _Anchor:
+    """The contexts of one anchor, as they come in order, and their places."""
 
+    def __init__(self, name: int) -> None:
+        self.name = name
+        self.contexts: list[list] = []  # bytes, smallest and largest document
+        self.held, self.file = bytearray(), None
 
-class _Matcher:
-    """Finds for each string of an anchor's contexts its smallest document."""
+    def add(self, context: bytes, places: bytes) -> None:
+        found = np.frombuffer(places, _place)
+        low, high = int(found["doc"].min()), int(found["doc"].max())
+        if self.contexts and self.contexts[-1][0] == context:
+            last = self.contexts[-1]
+            last[1], last[2] = min(low, last[1]), max(high, last[2])
+        else:
+            self.contexts.append([context, low, high])
+        own = np.empty(found.size, _held)
+        own["context"], own["place"] = len(self.contexts) - 1, found
+        self.held += own.tobytes()
+        if len(self.held) > HELD:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(self.held)
+            self.held = bytearray()
+
+    def _places(self) -> Iterator[np.ndarray]:
+        if self.file is not None:
+            self.file.seek(0)
+            while block := self.file.read(_held.itemsize << 16):
+                yield np.frombuffer(block, _held)
+            self.file.close()
+        yield np.frombuffer(bytes(self.held), _held)
+
+    def spans(self) -> Iterator[tuple[int, int, int]]:
+        """Row, first and last place of runs of strings that a smaller document has."""
+        found = self._match()
+        if not found:
+            return
+        for block in self._places():
+            for context, (row, doc, start) in block.tolist():
+                for first, last, least in found.get(context, ()):
+                    if doc > least:
+                        yield row, start + first, start + last
 
-    def __init__(self) -> None:
-        #: Of a context, by its digest: (first, last, smallest document) of runs of strings.
-        self.found: dict[bytes, list[tuple[int, int, int]]] = {}
+    def _match(self) -> dict[int, list[tuple[int, int, int]]]:
+        """Of a context, by number: (first, last, smallest document) of runs of strings.
 
-    def match(self, contexts: list[tuple[bytes, int, int]]) -> None:
-        """A context that shares no string with another one needs no array: it is compared only
-        with its own copies, which have been merged."""
-        self.found = {}
+        A context that shares no string with another one needs no array: it is compared only
+        with its own copies, which have been merged.
+        """
         shared: set[int] = set()
-        if len(contexts) > 1:
+        if len(self.contexts) > 1:
             seen: dict[int, int] = {}
-            for c, (context, _, _) in enumerate(contexts):
+            for c, (context, _, _) in enumerate(self.contexts):
                 for o in range(len(context) - LENGTH + 1):
                     other = seen.setdefault(hash(context[o : o + LENGTH]), c)
                     if other != c:
                         shared.update((other, c))
-        for c, (context, low, high) in enumerate(contexts):
-            if c not in shared and low != high:
-                self.found[_digest(context)] = [(0, len(context) - LENGTH, low)]
-        if shared:
-            self._ordered([contexts[c][:2] for c in sorted(shared)])
-
-    def _ordered(self, contexts: list[tuple[bytes, int]]) -> None:
+        found = {
+            c: [(0, len(context) - LENGTH, low)]
+            for c, (context, low, high) in enumerate(self.contexts)
+            if c not in shared and low != high
+        }
+        return found | self._ordered(sorted(shared)) if shared else found
+
+    def _ordered(self, numbers: list[int]) -> dict[int, list[tuple[int, int, int]]]:
         """Neighbours in the suffix array that agree in a whole string are its occurrences."""
+        contexts = [self.contexts[c][:2] for c in numbers]
         text = b"".join(c + b"\0" for c, _ in contexts)
         breaks, usable, least = [], [], []
         for context, low in contexts:
@@ -362,66 +400,85 @@ class _Matcher:
                     before = string
                 group.append(s)
         settle()
-        at = 0
-        for context, _ in contexts:
+        at, found = 0, {}
+        for c, (context, _) in zip(numbers, contexts):
             count, begin, runs = len(context) - LENGTH + 1, 0, []
             for o in range(1, count + 1):
                 if o == count or least[at + o] != least[at + begin]:
                     runs.append((begin, o - 1, least[at + begin]))
                     begin = o
-            self.found[_digest(context)] = runs
+            found[c] = runs
             at += len(context) + 1
+        return found
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor, its contexts before its places. Equal contexts are merged as they
-    pass and places only pass, so a task holds the distinct contexts of one anchor."""
-    matcher, current, contexts, matched = _Matcher(), None, [], False
-    for batch in batches:
-        spans: list[tuple] = []
-        for anchor, is_place, context, low, high, places in zip(*(c.to_pylist() for c in batch.columns)):
-            if anchor != current:
-                current, contexts, matched = anchor, [], False
-            if not is_place:
-                if contexts and contexts[-1][0] == context:
-                    contexts[-1] = (context, min(low, contexts[-1][1]), max(high, contexts[-1][2]))
-                else:
-                    contexts.append((context, low, high))
-                continue
-            if not matched:
-                matcher.match(contexts)
-                contexts, matched = [], True
-            for first, last, least in matcher.found.get(context, ()):
-                for row, doc, start in np.frombuffer(places, _place).tolist():
-                    if doc > least:
-                        spans.append((row, start + first, start + last))
+    """Rows come by anchor and context; equal contexts are merged as they pass."""
+
+    def out(spans: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*spans)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "first", "last"])
+
+    anchor, spans = None, []
+    for batch in batches:
+        for name, context, places in zip(*(c.to_pylist() for c in batch.columns)):
+            if anchor is None or name != anchor.name:
+                for span in anchor.spans() if anchor else ():
+                    spans.append(span)
+                    if len(spans) == 1 << 16:
+                        yield out(spans)
+                        spans = []
+                anchor = _Anchor(name)
+            anchor.add(context, places)
+    for span in anchor.spans() if anchor else ():
+        spans.append(span)
+        if len(spans) == 1 << 16:
+            yield out(spans)
+            spans = []
+    yield out(spans)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """``row`` of documents whose whole text a smaller document has."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    narrow = stored(rows.select("row", _doc().alias("doc"), digest.alias("digest")), "digests")
+    first = narrow.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return narrow.join(first.select("digest", "least"), "digest").where("doc > least").select("row").distinct()
+
+
+def _doc():
+    return F.coalesce("doc_id", F.lit(NO_ID))
 
 
 def repeated_strings(rows: DataFrame) -> DataFrame:
     """``row``, ``starts``: (first, last) places from which a string is in a smaller document.
 
-    ``rows`` has ``row``, ``doc_id`` and ``text``. Anchors chosen by content make copies meet:
-    their hashes go to one task per part, which answers with the places of those that other
-    rows have too. The contexts of these, merged where equal, meet by anchor; suffix arrays
-    tell which of their strings are equal, and the places of the contexts become spans.
+    ``rows`` has ``row``, ``doc_id`` and ``text``. A text is represented by the smallest document
+    that has it; of its copies all strings are repeated, whatever their number (``last`` may lie
+    beyond their end). Of the others, anchors chosen by content make equal strings meet: their
+    hashes go to one task per part, which answers with the places of those that other rows have
+    too. The contexts of these meet by anchor; suffix arrays tell which of their strings are
+    equal, and the places of the contexts become spans.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
-    sent = rows.select("row", "text").mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
+    copies = stored(_copies(rows), "copies")
+    # All uses of the texts need the same columns by row, so that they share one shuffle.
+    single = rows.join(copies, "row", "left_anti").select("row", "doc_id", "text")
+    sent = single.mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(_repeated, "row long, places binary").groupBy("row").agg(F.collect_list("places").alias("places"))
-    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
-    marked = rows.join(found, "row").select("row", doc, "text", "places")
-    met = marked.mapInArrow(_contexts, _met_schema).repartition("anchor").sortWithinPartitions("anchor", "is_place", "context")
+    marked = single.join(found, "row").select("row", _doc().alias("doc"), "text", "places")
+    met = marked.mapInArrow(_contexts, _met_schema).repartition("anchor").sortWithinPartitions("anchor", "context")
     spans = met.mapInArrow(_match, "row long, first long, last long")
-    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    starts = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(NO_ID - LENGTH).alias("last")))
+    return starts.unionByName(copies.select("row", whole.alias("starts")))
 
 
-def _removed(starts: list[dict] | None) -> list[tuple[int, int]]:
+def _removed(starts: list[dict] | None, size: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the strings from these places cover, end exclusive."""
     runs: list[tuple[int, int]] = []
-    for s in sorted((s["first"], s["last"] + LENGTH) for s in starts or []):
+    for s in sorted((s["first"], min(s["last"] + LENGTH, size)) for s in starts or [] if size >= LENGTH):
         if runs and s[0] <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(runs[-1][1], s[1]))
         else:
@@ -434,7 +491,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, starts in zip(batch.column(1), batch.column(2)):
             data, at, kept = _bytes(text), 0, hashlib.sha256()
-            runs = _removed(starts.as_py())
+            runs = _removed(starts.as_py(), len(data))
             for begin, end in runs:
                 kept.update(data[at:begin])
                 at = end

@@ -68,6 +68,7 @@ def found(docs):
 @pytest.mark.parametrize("slice_", [1 << 21, 400])
 def test_against_brute_force(make, monkeypatch, slice_):
     monkeypatch.setattr(suffixes, "SLICE", slice_)
+    monkeypatch.setattr(suffixes, "HELD", slice_)
     rng = random.Random(slice_)
     words = ["alpha", "beta", "gamma", "é", "中文", "delta", "of", "the", "\n"]
     passage = " ".join(rng.choices(words, k=60))
