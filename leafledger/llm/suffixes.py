@@ -462,12 +462,11 @@ def repeated_strings(rows: DataFrame) -> DataFrame:
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
     copies = stored(_copies(rows), "copies")
-    # All uses of the texts need the same columns by row, so that they share one shuffle.
     single = rows.join(copies, "row", "left_anti").select("row", "doc_id", "text")
     sent = single.mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(_repeated, "row long, places binary").groupBy("row").agg(F.collect_list("places").alias("places"))
-    marked = single.join(found, "row").select("row", _doc().alias("doc"), "text", "places")
+    marked = rows.join(found, "row").select("row", _doc().alias("doc"), "text", "places")
     met = marked.mapInArrow(_contexts, _met_schema).repartition("anchor").sortWithinPartitions("anchor", "context")
     spans = met.mapInArrow(_match, "row long, first long, last long")
     starts = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
@@ -515,8 +514,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     text = F.coalesce(col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    # Both uses of the texts need all three columns, so that they share one shuffle.
-    base = base.withColumn("row", F.xxhash64("doc_id", "text"))
+    # All uses of the texts start from this shuffle and need all its columns, so that it is shared.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.withColumn("row", F.xxhash64("doc_id", "text")).repartition(partitions, "row")
     starts = repeated_strings(base)
     joined = base.join(starts, "row", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")

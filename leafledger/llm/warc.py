@@ -5,8 +5,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
