@@ -212,8 +212,9 @@ def _send_anchors(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for part in _groups([_bytes(t) for t in batch.column(2)]):
+            keys, copies = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            texts = [b"" if copy else _bytes(t) for t, copy in zip(batch.column(2), copies)]
+            for part in _groups(texts):
                 data, starts, places, hashes, _, owner = _anchored(part)
                 offset = np.array([o for _, o, _ in part]) - starts
                 target = (hashes >> _U(48)) % _U(parts)
@@ -462,8 +463,9 @@ def repeated_strings(rows: DataFrame) -> DataFrame:
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
     copies = stored(_copies(rows), "copies")
-    single = rows.join(copies, "row", "left_anti").select("row", "doc_id", "text")
-    sent = single.mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
+    # An outer join, as Spark would move an anti join to before the shuffle and so do it twice.
+    flagged = rows.join(copies.withColumn("copy", F.lit(True)), "row", "left").select("row", "doc_id", "text", "copy")
+    sent = flagged.mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(_repeated, "row long, places binary").groupBy("row").agg(F.collect_list("places").alias("places"))
     marked = rows.join(found, "row").select("row", _doc().alias("doc"), "text", "places")
