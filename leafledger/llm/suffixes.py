@@ -246,32 +246,55 @@ def _in_several(groups: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one part: the places of anchors that another row has too, by row."""
+def _by_number(close):
+    """Hands the rows of each number, which come together, to ``close``."""
 
-    def close(blobs: list[tuple]) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for batch in batches:
+            for number, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if blobs and number != part:
+                    yield close(blobs)
+                    blobs = []
+                part = number
+                blobs.append(rest)
+        if blobs:
+            yield close(blobs)
+
+    return run
+
+
+def _repeated(parts: int):
+    """Of one part: the anchors that another row has too, as blobs by part of their rows."""
+
+    def close(blobs: list[list]) -> pa.RecordBatch:
         count = np.frombuffer(b"".join(b[1] for b in blobs), np.uint32)
         keys = np.repeat(np.frombuffer(b"".join(b[0] for b in blobs), np.int64), count)
         records = np.frombuffer(b"".join(b[2] for b in blobs), np.uint32).reshape(-1, 3)
         places, marks = records[:, 2], records[:, 1].astype(_U)
         hashes = (records[:, 0].astype(_U) | ((marks & _U(255)) << _U(32))) << _U(12)
         again = _in_several(hashes | ((marks >> _U(8)) & _U(4095)), keys) | _in_several(hashes | (marks >> _U(20)), keys)
-        chosen = np.flatnonzero(again)
-        chosen = chosen[np.lexsort((places[chosen], keys[chosen]))]
-        first = np.flatnonzero(np.r_[True, keys[chosen][1:] != keys[chosen][:-1]]) if chosen.size else np.empty(0, int)
-        lists = [p.tobytes() for p in np.split(places[chosen], first[1:])] if chosen.size else []
-        return pa.RecordBatch.from_arrays([pa.array(keys[chosen][first], pa.int64()), pa.array(lists, pa.binary())], ["row", "places"])
+        keys, places = keys[again], places[again]
+        bucket = (keys.view(_U) >> _U(7)) % _U(parts)
+        order = np.argsort(bucket, kind="stable")
+        keys, places, bucket = keys[order], places[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if keys.size else np.empty(0, int)
+        values = [bucket[first].astype(np.int32), *([x.tobytes() for x in np.split(c, first[1:])] if keys.size else [] for c in (keys, places))]
+        kinds = [pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["bucket", "rows", "places"])
 
-    part, blobs = None, []
-    for batch in batches:
-        for number, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if blobs and number != part:
-                yield close(blobs)
-                blobs = []
-            part = number
-            blobs.append(rest)
-    if blobs:
-        yield close(blobs)
+    return _by_number(close)
+
+
+def _gathered(blobs: list[list]) -> pa.RecordBatch:
+    """The places of each row, from all parts."""
+    keys = np.frombuffer(b"".join(b[0] for b in blobs), np.int64)
+    places = np.frombuffer(b"".join(b[1] for b in blobs), np.uint32)
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    lists = [x.tobytes() for x in np.split(places, first[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(keys[first], pa.int64()), pa.array(lists, pa.binary())], ["row", "places"])
 
 
 _met_schema = "anchor int, context binary, places binary"
@@ -286,7 +309,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once per slice, with the places where it is."""
     for batch in batches:
         rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        wanted = [np.frombuffer(b"".join(p.as_py()), np.uint32) for p in batch.column(3)]
+        wanted = [np.frombuffer(p.as_py(), np.uint32) for p in batch.column(3)]
         for part in _groups([_bytes(t) for t in batch.column(2)]):
             data, starts, places, hashes, least, owner = _anchored(part)
             offset = np.array([o for _, o, _ in part]) - starts
@@ -467,7 +490,9 @@ def repeated_strings(rows: DataFrame) -> DataFrame:
     flagged = rows.join(copies.withColumn("copy", F.lit(True)), "row", "left").select("row", "doc_id", "text", "copy")
     sent = flagged.mapInArrow(_send_anchors(parts), "part int, keys binary, counts binary, records binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
-    found = dealt.mapInArrow(_repeated, "row long, places binary").groupBy("row").agg(F.collect_list("places").alias("places"))
+    blobs = dealt.mapInArrow(_repeated(parts), "bucket int, rows binary, places binary")
+    blobs = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = blobs.mapInArrow(_by_number(_gathered), "row long, places binary")
     marked = rows.join(found, "row").select("row", _doc().alias("doc"), "text", "places")
     met = marked.mapInArrow(_contexts, _met_schema).repartition("anchor").sortWithinPartitions("anchor", "context")
     spans = met.mapInArrow(_match, "row long, first long, last long")
