@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafledger.llm import bpe, langid, linechunks, mixing, simhash
-from leafledger.llm.shared import stored, table
+from leafledger.llm.shared import in_order_of_files, placed, stored, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TARGET_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3}
@@ -44,14 +44,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids per document, and the digest of what they decode to."""
+    """Token ids per document, and the digest of what they decode to, in the order of ``docs``.
+
+    ``position`` counts the rows of ``docs`` from 0 in the order of its files, which is the
+    mixture's where the mixture stage wrote them.
+    """
     path = public_tokenizers.path(VOCABULARY)
-    narrow = docs.select("doc_id", "lang", "source", "text")
+    narrow = placed(docs, ["doc_id", "lang", "source", "text"], ("__file", "__row"))
     decoded = bpe.decode(bpe.encode(narrow, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
-    return decoded.select(
+    done = decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"), "__file", "__row",
     )
+    return in_order_of_files(stored(done, "tokens"), ("__file", "__row"), "position")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
