@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafledger.llm.components import connected_components
 from leafledger.llm.forest import Forest
@@ -41,17 +42,20 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` (long), one row per row of ``docs``, without a shuffle."""
+def _printed(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with their last column, a text, replaced by its ``fingerprint``, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint_of(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fingerprint"])
+            prints = [fingerprint_of(t.as_py(), shingle) for t in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], [*batch.schema.names[:-1], "fingerprint"])
 
-    kind = dict(docs.dtypes)[id_column]
-    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fingerprint", T.LongType())]))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id``, ``fingerprint`` (long), one row per row of ``docs``, without a shuffle."""
+    return _printed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), shingle)
 
 
 def _bounds(segments: int) -> list[int]:
@@ -198,10 +202,25 @@ def simhash_groups(
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their group; one row where an id repeats with its text."""
-    groups = simhash_groups(docs, **options)
-    kept_id, text_hash = free_name(docs.columns, "__kept_id"), free_name(docs.columns, "__text_hash")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
-    stay = docs.join(kept, col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi").withColumn(text_hash, F.xxhash64("text"))
-    return stay.dropDuplicates(["doc_id", text_hash]).select(*[col(c) for c in docs.columns])
+def keep_one_per_group(
+    docs: DataFrame,
+    shingle: int = 3,
+    distance: int = 3,
+    segments: int = 5,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """One row of ``docs`` per group: the one with the smallest id, null ids last, and of equal
+    ids the one with the smallest hash of its text."""
+    id_, hash_, text_hash = (free_name(docs.columns, n) for n in ("__kept_id", "__kept_hash", "__text_hash"))
+    text = col(text_column).cast("string")
+    rows = docs.select(col(id_column).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    marked = stored(_printed(rows, shingle), "simhash")
+    distinct = marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("head"))
+    nodes = connected_components(near_links(distinct, distance, segments), "a", "b")
+    grouped = distinct.join(nodes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    kept = grouped.groupBy(F.coalesce("component", "fingerprint")).agg(F.min("head").alias("head"))
+    kept = kept.select(F.col("head.doc_id").alias(id_), F.col("head.hash").alias(hash_))
+    own = docs.withColumn(text_hash, F.xxhash64(text))
+    stay = own.join(kept, col(id_column).eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left_semi")
+    return stay.dropDuplicates([id_column, text_hash]).select(*[col(c) for c in docs.columns])

@@ -92,6 +92,20 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("text = 'same text here'").collect()) == [5]
 
 
+def test_one_row_per_group_for_null_and_repeated_ids(make):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(900)]
+    texts = {name: " ".join(words[300 * i : 300 * i + 300]) for i, name in enumerate("abc")}
+    spaced = {name: text.replace(" ", "  ") for name, text in texts.items()}
+    rows = [
+        (None, texts["a"]), (None, spaced["a"]), (None, texts["a"]),  # only null ids
+        (None, texts["b"]), (4, spaced["b"]), (9, texts["b"]),  # 4 heads this group
+        (4, texts["c"]), (3, spaced["c"]), (3, texts["c"]), (3, texts["c"]),  # 4 heads no group here, 3 has two texts
+    ]
+    got = [(r.doc_id, " ".join(r.text.split())) for r in simhash.keep_one_per_group(make(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, texts["a"]), (4, texts["b"]), (3, texts["c"])], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b")
     found = connected_components(edges, "a", "b").collect()
