@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Only SQL functions work on documents. Sketches of two versions subtract cell by cell; peeling
+Paragraphs are lines, cut further at places that their content defines. Only SQL functions work on documents. Sketches of two versions subtract cell by cell; peeling
 the difference gives the digests of the paragraphs in which they differ.
 """
 
@@ -19,12 +19,38 @@ CAPACITY = 18
 ROUNDS = 16
 #: Tries with more sketches and other hashes, before digests are compared one by one.
 RETRIES = 2
+#: Units that a rolling hash covers, and one of how many hashes ends a piece of a line; lines of
+#: at most ``WINDOW`` units stay whole.
+WINDOW = 4
+DIVISOR = 8
+#: A unit is a word, or one character of scripts without spaces or of no word, with the white
+#: space before it; an unbroken run of letters is cut from its start.
+UNIT = r"(?s)\s*+[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]{1,24}+|\s*."
+
+
+def _pieces(line: Column) -> Column:
+    """Digests of the pieces of a line: one ends after a unit where the hash of the last
+    ``WINDOW`` units is a multiple of ``DIVISOR``, whatever stands before."""
+
+    def cut(u: Column) -> Column:
+        ends = F.filter(
+            F.sequence(F.lit(0), F.size(u) - 1),
+            lambda i: (i == F.size(u) - 1)
+            | ((i >= WINDOW - 1) & (F.pmod(F.xxhash64(*[F.get(u, i - j) for j in reversed(range(WINDOW))]), F.lit(DIVISOR)) == 0)),
+        )
+        return F.transform(F.array(ends), lambda e: F.transform(e, lambda end, j: F.transform(
+            F.array(F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1) + 1)),
+            lambda start: F.slice(u, start + 1, end - start + 1),
+        )[0]))[0]
+
+    cuts = F.transform(F.array(F.regexp_extract_all(line, F.lit(UNIT), F.lit(0))), cut)[0]
+    return F.transform(F.filter(cuts, lambda p: F.exists(p, lambda u: F.trim(u) != "")), lambda p: F.xxhash64(p))
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests of the distinct non-blank lines of a text."""
+    """Digests of the distinct non-blank pieces of the lines of a text."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: F.trim(line) != "")
-    return F.array_distinct(F.transform(lines, lambda line: F.xxhash64(line)))
+    return F.array_distinct(F.flatten(F.transform(lines, _pieces)))
 
 
 def _keyed(key: Column, salt: int) -> Column:
@@ -183,8 +209,9 @@ def compare_versions(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     The edited text has its last third (rounded down, in code points) replaced by the start of
     the next document by descending id. A fingerprint is the sketch of the text's distinct
-    non-blank lines, so equal texts have equal ones; likeness is the shared share of these
-    lines. Null texts are empty; two texts without a line are alike (1). Repeated rows and ids
+    pieces (non-blank lines, cut where their content says), so equal texts have equal ones;
+    likeness is the shared share of these pieces. Null texts are empty; two texts without a
+    piece are alike (1). Repeated rows and ids
     keep a row each; other columns are not looked at. An empty table gives an empty result.
     """
     text = F.coalesce(col(text_column).cast("string"), F.lit(""))

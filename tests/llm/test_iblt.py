@@ -68,6 +68,19 @@ def test_peeling_gives_back_both_sides(spark):
     assert larger in (900, None)
 
 
+def test_texts_of_one_line_keep_the_likeness_of_what_is_untouched(make):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(400))) for i in range(8)]
+    rows += [(i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600))) for i in range(8, 12)]
+    rows += [(20, rows[0][1]), (21, rows[0][1].replace(" ", " more ", 200).replace(" more ", " ", 199))]
+    got = {r.doc_id: r for r in iblt.compare_versions(make(rows)).collect()}
+    # two thirds stay: 2/3 shared of 4/3 distinct
+    assert all(0.35 < got[i].near_edited < 0.65 for i in range(1, 12))
+    assert all(got[i].near_next < 0.05 for i in range(1, 12))
+    assert got[20].fingerprint == got[0].fingerprint and 0.9 < got[21].near_next < 1
+
+
 def test_odd_rows(odd, make):
     assert iblt.compare_versions(odd).count() == odd.count()
     assert iblt.compare_versions(odd.where("doc_id = -1")).count() == 0
