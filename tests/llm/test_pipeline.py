@@ -72,6 +72,14 @@ def test_positions_follow_the_numbers_of_files(spark):
     assert [(r.id, r.p) for r in shared.in_order_of_files(unread, ("f", "i"), "p").collect()] == [(i, i) for i in range(20)]
 
 
+def test_language_stage_rejects_only_texts_without_letters(make, spark):
+    stock = {"en": "the house of the man and a dog", "de": "das haus und der hund mit dem mann", "fr": "la maison et le chien de cet homme", "es": "la casa y el perro de un hombre"}
+    rows = [(4 * i + j, f"{text} {i}", lang) for i in range(20) for j, (lang, text) in enumerate(stock.items())]
+    rows += [(100, "1234 -- 5678 !!", "en"), (101, "zxqj wkvv qqzx jjxw zzkq", "en"), (102, " ".join(stock.values()), "en")]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, make(rows), "").collect()}
+    assert kept == {r[0] for r in rows} - {100}
+
+
 def test_stages_bear_odd_rows(spark, odd):
     docs = odd
     for name, stage in corpus_pipeline.STAGES:
