@@ -120,7 +120,10 @@ def mix(
     """``doc_id``, ``source``, ``size``, ``block``, ``release``, ``deadline``, ``slot``, ``place``.
 
     A source's documents, shuffled by a digest of id and text, fill blocks of ``block_chars``
-    characters; a document belongs to the block in which it starts. Slots interleave the blocks
+    characters; a document belongs to the block in which it starts and is emitted whole at that
+    block's slot. After any slot a source with documents left has thus emitted less than one
+    block less, and less than one block plus its longest document more, than its weight's
+    share of the slots so far, in characters. Slots interleave the blocks
     of all sources in the ratio of their weights; ``place`` orders the documents of a slot.
     Every row has one place: where a source ends, the slots it would have had stay empty and
     the others keep their ratio. A null source is a source, a null text has size 0, repeated

@@ -41,6 +41,24 @@ def test_blocks_follow_the_weights(make):
         assert owners.setdefault(r.slot, r.source) == r.source
 
 
+def test_emitted_characters_stay_within_a_block_and_the_longest_document(make):
+    rng = random.Random(5)
+    weights, block = {"a": 3, "b": 2, "c": 1}, 50
+    rows = [(i, "x" * (rng.randrange(150, 400) if i % 25 == 0 else rng.randrange(1, 40)), "en", "abc"[i % 3]) for i in range(600)]
+    got = mixing.mix(make(rows), weights, 1, block_chars=block).collect()
+    total, longest, most = dict.fromkeys(weights, 0), dict.fromkeys(weights, 0), 0
+    for r in got:
+        total[r.source] += r.size
+        longest[r.source] = max(longest[r.source], r.size)
+    for slot in range(max(r.slot for r in got) + 1):
+        for s, k in weights.items():
+            done = sum(r.size for r in got if r.source == s and r.slot <= slot)
+            ahead = done - Fraction(k * (slot + 1) * block, sum(weights.values()))
+            assert ahead < block + longest[s] and (ahead > -block or done == total[s])
+            most = max(most, ahead)
+    assert most > block  # one block alone is not the bound
+
+
 def test_ranges_do_not_change_the_result(make, monkeypatch):
     rows = [(i, "y" * (i % 17), "en", "a" if i % 2 else "b") for i in range(300)]
     once = {tuple(r) for r in mixing.mix(make(rows), {"a": 2}).collect()}
