@@ -19,6 +19,9 @@ CAPACITY = 18
 ROUNDS = 16
 #: Tries with more sketches and other hashes, before digests are compared one by one.
 RETRIES = 2
+#: Digests of two texts beyond which more sketches, whose cost grows with the square, are not
+#: tried: comparing the digests gives the same number.
+RETRY_KEYS = 16 * CAPACITY
 #: Units that a rolling hash covers, and one of how many hashes ends a piece of a line; lines of
 #: at most ``WINDOW`` units stay whole.
 WINDOW = 4
@@ -136,10 +139,11 @@ def _in_groups(a: Column, b: Column, attempt: int) -> Column:
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """How many digests only one of two arrays has: peeled from their sketches, on failure from
-    more sketches with other hashes, and where these fail too by comparison."""
+    more sketches with other hashes, and where these fail too or are too many by comparison."""
     apart = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     tries = [F.when(F.abs(F.size(a) - F.size(b)) <= CAPACITY, F.transform(F.array(peeled(subtracted(cells_a, cells_b))), lambda p: F.when(p.isNotNull(), F.size(p)))[0])]
-    tries += [_in_groups(a, b, attempt) for attempt in range(1, RETRIES + 1)]
+    few = F.size(a) + F.size(b) <= RETRY_KEYS
+    tries += [F.when(few, _in_groups(a, b, attempt)) for attempt in range(1, RETRIES + 1)]
     return F.coalesce(*tries, apart)
 
 
