@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafledger.llm import bpe, gridjoin, iblt, langid, linechunks, mixing, pii, simhash, sql, suffixes, warc
+from leafledger.llm import bpe, gridjoin, iblt, langid, linechunks, mixing, periods, pii, simhash, sql, suffixes, warc
 from leafledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.with_repeated_tail(table(spark, sf_dir, "documents")))
