@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafledger.llm import bpe, gridjoin, iblt, langid, linechunks, mixing, periods, pii, simhash, sql, suffixes, warc
+from leafledger.llm import bpe, gridjoin, iblt, langid, linechunks, mixing, periods, pii, rules, simhash, spelling, sql, suffixes, warc
 from leafledger.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,13 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(periods.with_repeated_tail(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
