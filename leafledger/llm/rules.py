@@ -20,7 +20,7 @@ from leafledger.llm.shared import col, free_name
 #: Labelled rows that a model is fitted on, at most; those with the least checksums of their ids.
 SAMPLE_ROWS = 8192
 THRESHOLD = 0.7
-TREES = 48
+TREES = 32
 DEPTH = 3
 LEAST_ROWS = 4
 BINS = 32
@@ -28,7 +28,7 @@ SHRINKAGE = 0.2
 RIDGE = 1.0
 #: L1 penalties tried, as parts of the least one that leaves no rule; the best on every fifth row wins.
 PENALTIES = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001)
-ROUNDS = 400
+ROUNDS = 250
 
 
 def _statistics(t: str, w: str) -> dict[str, str]:
@@ -151,9 +151,21 @@ def _holds(rules: list[Rule], values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _steepest(z: np.ndarray) -> float:
+    """An upper bound of the largest eigenvalue of ``z.T @ z``, close to it for rules (all are >= 0)."""
+    square = z.T @ z
+    ahead = np.ones(z.shape[1])
+    for _ in range(20):
+        ahead = square @ ahead
+        ahead /= ahead.max(initial=1e-300)
+    # of a matrix without negative entries no row of square @ x / x is below it everywhere
+    some = ahead > 0
+    return float(((square @ ahead)[some] / ahead[some]).max(initial=1.0))
+
+
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
     """Logistic weights under an L1 penalty (none on the bias), by accelerated proximal steps."""
-    step = 4 * len(y) / (np.linalg.norm(z, 2) ** 2 + len(y))
+    step = 4 * len(y) / (_steepest(z) + len(y))
     ahead_w, ahead_b, pace = weights, bias, 1.0
     for _ in range(ROUNDS):
         miss = 1 / (1 + np.exp(-np.clip(z @ ahead_w + ahead_b, -40, 40))) - y
@@ -200,8 +212,14 @@ def fit(values: np.ndarray, labels: np.ndarray) -> Model:
         tree = np.empty(len(y))
         _grow(x, edges, p - y, p * (1 - p), np.arange(len(y)), frozenset(), DEPTH, rules, tree)
         odds += SHRINKAGE * tree
+    # of rules that hold for the same rows the shortest stays
+    held = _holds(list(rules), values)
+    alike: dict[bytes, int] = {}
     named = list(rules)
-    z = _holds(named, values)
+    for i in sorted(range(len(named)), key=lambda i: (len(named[i]), i)):
+        alike.setdefault(held[:, i].tobytes(), i)
+    chosen = sorted(alike.values())
+    named, z = [named[i] for i in chosen], held[:, chosen]
     if not named:
         return Model(bias, ())
     apart = np.arange(len(y)) % 5 == 4

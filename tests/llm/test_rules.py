@@ -1,6 +1,5 @@
 import math
 import os
-import re
 import zlib
 
 import numpy as np
@@ -132,4 +131,4 @@ def test_odd_rows(spark, odd):
 def test_no_statistic_is_computed_twice(spark, sf_dir):
     model = rules.Model(0.0, tuple((frozenset({rules.Condition(i, True, 0.5)}), 1.0) for i in range(14)) * 3)
     plan = rules.with_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)._jdf.queryExecution().optimizedPlan().toString()
-    assert len(re.findall(r"array_distinct\(", plan)) == 1
+    assert plan.count("split(") == 1
