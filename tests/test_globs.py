@@ -17,9 +17,9 @@ def hit(pattern, text):
 @pytest.mark.parametrize(
     "pattern, text, expected",
     [
-        ("*.tmp", "temp.tmp", True),
-        ("*.tmp", "a/temp.tmp", False),
-        ("a/*.tmp", "a/temp.tmp", True),
+        ("*.swp", "scratch.swp", True),
+        ("*.swp", "a/scratch.swp", False),
+        ("a/*.swp", "a/scratch.swp", True),
         ("**/x", "a/x", True),
         ("**/x", "a/b/x", False),
         ("?.go", "a.go", True),

@@ -9,8 +9,8 @@ from leafledger.plans.profile import profile
 
 AS_OF = dt.datetime(2024, 3, 1)
 FILES = {
-    "file1.txt": "hello world\n", "file2.go": "package main\n", "subdir/file3.md": "# Hi there\n",
-    "binary.bin": bytes([0, 1, 2, 3, 255]), "a.PY": "# c\nx = 1\n", "b.weird": "x", "c.odd": "y", "Makefile": "all:\n",
+    "memo.txt": "two words\n", "srv.go": "package srv\n", "docs/intro.md": "# Start\n",
+    "logo.bin": bytes([137, 0, 7, 254]), "a.PY": "# c\nx = 1\n", "b.weird": "x", "c.odd": "y", "Makefile": "all:\n",
 }
 
 

@@ -7,7 +7,7 @@ from leafledger.operators import paths, select
 from leafledger.operators.select import Selection
 from leafledger.schema import MissingColumns
 
-NAMES = ["main.go", "util.py", "readme.md", ".hidden", "temp.tmp", "test_file.go", "config.json"]
+NAMES = ["app.go", "model.py", "guide.md", ".env", "draft.bak", "old_app.go", "data.json", "LICENSE"]
 
 
 @pytest.fixture
@@ -16,18 +16,18 @@ def files(corpus):
 
 
 def test_extensions(files, corpus, paths_of):
-    assert paths_of(select.filter_extensions(files, "go")) == ["main.go", "test_file.go"]
-    assert paths_of(select.filter_extensions(files, " .go , md ")) == ["main.go", "readme.md", "test_file.go"]
-    assert len(paths_of(select.filter_extensions(files, ""))) == 7
-    odd = corpus({"file.GO": "x", "noext": "x", "a.tar.gz": "x", "d.x/plain": "x"})
-    assert paths_of(select.filter_extensions(odd, "go,gz,x")) == ["a.tar.gz"]
+    assert paths_of(select.filter_extensions(files, "py")) == ["model.py"]
+    assert paths_of(select.filter_extensions(files, " json,.go  , md ")) == ["app.go", "data.json", "guide.md", "old_app.go"]
+    assert len(paths_of(select.filter_extensions(files, ""))) == len(NAMES)
+    odd = corpus({"Big.PY": "x", "plainname": "x", "pack.tar.xz": "x", "dir.q/inner": "x"})
+    assert paths_of(select.filter_extensions(odd, "py,xz,q")) == ["pack.tar.xz"]
 
 
 def test_globs(files, corpus, paths_of):
-    kept = select.filter_dotfiles(select.exclude_globs(files, "*.tmp,test_*"))
-    assert paths_of(kept) == ["config.json", "main.go", "readme.md", "util.py"]
-    assert paths_of(select.exclude_globs(corpus({"project/temp_file.txt": "x"}), "temp*")) == []
-    assert len(paths_of(select.exclude_globs(files, "[bad"))) == 7
+    kept = select.filter_dotfiles(select.exclude_globs(files, "*.bak,old_*"))
+    assert paths_of(kept) == ["LICENSE", "app.go", "data.json", "guide.md", "model.py"]
+    assert paths_of(select.exclude_globs(corpus({"deep/in/here-it-is.log": "x"}), "here*")) == []
+    assert len(paths_of(select.exclude_globs(files, "app[.go"))) == len(NAMES)
 
 
 def test_dotfiles(corpus, paths_of):
@@ -37,14 +37,14 @@ def test_dotfiles(corpus, paths_of):
 
 
 def test_tracked(spark, corpus, paths_of):
-    files = corpus({p: "x" for p in ("src/main.go", "docs/readme.md", "temp/cache.tmp")})
-    tracked = spark.createDataFrame([("src/main.go",), ("docs/readme.md",), ("config.json",)], "path string")
-    assert paths_of(select.tracked_only(files, tracked)) == ["docs/readme.md", "src/main.go"]
-    assert len(paths_of(select.tracked_only(files, tracked.limit(0)))) == 3
+    files = corpus({p: "x" for p in ("lib/core.rs", "lib/core.rs.orig", "notes", "out/run.log")})
+    tracked = spark.createDataFrame([("notes",), ("lib/core.rs",), ("gone.txt",)], "path string")
+    assert paths_of(select.tracked_only(files, tracked)) == ["lib/core.rs", "notes"]
+    assert len(paths_of(select.tracked_only(files, tracked.limit(0)))) == 4
 
 
 def test_composed_selection_and_audit(spark, files, corpus, paths_of):
-    assert len(paths_of(select.select_files(files, Selection(include_dotfiles=True)))) == 7
+    assert len(paths_of(select.select_files(files, Selection(include_dotfiles=True)))) == len(NAMES)
     mixed = corpus({
         "a.go": "x", "b.tmp": "x", ".c": "x", "d.bin": b"\x00\x01", "e.go": "y" * 50, "f.zz": "x", "g.go": "x",
     })

@@ -5,12 +5,15 @@ from leafledger.functions.sizes import parse_size, size_column
 from leafledger.functions.text import megabytes
 from leafledger.operators import select
 
+# every unit in three spellings, with and without blanks around and inside
 GOOD = {
-    "": 0, "1024": 1024, "512B": 512, "1KB": 1024, "1MB": 1024**2, "1GB": 1024**3,
-    "500KB": 512000, "10MB": 10 * 1024**2, "1mb": 1024**2, "1Mb": 1024**2,
-    " 5 MB ": 5 * 1024**2, "0MB": 0, "0": 0,
-}
-BAD = ["1TB", "abcMB", "-1MB", "1.5MB", "MB", "1 000"]
+    f"{before}{number}{inside}{spelt}{after}": number * factor
+    for factor, unit in ((1, "b"), (1024, "kb"), (1024**2, "mb"), (1024**3, "gb"))
+    for spelt in (unit, unit.upper(), unit.title())
+    for number in (0, 3, 77)
+    for before, inside, after in (("", "", ""), ("  ", " ", "\t"))
+} | {"": 0, "   ": 0, "4096": 4096, "00012": 12, str(2**63 - 1): 2**63 - 1}
+BAD = ["7 pb", "kb", "12,5", "3.0gb", "+4", "-2 b", "0x10", "5 k b", "1 2", "9" * 20, "2kbs"]
 
 
 @pytest.mark.parametrize("text, size", GOOD.items())
