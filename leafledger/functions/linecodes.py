@@ -37,6 +37,9 @@ CONTROL_SCORE, FUNCTION_SCORE = 1.0, 0.5
 
 COMMENT, CODE = "swi/p", "0123qrtu"
 
+# Letters of lines that open or close a block.
+_EVENTS = "swpqrtu"
+
 # From the line after an opening one, up to and including the first that holds
 # a block end, every line that is not blank is inside.
 _INSIDE = "(?:(?<=s)|\\G(?!^)(?<![wpqrtu]))(b*+)[^b]"
@@ -84,21 +87,43 @@ def _line_code(line: Column, syntax: Column) -> Column:
     )
 
 
-def line_codes(ext_key: Column, text: Column) -> Column:
-    """One letter per line of ``text`` under the comment syntax of its extension."""
+def _own_codes(ext_key: Column, text: Column) -> Column:
+    """An array of one: the letters of all lines, each seen by itself."""
     lines = split_lines(text)
     # The inner array binds the syntax once per file instead of once per line.
-    codes = F.transform(
+    return F.transform(
         F.array(comment_syntax(ext_key)),
         lambda syntax: F.array_join(F.transform(lines, lambda line: _line_code(line, syntax)), ""),
     )
+
+
+def own_codes(ext_key: Column, text: Column) -> Column:
+    """One letter per line of ``text``, each line seen by itself."""
+    return F.get(_own_codes(ext_key, text), F.lit(0))
+
+
+def line_codes(ext_key: Column, text: Column) -> Column:
+    """One letter per line of ``text`` under the comment syntax of its extension."""
     marked = F.transform(
-        codes,
+        _own_codes(ext_key, text),
         lambda c: F.when(F.contains(c, F.lit("s")), F.regexp_replace(c, _INSIDE, "$1i")).otherwise(c),
     )
     return F.get(marked, F.lit(0))
 
 
+def transition(codes: Column) -> Column:
+    """What lines do to the state behind them: true opens a block, false closes it, null neither."""
+    last = F.regexp_extract(codes, f"([{_EVENTS}])[^{_EVENTS}]*\\z", 1)
+    return F.when(last != "", last == "s")
+
+
+def codes_after(codes: Column, inside: Column) -> Column:
+    """Letters of lines seen by themselves, where the lines before leave a block open or not."""
+    opened = F.when(inside, F.concat(F.lit("s"), codes)).otherwise(codes)
+    marked = F.when(F.contains(opened, F.lit("s")), F.regexp_replace(opened, _INSIDE, "$1i")).otherwise(opened)
+    return F.right(marked, F.length(codes))
+
+
 def kinds(codes: Column) -> Column:
     """``blank``, ``comment`` or ``code`` for each letter."""
     return F.transform(

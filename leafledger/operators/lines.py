@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafledger.functions import linecodes
 from leafledger.functions import paths as P
 from leafledger.functions import text as TX
+from leafledger.operators.running import carried
 from leafledger.schema import require, text_of
 
 # Layouts of a numbered line.
@@ -52,7 +53,7 @@ def classify_line_rows(lines: DataFrame) -> DataFrame:
     """Add ``kind`` to rows that are already one line each.
 
     The last line before this one that opens or closes a block decides whether
-    it lies inside; the window is per file.
+    it lies inside; it is carried over ranges of lines, so one file may span tasks.
     """
     require(lines, "relpath", "ext_key", "line_no", "line")
     syntax = linecodes.comment_syntax(F.col("ext_key"))
@@ -61,21 +62,17 @@ def classify_line_rows(lines: DataFrame) -> DataFrame:
     has_end = F.coalesce(F.contains("line", end), F.lit(False))
     trimmed = TX.strip(F.col("line"))
     event = F.when(has_end, False).when(has_start, True)
-    before = (
-        Window.partitionBy("relpath").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = F.coalesce(F.last("__event", ignorenulls=True).over(before), F.lit(False))
+    inside = F.coalesce(F.col("__inside"), F.lit(False))
     by_prefix = F.coalesce(F.startswith(trimmed, prefix), F.lit(False))
     return (
-        lines.withColumn("__event", event)
-        .withColumn("__inside", inside)
+        carried(lines, event, ["line_no"], within=["relpath"], name="__inside")
         .withColumn(
             "kind",
             F.when(trimmed == "", "blank")
-            .when(F.col("__inside") | has_start | by_prefix, "comment")
+            .when(inside | has_start | by_prefix, "comment")
             .otherwise("code"),
         )
-        .drop("__event", "__inside")
+        .drop("__inside")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafledger.functions import paths as P
@@ -56,8 +56,8 @@ def bundle(
     """``section, tree_key, relpath, block``; sorted by the first two it is the document.
 
     The tree shows all entries, the files are the selected ones.  Both limits
-    belong to the text format.  For ``json`` the blocks are JSON records: first the metadata,
-    then the tree, then the files.  ``write_bundle`` sorts and writes; nothing is sorted here.
+    belong to the text format and to ``json``, whose blocks are JSON records: first the metadata,
+    then the tree, then the files.  ``plans.document`` has them as one JSON document.  ``write_bundle`` sorts and writes; nothing is sorted here.
     """
     kind = output_format(format)
     spec = spec or Selection()
@@ -76,7 +76,7 @@ def bundle(
     if kind == "text":
         body = _text_files(files, limit, is_numbered, max_file)
     elif kind == "json":
-        record = render.export_files(files)
+        record = render.export_files(files, limit=limit, max_file=max_file)
         body = record.select(
             P.tree_key(F.col("relative_path")).alias("tree_key"),
             F.col("relative_path").alias("relpath"),
@@ -96,16 +96,26 @@ def bundle(
         )
         out = out.unionByName(heading)
     if kind == "json":
-        out = out.unionByName(_metadata(files, entries, spec, is_numbered))
+        lost = record.agg(F.coalesce(F.bool_or("truncated"), F.lit(False))).scalar() if limit > 0 else F.lit(False)
+        out = out.unionByName(metadata_block(files, entries, spec, is_numbered, limit, max_file, lost))
     return out
 
 
-def _metadata(files: DataFrame, entries: DataFrame, spec: Selection, is_numbered: bool) -> DataFrame:
+def metadata_block(
+    files: DataFrame,
+    entries: DataFrame,
+    spec: Selection,
+    is_numbered: bool,
+    limit: int = 0,
+    max_file: str | int | None = None,
+    truncated: Column | bool = False,
+) -> DataFrame:
     """The record that heads a JSON bundle, about the selected files."""
     stats = S.basic_stats(S.facts(files, with_lines=False))
     row = render.export_metadata(
         stats, S.directory_count(entries), files, is_numbered=is_numbered, extensions=spec.extensions,
-        exclude=spec.exclude, max_file_size=str(spec.max_file_size or ""), include_dotfiles=spec.include_dotfiles,
+        exclude=spec.exclude, max_file_size=str(max_file or spec.max_file_size or ""), character_limit=limit,
+        include_dotfiles=spec.include_dotfiles, truncated=truncated,
     )
     block = F.to_json(F.struct(*[F.col(c) for c in row.columns]))
     return row.select(F.lit(0).alias("section"), F.lit("").alias("tree_key"), F.lit("").alias("relpath"), block.alias("block"))

@@ -94,6 +94,13 @@ WITH_EMPTY = """full_entries AS (SELECT * FROM entries UNION ALL
   SELECT relpath || '/empty', relpath, 'empty', depth + 1, true FROM entries WHERE is_dir)"""
 
 
+SITE = """site AS (SELECT relpath, CAST(0 AS BIGINT) AS size_bytes, string_agg(
+    CASE WHEN text = '' OR ends_with(text, chr(10)) THEN text ELSE text || chr(10) END, '' ORDER BY page_id) AS text
+  FROM (SELECT *, 'site-' || CAST(page_id % 3 AS VARCHAR) || '.html' AS relpath FROM (SELECT page_id, text FROM page_corpus)) GROUP BY relpath)"""
+FOLDERS = """folders AS (SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR) AS folder,
+  string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1)"""
+
+
 def order_key(is_dir: str = "is_dir") -> str:
     parts = "string_split(relpath, '/')"
     return (
@@ -209,6 +216,30 @@ def judged(source: str, is_dir: str) -> str:
   GROUP BY q.relpath) v ON v.relpath = p.relpath)"""
 
 
+SCOPED = r"""scoped_lines AS (
+  SELECT CASE d.doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN d.source ELSE d.source || '/' || d.lang END AS scope,
+    d.doc_id AS line_no, CASE d.doc_id % 7
+      WHEN 0 THEN 'doc_' || CAST(d.doc_id AS VARCHAR) || '.*'
+      WHEN 1 THEN '*c_' || CAST(d.doc_id % 100 AS VARCHAR) || '*'
+      WHEN 2 THEN '!*_' || CAST(d.doc_id % 50 AS VARCHAR) || '?.*'
+      WHEN 3 THEN d.lang || '/doc_' || CAST(d.doc_id % 300 AS VARCHAR) || '*'
+      WHEN 4 THEN '!doc_' || CAST(d.doc_id // 3 AS VARCHAR) || '*'
+      WHEN 5 THEN d.lang || '/'
+      ELSE '!' || d.lang END AS line
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+scoped_rules AS (
+  SELECT scope, [CASE WHEN scope = '' THEN 0 ELSE len(string_split(scope, '/')) END, line_no] AS place,
+    starts_with(line, '!') AS is_negation, ends_with(line, '/') AS is_dir_only,
+    '(^|/)' || replace(replace(replace(trim(line, '!/'), '.', '\.'), '*', '[^/]*'), '?', '[^/]') || '$' AS regex
+  FROM scoped_lines),
+scoped AS (SELECT p.relpath, p.is_dir, coalesce(NOT v.is_negation, false) AS is_ignored FROM entries p LEFT JOIN (
+  SELECT q.relpath, arg_max(r.is_negation, r.place) AS is_negation FROM entries q JOIN scoped_rules r
+    ON (r.scope = '' OR starts_with(q.relpath, r.scope || '/'))
+    AND regexp_matches(CASE WHEN r.scope = '' THEN q.relpath ELSE substr(q.relpath, length(r.scope) + 2) END, r.regex)
+    AND (r.is_negation OR NOT r.is_dir_only OR q.is_dir)
+  GROUP BY q.relpath) v ON v.relpath = p.relpath)"""
+
+
 DOTTED = "regexp_matches(relpath, '(^|/)\\.')"
 EXCLUDED = (
     "(regexp_matches(base, '^doc_1[^/]*$') OR regexp_matches(relpath, '^src3/[^/]*/[^/]*$')"
@@ -313,6 +344,7 @@ def queries() -> dict[str, str]:
     q["ignore_rules"] = sql("SELECT * FROM rules", RULES)
     q["ignore_rules_apply"] = sql(
         "SELECT relpath, is_dir, is_ignored FROM judged", *FILES, ENTRIES, RULES, judged("entries", "q.is_dir"))
+    q["ignore_rules_scoped"] = sql("SELECT * FROM scoped", *FILES, ENTRIES, SCOPED)
     q["max_size"] = sql("SELECT relpath, size_bytes FROM f WHERE size_bytes <= 2048", *FILES)
     q["size_quota"] = sql(
         """SELECT relpath, size_bytes, CAST(quota_bytes AS BIGINT) AS quota_bytes, quota_bytes IS NULL AS quota_invalid
@@ -343,6 +375,16 @@ def queries() -> dict[str, str]:
     q["classify_lines"] = sql("SELECT relpath, line_no, kind FROM kinds", *ALL_FILES, LINES, KINDS)
     q["classify_line_rows"] = sql(
         "SELECT relpath, line_no, kind FROM kinds", PAGES, named("page_corpus"), LINES, KINDS)
+    q["classify_blocks"] = sql(
+        "SELECT relpath, CAST(line_no AS BIGINT) AS line_no, kind FROM kinds", PAGES, SITE, named("site"), LINES, KINDS)
+    q["block_metrics"] = sql("SELECT * FROM metrics", PAGES, SITE, named("site"), LINES, KINDS, METRICS)
+    q["read_lines"] = sql(
+        """SELECT folder, CAST(unnest(generate_series(1, len(ls) - 1)) AS BIGINT) AS line_no, regexp_replace(unnest(ls[1:len(ls)-1]), '\\r$', '') AS line
+        FROM (SELECT folder, string_split(text, chr(10)) AS ls FROM folders)""", FOLDERS)
+    q["read_files"] = sql("SELECT folder, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS content_sha256 FROM folders", FOLDERS)
+    q["list_files"] = sql(
+        """SELECT folder, 1 AS depth, true AS is_dir, CAST(NULL AS BIGINT) AS size_bytes, true AS at_top FROM folders
+        UNION ALL SELECT folder, 2, false, CAST(strlen(text) AS BIGINT), false FROM folders""", FOLDERS)
     q["file_metrics"] = sql("SELECT * FROM metrics", *ALL_FILES, LINES, KINDS, METRICS)
     q["number_lines"] = sql(f"SELECT relpath, line_no, {WRITTEN} AS numbered FROM lines", *FILES, LINES)
     for name, formula in (
@@ -436,11 +478,14 @@ def queries() -> dict[str, str]:
         "empty_directories": "any_value((SELECT count(*) FROM dirs WHERE relpath NOT IN (SELECT parent FROM entries)))",
         "binary_files": "count(*) FILTER (contains(text, chr(0)))",
     }
+    sums = [f"SELECT '{d}' AS section, {d} AS item, {measures} GROUP BY {d}" for d in ("ext", "language", "size_bucket", "age_bucket", "kind")]
+    sums.append(f"SELECT 'total' AS section, '' AS item, {measures}")
     sections = " UNION ALL ".join(
-        [f"SELECT '{d}' AS section, {d} AS item, {measures} GROUP BY {d}" for d in ("ext", "language", "size_bucket", "age_bucket", "kind")]
-        + [f"SELECT 'total' AS section, '' AS item, {measures}"]
+        sums
         + [f"SELECT 'directories', '', (SELECT count(*) + 1 FROM dirs), {empty}"]
         + [f"SELECT 'health', '{name}', CAST({count} AS BIGINT), {empty} FROM f" for name, count in findings.items()])
+    left = [part.replace("FROM documents)", "FROM documents WHERE doc_id % 15 <> 0 OR doc_id % 30 = 0)") for part in FILES]
+    q["profile_incremental"] = sql(" UNION ALL ".join(sums), *left, SNIFF, LINES, KINDS, METRICS, TOKENS, LANGS, wide)
     q["profile_report"] = sql(sections, *FILES, ENTRIES, SNIFF, LINES, KINDS, METRICS, TOKENS, LANGS, wide)
 
     q["tree_order"] = sql(
@@ -484,7 +529,7 @@ def queries() -> dict[str, str]:
     reason = f"""CASE WHEN {DOTTED} THEN 'dotfile' WHEN {EXCLUDED} THEN 'excluded' WHEN NOT is_text THEN 'binary' ELSE '' END"""
     exported = f"""reasons AS (SELECT *, {reason} AS why FROM sniff),
 chosen AS (SELECT * FROM reasons WHERE why = '')"""
-    q["export_files"] = sql(
+    records = (
         f"""SELECT 'corpus/' || r.relpath AS path, r.relpath AS relative_path, 'text' AS type, r.size_bytes,
         CAST(length(r.text) - length(replace(r.text, chr(10), ''))
           + CASE WHEN r.text <> '' AND NOT ends_with(r.text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
@@ -495,8 +540,19 @@ chosen AS (SELECT * FROM reasons WHERE why = '')"""
         why = '' AND r.size_bytes <= {SMALL} AND coalesce(lost, false) AS truncated
         FROM reasons r LEFT JOIN (SELECT relpath, bool_or(NOT fits) AS lost,
           coalesce(string_agg(line || chr(10), '' ORDER BY line_no) FILTER (fits), '') AS fitting FROM kept GROUP BY relpath) k
-        ON k.relpath = r.relpath""",
-        *SNIFFED_FILES, SNIFF, exported, LINES.replace(" FROM f)", " FROM chosen)"), BUDGETED)
+        ON k.relpath = r.relpath""")
+    recorded = (*SNIFFED_FILES, SNIFF, exported, LINES.replace(" FROM f)", " FROM chosen)"), BUDGETED)
+    q["export_files"] = sql(records, *recorded)
+    total = lambda name, value: f"SELECT 'total', '{name}', CAST({value} AS VARCHAR) FROM chosen"
+    q["json_document"] = sql(
+        f"""SELECT 'file' AS kind, path AS name, concat_ws('|', size_bytes, line_count, extension, skipped, skip_reason, truncated, sha256(content)) AS value
+        FROM records UNION ALL SELECT 'tree', line, '' FROM tree
+        UNION ALL {total('total_files', 'count(*)')} UNION ALL {total('total_directories', '(SELECT count(*) + 1 FROM dirs)').replace(' FROM chosen', '')}
+        UNION ALL {total('total_size_bytes', 'CAST(sum(size_bytes) AS BIGINT)')}
+        UNION ALL {total('estimated_tokens', 'CAST(sum(size_bytes // 4) AS BIGINT)')}
+        UNION ALL {total('text_files', 'count(*) FILTER (is_text)')} UNION ALL {total('binary_files', 'count(*) FILTER (NOT is_text)')}
+        UNION ALL {total('truncated', '(SELECT bool_or(truncated) FROM records)').replace(' FROM chosen', '')}""",
+        *recorded, f"records AS ({records})", ENTRIES, TREE)
     q["export_metadata"] = sql(
         f"""SELECT 'corpus' AS target_directory, count(*) AS total_files,
         (SELECT count(*) + 1 FROM dirs) AS total_directories, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
@@ -549,6 +605,17 @@ chosen AS (SELECT * FROM reasons WHERE why = '')"""
         """SELECT date_trunc('day', mtime)::TIMESTAMP AS window_start, date_trunc('day', mtime)::TIMESTAMP + INTERVAL 1 DAY AS window_end,
         count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, CAST(sum(tokens) AS BIGINT) AS tokens
         FROM f JOIN tokens USING (relpath) GROUP BY 1""", *FILES, LINES, TOKENS)
+    arrived = """arrived AS (SELECT doc_id % 3 AS batch, relpath, size_bytes, mtime, tokens FROM f JOIN tokens USING (relpath)
+        UNION ALL SELECT 1, 'end', 0, TIMESTAMP '2099-01-01', 0),
+      marks AS (SELECT b.batch, max(a.mtime) AS latest FROM (SELECT unnest([0, 1, 2, 3]) AS batch) b LEFT JOIN arrived a ON a.batch < b.batch GROUP BY 1),
+      dayed AS (SELECT a.*, date_trunc('day', mtime)::TIMESTAMP AS day,
+        coalesce(date_trunc('day', mtime)::TIMESTAMP + INTERVAL 2 DAY <= m.latest, false) AS is_late FROM arrived a JOIN marks m USING (batch))"""
+    taken = (*FILES, LINES, TOKENS, arrived)
+    q["growth_closed"] = sql(
+        """SELECT day AS window_start, day + INTERVAL 1 DAY AS window_end, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
+        CAST(sum(tokens) AS BIGINT) AS tokens, day + INTERVAL 2 DAY <= (SELECT latest FROM marks WHERE batch = 3) AS is_closed
+        FROM dayed WHERE NOT is_late GROUP BY day""", *taken)
+    q["growth_late"] = sql("SELECT relpath, CAST(size_bytes AS BIGINT) AS size_bytes, mtime FROM dayed WHERE is_late", *taken)
     q["corpus_stats_stream"] = sql(
         """SELECT ext AS extension, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
         count(*) FILTER (is_text) AS text_files, CAST(sum(CASE WHEN is_text THEN tokens ELSE 0 END) AS BIGINT) AS tokens

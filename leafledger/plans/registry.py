@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafledger.functions import tokens as T
-from leafledger.operators import budget, health, ignore, lines, paths, render, select
+from leafledger.operators import blocks, budget, health, ignore, lines, paths, render, select
 from leafledger.operators import profile as S
 from leafledger.operators import status as G
 from leafledger.operators import tree
 from leafledger.plans import bundle as B
+from leafledger.plans import document
 from leafledger.plans import profile as E
 from leafledger.sources import tables as D
+from leafledger.sources import textlines
+from leafledger.sources.files import list_entries, read_corpus
 from leafledger.sources.sinks import write_bundle
+from leafledger.streaming import incremental, late
 from leafledger.streaming import stats as ST
 from leafledger.session import shared_dir
 
@@ -30,6 +34,12 @@ SMALL_FILE = "8KB"
 LARGE_FILE = "10KB"
 QUOTAS = ("512B", "2KB", " 4 kb ", "1MB", "0", "1.5MB", "-1MB", "", "1TB", "3000")
 
+TOTALS = ("total_files", "total_directories", "total_size_bytes", "estimated_tokens", "text_files", "binary_files", "truncated")
+DOCUMENT_TOTALS = ", ".join(f"{n} {'boolean' if n == 'truncated' else 'long'}" for n in TOTALS)
+DOCUMENT_FILE = (
+    "path string, size_bytes long, line_count long, extension string, content string, skipped boolean, skip_reason string, truncated boolean"
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -67,6 +77,11 @@ def _spec(spark: SparkSession, sf: str) -> select.Selection:
     )
 
 
+def _folder():
+    """The folder of a written text file; the file's own name is Spark's."""
+    return F.regexp_extract("relpath", "^folder=([^/]+)", 1)
+
+
 # -- paths and selection -----------------------------------------------------
 
 
@@ -111,6 +126,12 @@ def ignore_rules_apply(spark, sf):
     return judged.select("relpath", "is_dir", "is_ignored")
 
 
+@query
+def ignore_rules_scoped(spark, sf):
+    rules = ignore.rules_of_lines(D.scoped_rule_lines(spark, sf), scoped=True)
+    return ignore.apply_ignore_rules(_entries(spark, sf), rules).select("relpath", "is_dir", "is_ignored")
+
+
 @query
 def max_size(spark, sf):
     return select.max_size(D.corpus(spark, sf), "2KB").select("relpath", "size_bytes")
@@ -176,6 +197,35 @@ def classify_line_rows(spark, sf):
     return lines.classify_line_rows(rows).select("relpath", "line_no", "kind")
 
 
+@query
+def classify_blocks(spark, sf):
+    return blocks.classify_blocks(D.page_blocks(spark, sf)).select("relpath", "line_no", "kind")
+
+
+@query
+def block_metrics(spark, sf):
+    return blocks.block_metrics(D.page_blocks(spark, sf))
+
+
+@query
+def read_lines(spark, sf):
+    rows = textlines.read_lines(spark, D.text_folders(spark, sf)).where("relpath <> '_SUCCESS'")
+    return rows.select(_folder().alias("folder"), "line_no", "line")
+
+
+@query
+def read_files(spark, sf):
+    files = read_corpus(spark, D.text_folders(spark, sf)).where("relpath <> '_SUCCESS'")
+    return files.select(_folder().alias("folder"), "size_bytes", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query
+def list_files(spark, sf):
+    found = list_entries(spark, D.text_folders(spark, sf)).where("relpath <> '_SUCCESS'")
+    size = F.when(~F.col("is_dir"), F.col("size_bytes"))
+    return found.select(_folder().alias("folder"), "depth", "is_dir", size.alias("size_bytes"), (F.col("parent") == "").alias("at_top"))
+
+
 @query
 def file_metrics(spark, sf):
     return lines.file_metrics(_union(spark, sf))
@@ -449,6 +499,28 @@ def bundle_written(spark, sf):
     return lines_of.agg(F.count("*").alias("n"))
 
 
+@query
+def json_document(spark, sf):
+    """What stands in the written document: totals, lines of the tree and a record per file."""
+    out = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+    spec = select.Selection(exclude=EXCLUDE)
+    document.write_json_document(
+        document.json_blocks(D.sniff_corpus(spark, sf), spec, BUDGET, SMALL_FILE, root="corpus"), out, part_bytes=1 << 20)
+    lines_of = document.read_json_document(spark, out)
+    file = F.from_json(F.ltrim(F.col("line"), F.lit(",")), DOCUMENT_FILE)
+    kept = [F.col(f"f.{n}").cast("string") for n in ("size_bytes", "line_count", "extension", "skipped", "skip_reason", "truncated")]
+    files = lines_of.where(F.col("section") == document.FILES).select(file.alias("f")).select(
+        F.lit("file").alias("kind"), F.col("f.path").alias("name"),
+        F.concat_ws("|", *kept, F.sha2(F.col("f.content").cast("binary"), 256)).alias("value"))
+    total = F.from_json(F.regexp_extract("line", '^\\{"metadata": (.*),$', 1), DOCUMENT_TOTALS)
+    totals = lines_of.where(F.col("section") == document.HEAD).select(total.alias("t"))
+    totals = totals.select(F.explode(F.array(*[
+        F.struct(F.lit("total").alias("kind"), F.lit(n).alias("name"), F.col(f"t.{n}").cast("string").alias("value")) for n in TOTALS]))).select("col.*")
+    drawn = F.regexp_replace("line", '^"directory_tree": "', "")
+    tree_of = lines_of.where(F.col("section") == document.TREE).select(F.lit("tree").alias("kind"), drawn.alias("name"), F.lit("").alias("value"))
+    return files.union(totals).union(tree_of)
+
+
 # -- streaming ---------------------------------------------------------------
 
 
@@ -474,3 +546,45 @@ def corpus_growth(spark, sf):
 @query
 def corpus_stats_stream(spark, sf):
     return _drained(ST.corpus_stats_stream(_arriving(spark, sf)), "running", ["extension"])
+
+
+def _arrived_in_batches(spark: SparkSession, sf: str) -> str:
+    """The corpus taken in as three batches; the second brings a time far in the future."""
+    folder = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    files = D.corpus(spark, sf).select("doc_id", "relpath", "size_bytes", "mtime", "text")
+    sentinel = spark.sql("SELECT -2L AS doc_id, 'end' AS relpath, 0L AS size_bytes, timestamp_ntz'2099-01-01 00:00:00' AS mtime, '' AS text")
+    for number in range(3):
+        batch = files.where(F.col("doc_id") % 3 == number)
+        (batch.union(sentinel) if number == 1 else batch).drop("doc_id").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(files.drop("doc_id").schema).parquet(f"{folder}/in")
+        late.drain_growth(stream, folder)
+    return folder
+
+
+@query
+def growth_closed(spark, sf):
+    found = late.windows(spark, _arrived_in_batches(spark, sf))
+    return found.select(
+        ST.local(F.col("window_start")).alias("window_start"), ST.local(F.col("window_end")).alias("window_end"),
+        "files", "size_bytes", "tokens", "is_closed")
+
+
+@query
+def growth_late(spark, sf):
+    return late.late_rows(spark, _arrived_in_batches(spark, sf)).drop("batch")
+
+
+@query
+def profile_incremental(spark, sf):
+    """The report of a corpus that arrives whole, is changed in part and loses some files."""
+    folder = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    files = D.corpus(spark, sf)
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit("changed")).otherwise(F.concat("text", F.lit("\n"), "text"))
+    older = files.withColumn("text", text).withColumn("size_bytes", F.octet_length("text").cast("long"))
+    incremental.take_in(older, folder, 0, AS_OF)
+    some = files.where("doc_id % 3 = 0").withColumn("is_gone", F.col("doc_id") % 15 == 0)
+    incremental.take_in(some, folder, 1, AS_OF, F.col("is_gone"))
+    incremental.take_in(files.where("doc_id % 3 > 0 OR doc_id % 30 = 0"), folder, 2, AS_OF)
+    merged = f"{folder}-merged"
+    incremental.compact(spark, folder, merged, 2)
+    return S.profile_report(incremental.condensed(spark, merged))

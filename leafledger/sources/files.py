@@ -7,6 +7,8 @@ shown with escapes, and ``raw`` keeps the bytes so that such files are entered a
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -30,6 +32,9 @@ LISTED = pa.schema(
     ]
 )
 LISTED_COLUMNS = "relpath string, raw binary, is_dir boolean, size_bytes long, mtime long, warning string"
+#: A listing row, or work left to do: a directory, or ``names`` of one that are to be looked at.
+WALKED = LISTED.append(pa.field("todo", pa.bool_())).append(pa.field("names", pa.list_(pa.binary())))
+WALKED_COLUMNS = f"{LISTED_COLUMNS}, todo boolean, names array<binary>"
 LOADED = pa.schema(
     [
         ("relpath", pa.string()), ("size_bytes", pa.int64()), ("mtime", pa.int64()),
@@ -38,6 +43,10 @@ LOADED = pa.schema(
 )
 LOADED_COLUMNS = "relpath string, size_bytes long, mtime long, content binary, warning string"
 LISTING_BATCH = 10_000
+#: Names that a task looks at in the first round; twice as many in each one after.
+FIRST_NAMES = 2000
+#: Names of one directory that a task looks at; more are dealt out in parts of this size.
+PART_NAMES = 5000
 LOADING_BATCH_BYTES = 64 * 1024 * 1024
 
 
@@ -68,25 +77,42 @@ def _shown(raw: bytes) -> str:
     return raw.decode("utf-8", "backslashreplace")
 
 
-def _scan_mounted(root: str, folder: bytes, include_dotfiles: bool) -> Iterator[tuple]:
-    where = os.path.join(os.fsencode(root), folder) if folder else os.fsencode(root)
+def _entry(where: bytes, raw: bytes, item: os.DirEntry | None) -> tuple:
+    """The row of a name, by what its directory told of it or by its path."""
+    is_dir = item.is_dir(follow_symlinks=False) if item else os.path.isdir(where) and not os.path.islink(where)
+    try:
+        facts = item.stat() if item else os.stat(where)
+        return _shown(raw), raw, is_dir, facts.st_size, facts.st_mtime_ns // 1000, None
+    except OSError as error:
+        return _shown(raw), raw, is_dir, None, None, str(error)
+
+
+def _scan_mounted(root: bytes, folder: bytes, names: list[bytes] | None, include_dotfiles: bool) -> Iterator[tuple]:
+    """Rows of a directory, or of some ``names`` in it; a large directory gives work for others.
+
+    Reading names is one pass that cannot be divided; looking at what they name can.
+    """
+    where = os.path.join(root, folder) if folder else root
+
+    def below(name: bytes) -> bytes:
+        return folder + b"/" + name if folder else name
+
+    if names is not None:
+        yield from ((*_entry(os.path.join(where, n), below(n), None), False, None) for n in names)
+        return
     try:
         with os.scandir(where) as found:
-            for item in found:
-                if item.name.startswith(b".") and not include_dotfiles:
-                    continue
-                raw = folder + b"/" + item.name if folder else item.name
-                is_dir = item.is_dir(follow_symlinks=False)
-                try:
-                    facts = item.stat()
-                    yield _shown(raw), raw, is_dir, facts.st_size, facts.st_mtime_ns // 1000, None
-                except OSError as error:
-                    yield _shown(raw), raw, is_dir, None, None, str(error)
+            items = (i for i in found if include_dotfiles or not i.name.startswith(b"."))
+            first = list(itertools.islice(items, PART_NAMES))
+            yield from ((*_entry(i.path, below(i.name), i), False, None) for i in first)
+            while part := [i.name for i in itertools.islice(items, PART_NAMES)]:
+                yield _shown(folder), folder, True, None, None, None, True, part
     except OSError as error:
-        yield _shown(folder), folder, True, None, None, str(error)
+        yield _shown(folder), folder, True, None, None, str(error), False, None
 
 
 def _scan_remote(root: str, folder: bytes, include_dotfiles: bool) -> Iterator[tuple]:
+    """Rows of a directory in a store, whose listings hold sizes and times already."""
     try:
         store, base = pafs.FileSystem.from_uri(root)
         where = f"{base.rstrip('/')}/{folder.decode()}" if folder else base
@@ -95,29 +121,39 @@ def _scan_remote(root: str, folder: bytes, include_dotfiles: bool) -> Iterator[t
                 continue
             path = f"{folder.decode()}/{item.base_name}" if folder else item.base_name
             mtime = None if item.mtime_ns is None else item.mtime_ns // 1000
-            yield path, path.encode(), item.type == pafs.FileType.Directory, item.size, mtime, None
+            yield path, path.encode(), item.type == pafs.FileType.Directory, item.size, mtime, None, False, None
     except OSError as error:
-        yield _shown(folder), folder, True, None, None, str(error)
+        yield _shown(folder), folder, True, None, None, str(error), False, None
 
 
-def _list_one_level(root: str, include_dotfiles: bool):
+def _walk(root: str, include_dotfiles: bool, names: int):
+    """A task's walk: whole subtrees, until it has seen about ``names`` names; the rest is work left."""
     mounted = _local(root)
 
-    def scan(folder: bytes) -> Iterator[tuple]:
+    def scan(folder: bytes, part: list[bytes] | None) -> Iterator[tuple]:
         if mounted is None:
             return _scan_remote(root, folder, include_dotfiles)
-        return _scan_mounted(mounted, folder, include_dotfiles)
+        return _scan_mounted(os.fsencode(mounted), folder, part, include_dotfiles)
 
-    def batches(levels: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(work: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for level in levels:
-            for folder in level.column("raw").to_pylist():
-                for row in scan(folder):
-                    rows.append(row)
-                    if len(rows) == LISTING_BATCH:
-                        yield _batch(rows, LISTED)
-                        rows = []
-        yield _batch(rows, LISTED)
+        seen = 0
+        for given in work:
+            stack = list(zip(given.column("raw").to_pylist(), given.column("names").to_pylist()))
+            while stack:
+                folder, part = stack.pop()
+                if seen >= names:
+                    rows.append((_shown(folder), folder, True, None, None, None, True, part))
+                else:
+                    for row in scan(folder, part):
+                        rows.append(row)
+                        seen += 1
+                        if row[2] and row[5] is None and not row[6]:
+                            stack.append((row[1], None))
+                        if len(rows) >= LISTING_BATCH:
+                            yield _batch(rows, WALKED)
+                            rows = []
+        yield _batch(rows, WALKED)
 
     return batches
 
@@ -130,31 +166,35 @@ def _is_directory(root: str) -> bool:
     return store.get_file_info(base).type == pafs.FileType.Directory
 
 
+def _rounds(spark: SparkSession, root: str, include_dotfiles: bool) -> list[DataFrame]:
+    """Rounds of a walk, each a checkpointed table of entries and of work left for the next.
+
+    Every task walks subtrees of its own, so that a round is no level of the tree; tasks see
+    twice as many names in each round, and the number of rounds grows with the logarithm of
+    the names per task.  Work left is dealt out evenly.
+    """
+    work = spark.createDataFrame([(b"", None)], "raw binary, names array<binary>")
+    rounds: list[DataFrame] = []
+    while not rounds or not work.isEmpty():
+        names = FIRST_NAMES << min(len(rounds), 20)
+        dealt = work.repartition(max(1, spark.sparkContext.defaultParallelism))
+        rounds.append(dealt.mapInArrow(_walk(root, include_dotfiles, names), WALKED_COLUMNS).checkpoint())
+        work = rounds[-1].where("todo").select("raw", "names")
+    return rounds
+
+
 def list_entries(spark: SparkSession, root: str, include_dotfiles: bool = False) -> DataFrame:
     """Every file and directory below ``root``, empty and hidden ones too.
 
-    One round per directory level: the executors list the level's directories,
-    and the result is checkpointed so that a round never lists earlier levels
-    again and survives lost executors.  A directory that cannot be listed yields a
+    The executors walk the tree in a few rounds of checkpointed work, see ``_rounds``, so that
+    lost executors repeat one round at most.  A directory that cannot be listed yields a
     ``warning`` and no children; a missing root is an error.  ``raw`` has a name's bytes.
     """
     if not _is_directory(root):
         raise NotADirectoryError(f"{root} is not a directory")
     shared_dir(spark)
-    level = spark.createDataFrame([("", b"")], "relpath string, raw binary")
-    found: DataFrame | None = None
-    while True:
-        spread = max(1, spark.sparkContext.defaultParallelism)
-        listed = (
-            level.repartition(spread, "relpath")
-            .mapInArrow(_list_one_level(root, include_dotfiles), LISTED_COLUMNS)
-            .withColumn("mtime", F.timestamp_micros("mtime"))
-            .checkpoint()
-        )
-        found = listed if found is None else found.unionByName(listed)
-        level = listed.where("is_dir and warning is null").select("relpath", "raw")
-        if level.isEmpty():
-            break
+    found = functools.reduce(DataFrame.unionByName, _rounds(spark, root, include_dotfiles)).where("NOT todo")
+    found = found.withColumn("mtime", F.timestamp_micros("mtime"))
     # A directory that failed is listed by its parent as well; the row with the
     # warning replaces that one.
     merged = found.groupBy("relpath", "raw").agg(

@@ -6,9 +6,14 @@ and a text can be profiled like a directory of files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafledger.operators.blocks import line_blocks
+from leafledger.session import shared_dir
+
 CORPUS = """
     doc_id,
     source || '/' || lang || '/' || (CASE WHEN doc_id % 41 = 0 THEN '.' ELSE '' END)
@@ -82,6 +87,20 @@ RULE_LINES = """
       ELSE '' END AS line
 """
 
+SCOPED_RULE_LINES = """
+    CASE d.doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN d.source || '/' ELSE d.source || '/' || d.lang || '/' END
+      || '.gitignore' AS relpath,
+    CAST(d.doc_id AS INT) AS line_no,
+    CASE d.doc_id % 7
+      WHEN 0 THEN 'doc_' || CAST(d.doc_id AS STRING) || '.*'
+      WHEN 1 THEN '*c_' || CAST(d.doc_id % 100 AS STRING) || '*'
+      WHEN 2 THEN '!*_' || CAST(d.doc_id % 50 AS STRING) || '?.*'
+      WHEN 3 THEN d.lang || '/doc_' || CAST(d.doc_id % 300 AS STRING) || '*'
+      WHEN 4 THEN '!doc_' || CAST(d.doc_id DIV 3 AS STRING) || '*'
+      WHEN 5 THEN d.lang || '/'
+      ELSE '!' || d.lang END AS line
+"""
+
 SNIFFED = """
     relpath, size_bytes,
     CASE doc_id % 7
@@ -103,6 +122,15 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scoped_rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ignore files at the root, in sources and in their languages."""
+    return spark.sql(
+        f"SELECT {SCOPED_RULE_LINES} FROM {{docs}} d JOIN {{labels}} l ON d.doc_id = l.doc_id",
+        docs=table(spark, sf_dir, "documents"),
+        labels=table(spark, sf_dir, "labels"),
+    )
+
+
 def sniff_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with control characters, NULs and empty files in places."""
     return spark.sql(f"SELECT {SNIFFED} FROM {{files}}", files=corpus(spark, sf_dir))
@@ -137,3 +165,22 @@ def with_empty_directories(entries: DataFrame) -> DataFrame:
         "depth + 1 AS depth", "true AS is_dir",
     )
     return entries.unionByName(made)
+
+
+def page_blocks(spark: SparkSession, sf_dir: str, lines_per_block: int = 16) -> DataFrame:
+    """All pages as three files, each page many blocks of lines: comments cross blocks."""
+    cut = line_blocks(page_corpus(spark, sf_dir).select(F.col("page_id").cast("string").alias("relpath"), "text"), lines_per_block)
+    page = F.col("relpath").cast("long")
+    return cut.select(
+        F.concat(F.lit("site-"), (page % 3).cast("string"), F.lit(".html")).alias("relpath"),
+        (page * (1 << 24) + F.col("block_no")).alias("block_no"), "text",
+    )
+
+
+def text_folders(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` written as text files, one per source and thousand ids, below a new shared folder."""
+    root = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    folder = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", folder.alias("folder"))
+    rows.repartition("folder").sortWithinPartitions("folder", "doc_id").select("text", "folder").write.partitionBy("folder").text(root)
+    return root

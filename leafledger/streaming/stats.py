@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,38 +39,53 @@ def corpus_stats_stream(files: DataFrame) -> DataFrame:
     )
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def is_local(files: DataFrame) -> bool:
+    return isinstance(files.schema["mtime"].dataType, T.TimestampNTZType)
+
+
+def timed(files: DataFrame) -> DataFrame:
+    """Files with their measures and ``at``, the instant of ``mtime``.
+
+    Watermarks need instants; a time without zone is read as UTC, whatever the session's zone.
+    """
+    since = F.timestamp_diff("MICROSECOND", _epoch(), F.col("mtime"))
+    return _measured(files).withColumn("at", F.timestamp_micros(since) if is_local(files) else F.col("mtime"))
+
+
+def local(instant: Column) -> Column:
+    """The time without zone that ``timed`` read as this instant."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
+
+
+def growth_sums(grouped: GroupedData) -> DataFrame:
+    return grouped.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size_bytes").alias("size_bytes"),
+        F.sum("tokens").alias("tokens"),
+    )
+
+
 def corpus_growth(files: DataFrame, window: str = "1 day", delay: str | None = "1 day") -> DataFrame:
     """Files, bytes and tokens per tumbling window of ``mtime``.
 
     In ``append`` mode a window is written once the watermark has passed its
-    end; files that arrive for a written window are dropped.  Without ``delay`` no window is
-    ever closed: ``update`` and ``complete`` mode then give every window and count every file.
+    end; files that arrive for a written window are dropped (``streaming.late`` keeps them).
+    Without ``delay`` no window is ever closed: ``update`` and ``complete`` mode then give every
+    window and count every file.
     """
     require(files, "relpath", "size_bytes", "mtime")
-    is_local = isinstance(files.schema["mtime"].dataType, T.TimestampNTZType)
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    # Watermarks need instants; a time without zone is read as UTC and given
-    # back as it was, whatever the session's zone.
-    since = F.timestamp_diff("MICROSECOND", epoch, F.col("mtime"))
-    instant = F.timestamp_micros(since) if is_local else F.col("mtime")
-    restored = (
-        (lambda c: F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch)) if is_local else (lambda c: c)
-    )
-    timed = _measured(files).withColumn("at", instant)
+    restored = local if is_local(files) else (lambda c: c)
+    rows = timed(files)
     if delay is not None:
-        timed = timed.withWatermark("at", delay)
-    return (
-        timed.groupBy(F.window("at", window).alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.sum("size_bytes").alias("size_bytes"),
-            F.sum("tokens").alias("tokens"),
-        )
-        .select(
-            restored(F.col("w.start")).alias("window_start"),
-            restored(F.col("w.end")).alias("window_end"),
-            "files", "size_bytes", "tokens",
-        )
+        rows = rows.withWatermark("at", delay)
+    return growth_sums(rows.groupBy(F.window("at", window).alias("w"))).select(
+        restored(F.col("w.start")).alias("window_start"),
+        restored(F.col("w.end")).alias("window_end"),
+        "files", "size_bytes", "tokens",
     )
 
 

@@ -98,7 +98,7 @@ def test_rules_with_one_stem_do_not_multiply_with_paths(spark):
     rules = spark.range(10_000).selectExpr("id AS rule_no", "'*tes' || id || '_*' AS pattern", "false AS is_negation", "false AS is_dir_only")
     paths = spark.range(200).selectExpr("'a/tes' || id || '_x' AS relpath", "false AS __is_dir")
     stored = ignore._stored(rules)
-    met = ignore._anchors(paths, stored).join(stored, ["kind", "anchor"])
+    met = ignore._anchors(paths, stored).join(ignore._by_rarest_gram(stored), ["kind", "anchor"])
     assert met.count() <= 3 * 200
     assert ignore.ignored_paths(paths, rules).count() == 200
 
@@ -132,3 +132,66 @@ def test_regex_column(spark):
     rules = spark.createDataFrame([(1, "*.log", False, False), (2, "[bad", False, False)], RULE)
     regexes = {r.pattern: r.regex for r in ignore.with_regex(rules).collect()}
     assert regexes == {"*.log": globs.suffix_match("*.log"), "[bad": None}
+
+
+SCOPED_RULE = "scope string, line_no int, pattern string, is_negation boolean, is_dir_only boolean"
+
+
+def scoped_brute(path, is_dir, rules):
+    """The deepest scope with a rule that matches what follows it, and there the last line."""
+    held = [r for r in rules if not r[0] or path.startswith(r[0] + "/")]
+    for scope, _, pattern, negation, only_dir in sorted(held, key=lambda r: (r[0].count("/") + bool(r[0]), r[1]), reverse=True):
+        seen = path[len(scope) + 1:] if scope else path
+        if brute(seen, True, [(0, pattern, False, False)]) and (negation or is_dir or not only_dir):
+            return not negation
+    return False
+
+
+def test_scoped_rules_against_brute_force(spark):
+    rng = random.Random(8)
+    part = ["a", "ab", "b.c", "*", "a*", "*c", "*b*", "[ab]", "x", "b?c", "*xbx*", "?bxc*", "*long-name*"]
+    names = ["a", "ab", "b.c", "x", "abc", "bxc", "xbxc", "a-long-name-1", "a\x01", "a!b"]
+    for _ in range(2):
+        items = {"/".join(rng.choices(names, k=rng.randrange(1, 6))): rng.random() < 0.5 for _ in range(250)}
+        scopes = rng.sample([p for p in items if "/" in p or rng.random() < 0.5], 25) + ["", "a", "a/a", "a\x01"]
+        rules = [
+            (rng.choice(scopes), n, "/".join(rng.choices(part, k=rng.choice([1, 1, 2]))), rng.random() < 0.4, rng.random() < 0.2)
+            for n in range(120)
+        ]
+        got = ignore.apply_ignore_rules(entries(spark, list(items.items())), spark.createDataFrame(rules, SCOPED_RULE))
+        want = sorted(p for p, d in items.items() if scoped_brute(p, d, rules))
+        assert ignored(got) == want and want
+
+
+def test_a_scope_holds_below_its_directory_only(spark):
+    lines = spark.createDataFrame(
+        [("a/.gitignore", 1, "*.log"), ("a/b/.gitignore", 1, "!keep.log"), ("a/b/.gitignore", 2, "c/d"), ("z/.gitignore", 1, "a")],
+        "relpath string, line_no int, line string")
+    items = [(p, False) for p in ("x.log", "a/x.log", "a/b/x.log", "a/b/keep.log", "a/keep.log", "a-b/x.log", "ab/x.log", "a/b/c/d", "a/c/d", "a", "z/a")]
+    got = ignore.apply_ignore_rules(entries(spark, items), ignore.rules_of_lines(lines, scoped=True))
+    assert ignored(got) == ["a/b/c/d", "a/b/x.log", "a/keep.log", "a/x.log", "z/a"]
+
+
+def test_scopes_are_found_without_exploding_ancestors(spark):
+    """Paths in no scope meet no rule and offer nothing."""
+    rules = spark.createDataFrame([("p/q", 1, "*.x", False, False)], SCOPED_RULE)
+    paths = spark.range(500).selectExpr("'p/' || IF(id % 50 = 0, 'q', 'r') || '/f' || id || '.x' AS relpath", "false AS __is_dir")
+    assert ignore._anchors(paths, ignore._stored(rules)).count() == 10
+    assert ignore.ignored_paths(paths, rules).count() == 10
+
+
+def test_a_path_offers_its_grams_whatever_the_number_of_literals(spark):
+    rules = spark.range(300).selectExpr(
+        "id AS rule_no", "'*' || repeat('k', CAST(id % 90 AS INT)) || 'mn' || id || '*' AS pattern", "false AS is_negation", "false AS is_dir_only")
+    path = "abcdefghij" * 17
+    paths = spark.createDataFrame([(path, False), ("q/kkmn2", False), ("q/kmn1x", False)], "relpath string, __is_dir boolean")
+    offered = ignore._anchors(paths, ignore._stored(rules)).groupBy("relpath").count().collect()
+    assert {r.relpath: r["count"] for r in offered}[path] <= sum(len(path) - size + 1 for size in ignore.GRAMS)
+    assert sorted(r.relpath for r in ignore.ignored_paths(paths, rules).collect()) == ["q/kkmn2", "q/kmn1x"]
+
+
+def test_the_rarest_gram_is_the_anchor(spark):
+    rules = spark.createDataFrame([(i, f"*commonly{i}*", False, False) for i in range(10, 40)], RULE)
+    stored = ignore._by_rarest_gram(ignore._stored(rules)).collect()
+    assert all(r.literal == f"commonly{i}" for i, r in enumerate(sorted(stored, key=lambda r: r.literal), 10))
+    assert max(sum(o.anchor == r.anchor for o in stored) for r in stored) <= 3

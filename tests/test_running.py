@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafledger.operators.running import running_total
+from leafledger.operators.running import carried, running_total
 from leafledger.operators.spread import spread_join
 
 
@@ -51,3 +51,33 @@ def test_spread_join(spark):
     small = spark.createDataFrame([("k", 1), ("z", 2)], "k string, v int")
     assert spread_join(big, small, ["k"], F.col("id")).where("v = 1").count() == 1000
     assert "__salt" not in spread_join(big, small, ["k"], F.col("id")).columns
+
+
+def test_values_are_carried_over_ranges_and_groups(spark):
+    rng = random.Random(2)
+    rows = [("hot", i, rng.choice((None,) * 30 + ("x", "y", "z"))) for i in range(1500)]
+    rows += [(f"g{i % 200}", i, rng.choice((None, None, "u", "v"))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, at int, v string").repartition(5)
+    want, last = {}, {}
+    for group, at, value in sorted(rows):
+        want[group, at] = last.get(group)
+        last[group] = value or last.get(group)
+    for buckets in (1, 2, 7, 64):
+        got = carried(df, F.col("v"), ["at"], within=["g"], buckets=buckets)
+        assert {(r.g, r.at): r.carried for r in got.collect()} == want
+    flat, last = {}, None
+    for at, value in sorted((r[1], r[2]) for r in rows[:1500]):
+        flat[at], last = last, value or last
+    for buckets in (1, 3, 40):
+        got = carried(df.where("g = 'hot'"), F.col("v"), ["at"], buckets=buckets)
+        assert {r.at: r.carried for r in got.collect()} == flat
+
+
+def test_nothing_runs_while_a_total_is_planned(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    spark.sparkContext.setJobGroup("planning", "planning")
+    running_total(df, F.col("v"), ["id"])
+    carried(df, F.col("v"), ["id"])
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(started) == 0

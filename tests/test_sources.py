@@ -78,8 +78,8 @@ def test_unreadable_and_missing(spark, tree):
         A.list_entries(spark, f"{tree}/nowhere")
     with pytest.raises(NotADirectoryError):
         A.list_entries(spark, f"{tree}/notes.txt")
-    broken = A._list_one_level(tree, False)
-    listed = [row for batch in broken(iter([pa.RecordBatch.from_pydict({"relpath": ["gone"], "raw": [b"gone"]})])) for row in batch.to_pylist()]
+    work = pa.RecordBatch.from_arrays([pa.array([b"gone"]), pa.array([None], pa.list_(pa.binary()))], ["raw", "names"])
+    listed = [row for batch in A._walk(tree, False, 100)(iter([work])) for row in batch.to_pylist()]
     assert [row["relpath"] for row in listed] == ["gone"] and listed[0]["warning"]
 
 
@@ -91,7 +91,7 @@ def test_a_directory_with_a_warning_is_not_empty(spark):
 
 def test_an_address_is_listed_like_a_path(spark, tree, paths_of, monkeypatch):
     found = list(A._scan_remote(f"file://{tree}", b"", False))
-    assert sorted(r[0] for r in found) == sorted(r[0] for r in A._scan_mounted(tree, b"", False))
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in A._scan_mounted(os.fsencode(tree), b"", None, False))
 
 
 def test_deep_listing_is_complete(spark, tmp_path, paths_of):
@@ -104,3 +104,30 @@ def test_deep_listing_is_complete(spark, tmp_path, paths_of):
     assert listed.count() == 7
     assert listed.agg(F.max("depth")).first()[0] == 7
     assert os.path.basename(listed.orderBy(F.desc("depth")).first().relpath) == "leaf"
+
+
+def test_a_walk_needs_rounds_by_work_and_not_by_level(spark, tmp_path, monkeypatch):
+    deep = tmp_path
+    for i in range(60):
+        deep = deep / f"d{i}"
+    deep.mkdir(parents=True)
+    (deep / "end").write_text("x")
+    assert len(A._rounds(spark, str(tmp_path), False)) == 1
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    for i in range(700):
+        (wide / f"n{i}").write_text("y" * (i % 5))
+    monkeypatch.setattr(A, "FIRST_NAMES", 20)
+    monkeypatch.setattr(A, "PART_NAMES", 50)
+    rounds = A._rounds(spark, str(tmp_path), False)
+    assert len(rounds) <= 4
+    # names of the wide directory are looked at by many tasks
+    parts = rounds[0].where("todo AND names IS NOT NULL").collect()
+    assert sum(len(r.names) for r in parts) == 650 and len(parts) == 13
+    got = {(r.relpath, r.is_dir, None if r.is_dir else r.size_bytes) for r in A.list_entries(spark, str(tmp_path)).collect()}
+    want = set()
+    for where, folders, names in os.walk(tmp_path):
+        at = os.path.relpath(where, tmp_path)
+        want |= {(os.path.normpath(os.path.join(at, f)), True, None) for f in folders}
+        want |= {(os.path.normpath(os.path.join(at, n)), False, os.path.getsize(os.path.join(where, n))) for n in names}
+    assert got == want

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafledger.operators import profile as S
 from leafledger.sources import tables
+from leafledger.streaming import late
 from leafledger.streaming import stats as ST
 
 
@@ -87,3 +88,25 @@ def test_windows_do_not_depend_on_the_drivers_zone(spark, zone, monkeypatch):
         monkeypatch.undo()
         time.tzset()
     assert start == "2024-01-02 00:00:00"
+
+
+def test_late_rows_have_their_own_table(spark, tmp_path):
+    schema = "relpath string, size_bytes long, mtime timestamp_ntz, text string"
+    day = lambda n, hour=0: dt.datetime(2024, 1, n, hour)
+    batches = [
+        [("a", 1, day(1), "x"), ("b", 2, day(3), "x"), ("c", 3, day(5), "x")],
+        [("late", 4, day(2, 23), "x"), ("in-time", 5, day(4, 5), "x"), ("d", 6, day(20), "x")],
+        [("later", 7, day(5), "x"), ("again", 8, day(3), "x"), ("e", 9, day(19), "x")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        late.drain_growth(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out")
+    late.drain_growth(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out")
+    rows = late.late_rows(spark, f"{tmp_path}/out").collect()
+    assert {r.relpath: r.batch for r in rows} == {"late": 1, "later": 2, "again": 2}
+    got = {r.window_start.day: (r.files, r.size_bytes, r.is_closed) for r in late.windows(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: (1, 1, True), 3: (1, 2, True), 5: (1, 3, True), 4: (1, 5, True), 20: (1, 6, False), 19: (1, 9, False)}
+
+
+def test_no_batch_yet(spark, tmp_path):
+    assert late.windows(spark, f"{tmp_path}/none").collect() == [] and late.late_rows(spark, f"{tmp_path}/none").collect() == []
