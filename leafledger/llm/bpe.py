@@ -46,8 +46,8 @@ def encode_text(text: str, path: str, pattern: str) -> list[int]:
     return ids
 
 
-def _encode(path: str, pattern: str, at: int, name: str):
-    """Adds ids to rows; the text column is replaced by them."""
+def _encode(path: str, pattern: str, at: int, name: str, decoded: str | None):
+    """Adds ids to rows, and the bytes that these stand for; the text column is replaced by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,6 +59,9 @@ def _encode(path: str, pattern: str, at: int, name: str):
                     rows = batch.slice(start, len(ids))
                     columns = [*rows.columns, pa.array(ids, pa.list_(pa.int32()))]
                     names = [*rows.schema.names, name]
+                    if decoded:
+                        whole = _encoding(path, pattern).decode_bytes
+                        columns.append(pa.array([whole(x) for x in ids], pa.binary())), names.append(decoded)
                     del columns[at], names[at]
                     yield pa.RecordBatch.from_arrays(columns, names)
                     start, held, ids = i + 1, 0, []
@@ -66,11 +69,13 @@ def _encode(path: str, pattern: str, at: int, name: str):
     return run
 
 
-def _with_ids(df: DataFrame, text_column: str, name: str, path: str, pattern: str) -> DataFrame:
+def _with_ids(df: DataFrame, text_column: str, name: str, path: str, pattern: str, decoded: str | None = None) -> DataFrame:
     at = df.columns.index(text_column)
     fields = [f for f in df.schema.fields if f.name != text_column]
-    schema = T.StructType([*fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(_encode(path, pattern, at, name), schema)
+    fields.append(T.StructField(name, T.ArrayType(T.IntegerType())))
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
+    return df.mapInArrow(_encode(path, pattern, at, name, decoded), T.StructType(fields))
 
 
 def _chunks(chunk: int, overlap: int):
@@ -182,9 +187,13 @@ def encode(
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
     name: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """``docs`` with the text replaced by its token ids, in no order; null texts have none.
 
+    With ``decoded`` a column of that name has the bytes that the ids stand for, as ``decode``
+    gives them; short texts are then encoded and decoded in one pass.
+
     Texts up to a chunk are encoded where they are read. Of longer ones each distinct text is
     cut into pieces that all tasks share, and its rows get the ids by the text's digest;
     repeated rows and null ids thus keep a row each. Only an unbroken run of one kind of
@@ -195,13 +204,15 @@ def encode(
     base = docs.withColumn(text_column, F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     short = base.where(F.length(text_column) <= chunk)
     long = base.where(F.length(text_column) > chunk).withColumn(digest, F.sha2(F.col(text_column).cast("binary"), 256))
-    done = _with_ids(short, text_column, name, path, pattern)
+    if decoded:
+        decoded = free_name([*(c for c in docs.columns if c != text_column), name], decoded)
+    done = _with_ids(short, text_column, name, path, pattern, decoded)
     distinct = long.select(F.col(digest).alias("digest"), F.col(text_column).alias("text")).dropDuplicates(["digest"])
     pieces = _with_ids(pieces_of(distinct, pattern, chunk, overlap), "text", "ids", path, pattern)
     joined = pieces.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("all"))
     joined = joined.select(F.col("digest").alias(digest), F.flatten("all.ids").alias(name))
     rest = long.drop(text_column).join(joined, digest).drop(digest)
-    return done.unionByName(rest)
+    return done.unionByName(decode(rest, path, pattern, name, decoded) if decoded else rest)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids", name: str = "bytes") -> DataFrame:
@@ -227,7 +238,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids",
 def digests(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", **options) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` per row of ``docs``."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    decoded = decode(encode(narrow, path, pattern, **options), path, pattern)
+    decoded = encode(narrow, path, pattern, decoded="bytes", **options)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         "doc_id",

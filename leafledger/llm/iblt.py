@@ -1,7 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Paragraphs are lines, cut further at places that their content defines. Only SQL functions work on documents. Sketches of two versions subtract cell by cell; peeling
-the difference gives the digests of the paragraphs in which they differ.
+Paragraphs are lines, cut further at places that their content defines. Only SQL functions work on
+documents. Sketches of two versions subtract cell by cell; peeling the difference gives the digests
+of the paragraphs in which they differ. Where peeling stops early, larger sketches are made, until it
+does not.
+
+A sketch is the list of its cells that are not empty, by place. It is made by sorting
+(place, digest) entries and adding up those of one place; subtracting and peeling add entries in
+the same way, so that all steps grow in proportion to the digests and not to the cells.
 """
 
 from __future__ import annotations
@@ -11,17 +17,16 @@ from pyspark.sql import functions as F
 
 from leafledger.llm.shared import col
 
-#: Cells of a sketch; a third of them for each of the three places of a digest.
+#: Cells of a fingerprint; a third of them for each of the three places of a digest.
 CELLS = 36
-#: Differing digests that a sketch of this size can be expected to give back.
-CAPACITY = 18
-#: Peeling rounds; a sketch within its capacity needs far fewer.
-ROUNDS = 16
-#: Tries with more sketches and other hashes, before digests are compared one by one.
-RETRIES = 2
-#: Digests of two texts beyond which more sketches, whose cost grows with the square, are not
-#: tried: comparing the digests gives the same number.
-RETRY_KEYS = 16 * CAPACITY
+#: Peeling rounds; each takes out at least one digest, and a sketch with room enough needs about six.
+ROUNDS = 24
+#: A larger sketch has so many cells for each digest that is thought to differ, and a failed one is
+#: followed by one of four times the size.
+ROOM = 2
+GROWTH = 4
+#: Sizes grow beyond any array before these end; then two digests have equal hashes, an error.
+TRIES = 14
 #: Units that a rolling hash covers, and one of how many hashes ends a piece of a line; lines of
 #: at most ``WINDOW`` units stay whole.
 WINDOW = 4
@@ -56,95 +61,98 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lines, _pieces)))
 
 
-def _keyed(key: Column, salt: int) -> Column:
-    """A digest with its check sum and its cell in each third."""
-    third = CELLS // 3
-    places = [(F.pmod(F.xxhash64(key, F.lit(salt + j)), F.lit(third)) + j * third).cast("int") for j in range(3)]
-    return F.struct(key.alias("k"), F.xxhash64(key, F.lit(salt + 99)).alias("h"), *[p.alias(f"p{j}") for j, p in enumerate(places)])
+def _bound(value: Column, used) -> Column:
+    """``used`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), used)[0]
 
 
-def _at(x: Column, i: Column) -> Column:
-    return (x["p0"] == i) | (x["p1"] == i) | (x["p2"] == i)
+def _entry(place: Column, n: Column, key: Column, check: Column) -> Column:
+    return F.struct(place.cast("long").alias("p"), n.cast("int").alias("n"), key.alias("k"), check.alias("h"))
 
 
-def _cell(n: Column, k: Column, h: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"), h.alias("h"))
+def _check(key: Column, salt: Column) -> Column:
+    return F.xxhash64(key, salt + 99)
 
 
-def sketch(keys: Column, salt: int = 0) -> Column:
-    """Cells (count, xor of digests, xor of check sums) of an array of distinct digests."""
-    def build(keyed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(
-            F.filter(keyed, lambda x: _at(x, i)),
-            _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")),
-            lambda c, x: _cell(c["n"] + 1, c["k"].bitwiseXOR(x["k"]), c["h"].bitwiseXOR(x["h"])),
-        ))
+def _entries(key: Column, n: Column, size: Column, salt: Column) -> Column:
+    """What a digest puts into a sketch: itself and a check sum, in one cell of each third."""
+    third = F.floor(size / 3)
+    places = [F.pmod(F.xxhash64(key, salt + j), third) + j * third for j in range(3)]
+    return _bound(_check(key, salt), lambda h: F.array(*[_entry(p, n, key, h) for p in places]))
 
-    return F.transform(F.array(F.transform(keys, lambda k: _keyed(k, salt))), build)[0]
+
+def _summed(entries: Column) -> Column:
+    """Cells of entries: counts added, digests and check sums combined by xor; empty cells left out."""
+
+    def runs(e: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (e[i]["p"] != e[i - 1]["p"]))
+        return _bound(starts, lambda at: F.transform(at, lambda s, j: F.slice(e, s + 1, F.coalesce(F.get(at, j + 1), F.size(e)) - s)))
+
+    def cell(run: Column) -> Column:
+        return F.aggregate(
+            F.slice(run, F.lit(2), F.size(run)), run[0],
+            lambda c, x: _entry(c["p"], c["n"] + x["n"], c["k"].bitwiseXOR(x["k"]), c["h"].bitwiseXOR(x["h"])),
+        )
+
+    cells = _bound(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, e).otherwise(F.transform(runs(e), cell)))
+    return F.filter(cells, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
+
+
+def sketch(keys: Column, size: Column | int = CELLS, salt: Column | int = 0) -> Column:
+    """Cells (place, count, xor of digests, xor of check sums) of an array of distinct digests."""
+    size, salt = (x if isinstance(x, Column) else F.lit(x) for x in (size, salt))
+    return _summed(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1), size, salt))))
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
+    return _summed(F.concat(a, F.transform(b, lambda c: _entry(c["p"], -c["n"], c["k"], c["h"]))))
 
 
-def peeled(cells: Column, salt: int = 0) -> Column:
+def peeled(cells: Column, size: Column | int = CELLS, salt: Column | int = 0) -> Column:
     """Array of (digest, side) that a difference of sketches holds, side 1 for the first and -1
     for the second version; null if peeling stops before all cells are empty."""
+    size, salt = (x if isinstance(x, Column) else F.lit(x) for x in (size, salt))
     found_type = "array<struct<k:bigint,n:int>>"
 
-    def pure(cs: Column) -> Column:
-        ones = F.filter(cs, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(salt + 99)) == c["h"]))
-        return F.array_distinct(F.transform(ones, lambda c: F.struct(c["n"].alias("n"), _keyed(c["k"], salt).alias("x"))))
-
-    def removed(cs: Column, ones: Column) -> Column:
-        return F.transform(cs, lambda c, i: F.aggregate(
-            F.filter(ones, lambda o: _at(o["x"], i)),
-            c,
-            lambda acc, o: _cell(acc["n"] - o["n"], acc["k"].bitwiseXOR(o["x"]["k"]), acc["h"].bitwiseXOR(o["x"]["h"])),
-        ))
-
     def step(state: Column, _: Column) -> Column:
-        return F.when(state["done"], state).otherwise(F.transform(F.array(pure(state["cells"])), lambda ones: F.when(
-            F.size(ones) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done")),
+        ones = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"], salt) == c["h"]))
+        alone = F.array_distinct(F.transform(ones, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
+        taken = lambda some: F.flatten(F.transform(some, lambda o: _entries(o["k"], -o["n"], size, salt)))
+        return F.when(state["done"], state).otherwise(_bound(alone, lambda some: F.when(
+            F.size(some) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done")),
         ).otherwise(F.struct(
-            removed(state["cells"], ones).alias("cells"),
-            F.concat(state["found"], F.transform(ones, lambda o: F.struct(o["x"]["k"].alias("k"), o["n"].alias("n")))).alias("found"),
-            F.lit(False).alias("done"),
-        )))[0])
+            _summed(F.concat(state["cells"], taken(some))).alias("cells"),
+            F.concat(state["found"], some).alias("found"), F.lit(False).alias("done"),
+        ))))
 
     start = F.struct(cells.alias("cells"), F.array().cast(found_type).alias("found"), F.lit(False).alias("done"))
-    empty = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s), s["found"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
-def _group(k: Column, groups: Column, salt: int) -> Column:
-    return F.pmod(F.xxhash64(k, F.lit(salt + 7)), groups)
+def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """How many digests only one of two arrays has, as peeled from their sketches.
 
+    Where the fingerprints are too small, the squared counts of their difference tell about how many
+    digests differ (each adds one to three cells), hence how large the next sketches are to be.
+    """
 
-def _in_groups(a: Column, b: Column, attempt: int) -> Column:
-    """Size of the difference from several sketches, as many as the digests need; null on failure."""
-    salt = 1000 * attempt
-    groups = (F.floor((F.size(a) + F.size(b)) * attempt / F.lit(CAPACITY)) + 1).cast("int")
+    def larger(first: Column) -> Column:
+        about = F.aggregate(first, F.lit(0).cast("long"), lambda t, c: t + c["n"].cast("long") * c["n"])
+        start = F.struct((about * ROOM + 4 * CELLS).alias("size"), F.lit(-1).alias("d"))
 
-    def of_group(g: Column, n: Column) -> Column:
-        own = lambda keys: sketch(F.filter(keys, lambda k: _group(k, n, salt) == g), salt)
-        return F.size(peeled(subtracted(own(a), own(b)), salt))
+        def attempt(state: Column, i: Column) -> Column:
+            size, salt = state["size"], i * 1000
+            peel = F.size(peeled(subtracted(sketch(a, size, salt), sketch(b, size, salt)), size, salt))
+            tried = F.struct((size * GROWTH).alias("size"), F.coalesce(peel, F.lit(-1)).alias("d"))
+            return F.when(state["d"] >= 0, state).otherwise(tried)
 
-    return F.transform(F.array(groups), lambda n: F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.lit(0),
-        lambda total, g: F.transform(F.array(of_group(g, n)), lambda d: F.when(d >= 0, total + d))[0],
-    ))[0]
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), start, attempt, lambda s: s["d"])
 
+    def whole(first: Column) -> Column:
+        return _bound(peeled(first), lambda p: F.when(p.isNotNull(), F.size(p)).otherwise(larger(first)))
 
-def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """How many digests only one of two arrays has: peeled from their sketches, on failure from
-    more sketches with other hashes, and where these fail too or are too many by comparison."""
-    apart = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    tries = [F.when(F.abs(F.size(a) - F.size(b)) <= CAPACITY, F.transform(F.array(peeled(subtracted(cells_a, cells_b))), lambda p: F.when(p.isNotNull(), F.size(p)))[0])]
-    few = F.size(a) + F.size(b) <= RETRY_KEYS
-    tries += [F.when(few, _in_groups(a, b, attempt)) for attempt in range(1, RETRIES + 1)]
-    return F.coalesce(*tries, apart)
+    failed = F.raise_error(F.lit("two paragraph digests have equal hashes")).cast("int")
+    return _bound(_bound(subtracted(cells_a, cells_b), whole), lambda d: F.when(d >= 0, d).otherwise(failed))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -155,9 +163,10 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
 
 def printed(cells: Column) -> Column:
-    """The sketch as text: count, digests and check sums of each cell in hexadecimal."""
+    """The sketch as text: place, count, digests and check sums of each cell in hexadecimal."""
     hex_ = lambda c, width: F.lpad(F.hex(c), width, "0")
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(hex_(c["n"], 6), hex_(c["k"], 16), hex_(c["h"], 16))), ""))
+    cell = lambda c: F.concat(hex_(c["p"], 2), hex_(c["n"], 6), hex_(c["k"], 16), hex_(c["h"], 16))
+    return F.lower(F.array_join(F.transform(cells, cell), ""))
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -215,7 +224,7 @@ def compare_versions(docs: DataFrame, id_column: str = "doc_id", text_column: st
     the next document by descending id. A fingerprint is the sketch of the text's distinct
     pieces (non-blank lines, cut where their content says), so equal texts have equal ones;
     likeness is the shared share of these pieces. Null texts are empty; two texts without a
-    piece are alike (1). Repeated rows and ids
+    piece are alike (1). Every likeness is that of a peeled difference. Repeated rows and ids
     keep a row each; other columns are not looked at. An empty table gives an empty result.
     """
     text = F.coalesce(col(text_column).cast("string"), F.lit(""))
@@ -224,6 +233,8 @@ def compare_versions(docs: DataFrame, id_column: str = "doc_id", text_column: st
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("third"))
     rows = rows.withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), F.col("third"))))
     names = {"own": "text", "new": "edited", "next": "next_text"}
+    # what follows costs time and not bytes, by which adaptive execution would merge its tasks
+    rows = rows.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism))
     rows = rows.select("doc_id", "n_chars", "edited", *[paragraphs(F.col(c)).alias(f"{n}_keys") for n, c in names.items()])
     rows = rows.select("*", *[sketch(F.col(f"{n}_keys")).alias(f"{n}_cells") for n in names])
     like = lambda a, b: likeness(*[F.col(f"{x}_{what}") for what in ("keys", "cells") for x in (a, b)])

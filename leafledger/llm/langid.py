@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafledger.llm.shared import free_name
+from leafledger.llm.shared import col, free_name
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-#: Bytes of text whose n-grams are held at once.
-SLICE = 1 << 21
+#: Bytes of text whose n-grams are held at once, each with some numbers per language.
+SLICE = 1 << 18
 #: The model has BUCKETS numbers a language; more languages than this are an error, not a cut.
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
@@ -209,42 +209,43 @@ def shares(texts: list[bytes], model: Model) -> np.ndarray:
     return out
 
 
+def _judged(texts: list[str], model: Model) -> tuple[list[str], list[float], list[str]]:
+    """Of each text its language, that one's share and all shares."""
+    langs, scores, every = [], [], []
+    for part in _slices(texts):
+        raw = [texts[i] or "" for i in part]
+        for text, row in zip(raw, shares([_prepared(t) for t in raw], model)):
+            if not row.any() or not _letter.search(text):
+                langs.append(UNKNOWN), scores.append(0.0), every.append("")
+                continue
+            order = np.argsort(-row, kind="stable")
+            langs.append(model.langs[order[0]])
+            scores.append(min(1.0, float(row[order[0]])))
+            every.append(",".join(f"{model.langs[j]}:{row[j]:.4f}" for j in order if row[j]))
+    return langs, scores, every
+
+
 def predict(
     docs: DataFrame, model: Model, text_column: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "languages")
 ) -> DataFrame:
     """``docs`` with the predicted language, its share and all shares, without a shuffle.
 
     A text that is null or has no letter, or any text where nothing was learned, is ``und``
-    with score 0. Equal likelihoods go to the language that is first by name.
+    with score 0. Equal likelihoods go to the language that is first by name. Only texts go to
+    Python, and only these three come back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_column)
-    lang_name, score_name, all_name = (free_name(docs.columns, n) for n in names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = batch.column(at)
-            for part in _slices([t.as_py() for t in texts]):
-                raw = [texts[i].as_py() or "" for i in part]
-                found = shares([_prepared(t) for t in raw], model)
-                langs, scores, every = [], [], []
-                for text, row in zip(raw, found):
-                    if not row.any() or not _letter.search(text):
-                        langs.append(UNKNOWN), scores.append(0.0), every.append("")
-                        continue
-                    order = np.argsort(-row, kind="stable")
-                    langs.append(model.langs[order[0]])
-                    scores.append(min(1.0, float(row[order[0]])))
-                    every.append(",".join(f"{model.langs[j]}:{row[j]:.4f}" for j in order if row[j]))
-                rows = batch.slice(part[0], len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(every, pa.string())],
-                    [*rows.schema.names, lang_name, score_name, all_name],
-                )
-
-    added = [T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()), T.StructField(all_name, T.StringType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    fields = ("lang", "score", "languages")
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType() if n == "score" else T.StringType()) for n in fields]))
+    def judge(texts: pa.Array) -> pa.Array:
+        found = _judged(texts.to_pylist(), shared.value)
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.string(), pa.float64(), pa.string()))], list(fields))
+
+    added = [free_name(docs.columns, n) for n in names]
+    held = free_name([*docs.columns, *added], "__found")
+    found = docs.withColumn(held, judge(col(text_column).cast("string")))
+    return found.select(*map(col, docs.columns), *[F.col(f"{held}.{f}").alias(n) for f, n in zip(fields, added)])
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -62,7 +62,7 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_ok")
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 @query

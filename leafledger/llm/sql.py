@@ -35,17 +35,18 @@ LINES = """
 WITH lines AS (
   SELECT doc_id, i, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
-ends AS (
-  SELECT *, i = n OR (i > 1 AND ('0x' || substr(md5(lag(md5(line)) OVER w || md5(line)), 1, 7))::BIGINT % 3 = 0) AS last
+marks AS (
+  SELECT *, i > 1 AND ('0x' || substr(md5(lag(md5(line)) OVER w || md5(line)), 1, 7))::BIGINT % 3 = 0 AS mark
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ends AS (
+  SELECT *, i = n OR (mark AND i < n - 1 AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY i)) AS last FROM marks),
 numbered AS (
   SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
   FROM ends),
 chunk AS (
   SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS part, count(*) AS size FROM numbered GROUP BY doc_id, c),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY part, size >= 2 AND length(part) >= 40 ORDER BY doc_id, c) AS copy FROM chunk),
-marked AS (SELECT *, size >= 2 AND length(part) >= 40 AND copy > 1 AS lost FROM ranked)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part, size >= 2 ORDER BY doc_id, c) AS copy FROM chunk),
+marked AS (SELECT *, size >= 2 AND copy > 1 AS lost FROM ranked)
 SELECT doc_id, count(*) AS n_chunks, sum(lost::INT)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(part, chr(10) ORDER BY c) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id

@@ -8,7 +8,7 @@ name, and the finished groups are then emitted in ascending order.
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -300,8 +300,10 @@ def _gathered(blobs: list[list]) -> pa.RecordBatch:
 _met_schema = "anchor int, context binary, places binary"
 _place = np.dtype([("row", np.int64), ("doc", np.int64), ("start", np.uint32)])
 _held = np.dtype([("context", np.uint32), ("place", _place)])
-#: Bytes of places that a task holds in memory; more of one anchor wait in a temporary file.
+#: Bytes of places of an anchor that a task holds; those beyond are joined with its strings later.
 HELD = 8 << 20
+#: Contexts whose strings are compared at once; an anchor with more is alone.
+TOGETHER = 1 << 14
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,128 +340,211 @@ class _Anchor:
     def __init__(self, name: int) -> None:
         self.name = name
         self.contexts: list[list] = []  # bytes, smallest and largest document
-        self.held, self.file = bytearray(), None
+        self.held = bytearray()
 
-    def add(self, context: bytes, places: bytes) -> None:
-        found = np.frombuffer(places, _place)
-        low, high = int(found["doc"].min()), int(found["doc"].max())
+    def add(self, context: bytes, places: bytes) -> bytes | None:
+        """Takes a context and its places; gives places back where there is no more room for them."""
+        if len(places) == _place.itemsize:
+            low = high = _DOC.unpack_from(places, 8)[0]
+        else:
+            found = np.frombuffer(places, _place)["doc"]
+            low, high = int(found.min()), int(found.max())
         if self.contexts and self.contexts[-1][0] == context:
             last = self.contexts[-1]
             last[1], last[2] = min(low, last[1]), max(high, last[2])
         else:
             self.contexts.append([context, low, high])
-        own = np.empty(found.size, _held)
-        own["context"], own["place"] = len(self.contexts) - 1, found
-        self.held += own.tobytes()
-        if len(self.held) > HELD:
-            self.file = self.file or tempfile.TemporaryFile()
-            self.file.write(self.held)
-            self.held = bytearray()
-
-    def _places(self) -> Iterator[np.ndarray]:
-        if self.file is not None:
-            self.file.seek(0)
-            while block := self.file.read(_held.itemsize << 16):
-                yield np.frombuffer(block, _held)
-            self.file.close()
-        yield np.frombuffer(bytes(self.held), _held)
-
-    def spans(self) -> Iterator[tuple[int, int, int]]:
-        """Row, first and last place of runs of strings that a smaller document has."""
-        found = self._match()
-        if not found:
-            return
-        for block in self._places():
-            for context, (row, doc, start) in block.tolist():
-                for first, last, least in found.get(context, ()):
-                    if doc > least:
-                        yield row, start + first, start + last
-
-    def _match(self) -> dict[int, list[tuple[int, int, int]]]:
-        """Of a context, by number: (first, last, smallest document) of runs of strings.
-
-        A context that shares no string with another one needs no array: it is compared only
-        with its own copies, which have been merged.
-        """
-        shared: set[int] = set()
-        if len(self.contexts) > 1:
-            seen: dict[int, int] = {}
-            for c, (context, _, _) in enumerate(self.contexts):
-                for o in range(len(context) - LENGTH + 1):
-                    other = seen.setdefault(hash(context[o : o + LENGTH]), c)
-                    if other != c:
-                        shared.update((other, c))
-        found = {
-            c: [(0, len(context) - LENGTH, low)]
-            for c, (context, low, high) in enumerate(self.contexts)
-            if c not in shared and low != high
-        }
-        return found | self._ordered(sorted(shared)) if shared else found
-
-    def _ordered(self, numbers: list[int]) -> dict[int, list[tuple[int, int, int]]]:
-        """Neighbours in the suffix array that agree in a whole string are its occurrences."""
-        contexts = [self.contexts[c][:2] for c in numbers]
-        text = b"".join(c + b"\0" for c, _ in contexts)
-        breaks, usable, least = [], [], []
-        for context, low in contexts:
-            breaks.append(len(least) + len(context))
-            count = len(context) - LENGTH + 1
-            usable += [True] * count + [False] * LENGTH
-            least += [low] * count + [0] * LENGTH
-        group: list[int] = []
-
-        def settle() -> None:
-            if len(group) > 1:
-                low = min(least[s] for s in group)
-                for s in group:
-                    least[s] = low
-            group.clear()
-
-        before = None
-        for s in suffix_array(text, breaks):
-            if usable[s]:
-                string = text[s : s + LENGTH]
-                if string != before:
-                    settle()
-                    before = string
-                group.append(s)
-        settle()
-        at, found = 0, {}
-        for c, (context, _) in zip(numbers, contexts):
-            count, begin, runs = len(context) - LENGTH + 1, 0, []
-            for o in range(1, count + 1):
-                if o == count or least[at + o] != least[at + begin]:
-                    runs.append((begin, o - 1, least[at + begin]))
-                    begin = o
-            found[c] = runs
-            at += len(context) + 1
-        return found
+        number = _NUMBER.pack(len(self.contexts) - 1)
+        for at in range(0, len(places), _place.itemsize):
+            self.held += number + places[at : at + _place.itemsize]
+        if len(self.held) <= HELD:
+            return None
+        full, self.held = bytes(self.held), bytearray()
+        return full
+
+
+_NUMBER, _DOC = struct.Struct("=I"), struct.Struct("=q")
+
+
+def _window_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``LENGTH`` bytes from each place."""
+    out, width, done = np.zeros(data.size, _U), 1, 0
+    power = (data.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
+    for bit in bin(LENGTH)[:1:-1]:
+        if bit == "1":
+            tail = np.zeros(data.size, _U)
+            tail[: data.size - done] = power[done:]
+            out = out * _U(0xA0761D6478BD642F) + (tail ^ (tail >> _U(29)))
+            done += width
+        ahead = np.zeros(data.size, _U)
+        ahead[: data.size - width] = power[width:]
+        power = power * _U(0xD6E8FEB86659FD93) + (ahead ^ (ahead >> _U(31)))
+        width *= 2
+    return out[: data.size - LENGTH + 1]
+
+
+def _shared(anchors_: list[_Anchor]) -> list[tuple[int, int, int, int]]:
+    """(anchor, context, first, last): runs of strings that another context of the anchor seems to have.
+
+    Equal hashes only say which strings are worth ordering.
+    """
+    of = [(i, c) for i, anchor in enumerate(anchors_) if len(anchor.contexts) > 1 for c in range(len(anchor.contexts))]
+    if not of:
+        return []
+    contexts = [anchors_[i].contexts[c][0] for i, c in of]
+    sizes = np.array([len(c) for c in contexts])
+    counts = sizes - LENGTH + 1
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    owner = np.repeat(np.arange(sizes.size), counts)
+    place = np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = _window_hashes(data)[place + np.repeat(np.cumsum(sizes) - sizes, counts)]
+    anchor = np.array([i for i, _ in of], _U)[owner]
+    shared = _in_several((hashes ^ (anchor * _U(0xE7037ED1A0B428DB))) * _U(0x9E3779B97F4A7C15), owner)
+    edge = np.r_[True, owner[1:] != owner[:-1]]
+    begin = np.flatnonzero(shared & (edge | ~np.r_[False, shared[:-1]]))
+    end = np.flatnonzero(shared & (np.r_[edge[1:], True] | ~np.r_[shared[1:], False]))
+    return [(*of[o], f, t) for o, f, t in zip(owner[begin].tolist(), place[begin].tolist(), place[end].tolist())]
+
+
+def _ordered(texts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int, int]]]:
+    """Of each text (first, last, smallest document) of runs of its strings.
+
+    Neighbours in the suffix array that agree in a whole string are its occurrences.
+    """
+    text = b"".join(t + b"\0" for t in texts)
+    breaks, usable, least = [], [], []
+    for t, low in texts.items():
+        breaks.append(len(least) + len(t))
+        count = len(t) - LENGTH + 1
+        usable += [True] * count + [False] * LENGTH
+        least += [low] * count + [0] * LENGTH
+    group: list[int] = []
+
+    def settle() -> None:
+        if len(group) > 1:
+            low = min(least[s] for s in group)
+            for s in group:
+                least[s] = low
+        group.clear()
+
+    before = None
+    for s in suffix_array(text, breaks):
+        if usable[s]:
+            string = text[s : s + LENGTH]
+            if string != before:
+                settle()
+                before = string
+            group.append(s)
+    settle()
+    at, found = 0, {}
+    for t in texts:
+        count, begin, runs = len(t) - LENGTH + 1, 0, []
+        for o in range(1, count + 1):
+            if o == count or least[at + o] != least[at + begin]:
+                runs.append((begin, o - 1, least[at + begin]))
+                begin = o
+        found[t] = runs
+        at += len(t) + 1
+    return found
+
+
+def _strings(anchors_: list[_Anchor]) -> list[dict[int, list[tuple[int, int, int]]]]:
+    """Of each anchor: by context (first, last, smallest document) of its runs of strings that
+    several documents have.
+
+    Strings that no other context has belong to the documents of their own. Of the others, equal
+    stretches are one text, and the suffix array of an anchor's texts tells which of their strings
+    are equal.
+    """
+    runs: list[dict[int, list[tuple[int, int]]]] = [{} for _ in anchors_]
+    for i, c, first, last in _shared(anchors_):
+        runs[i].setdefault(c, []).append((first, last))
+    found: list[dict[int, list[tuple[int, int, int]]]] = []
+    for anchor, of in zip(anchors_, runs):
+        texts: dict[bytes, int] = {}
+        for c, stretches in of.items():
+            context, low, _ = anchor.contexts[c]
+            for first, last in stretches:
+                text = context[first : last + LENGTH]
+                texts[text] = min(low, texts.get(text, low))
+        known = _ordered(texts) if len(texts) > 1 else {t: [(0, len(t) - LENGTH, low)] for t, low in texts.items()}
+        here: dict[int, list[tuple[int, int, int]]] = {}
+        for c, (context, low, high) in enumerate(anchor.contexts):
+            stretches = of.get(c, ())
+            out, at = [], 0
+            for first, last in stretches:
+                if low != high and at < first:
+                    out.append((at, first - 1, low))
+                out += [(first + f, first + t, least) for f, t, least in known[context[first : last + LENGTH]]]
+                at = last + 1
+            if low != high and at <= len(context) - LENGTH:
+                out.append((at, len(context) - LENGTH, low))
+            if out:
+                here[c] = out
+        found.append(here)
+    return found
+
+
+_spans = "row long, first long, last long, anchor int, context int, least long, sent long"
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor and context; equal contexts are merged as they pass."""
+    """Rows come by anchor and context; equal contexts are merged as they pass.
+
+    Gives (row, first, last) of strings that a smaller document has. Of an anchor with more places than a
+    task holds, the early ones go on as (row, first, anchor, context, sent = document), and the strings as
+    (first, last, anchor, context, least).
+    """
+    spans: list[tuple] = []
 
-    def out(spans: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*spans)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "first", "last"])
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*spans)) or [[]] * 7
+        spans.clear()
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _spans.split(", ")])
 
-    anchor, spans = None, []
+    def sent(anchor: _Anchor, full: bytes) -> None:
+        spans.extend((row, start, None, anchor.name, c, None, doc) for c, (row, doc, start) in np.frombuffer(full, _held).tolist())
+
+    waiting: list[_Anchor] = []
+    split: set[int] = set()
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        for anchor, found in zip(waiting, _strings(waiting)):
+            for c, (row, doc, start) in np.frombuffer(bytes(anchor.held), _held).tolist() if found else ():
+                for first, last, least in found.get(c, ()):
+                    if doc > least:
+                        spans.append((row, start + first, start + last, None, None, None, None))
+            if anchor.name in split:
+                spans.extend((None, f, t, anchor.name, c, least, None) for c, runs in found.items() for f, t, least in runs)
+            if len(spans) >= 1 << 16:
+                yield out()
+        waiting.clear()
+
+    held = 0
     for batch in batches:
         for name, context, places in zip(*(c.to_pylist() for c in batch.columns)):
-            if anchor is None or name != anchor.name:
-                for span in anchor.spans() if anchor else ():
-                    spans.append(span)
-                    if len(spans) == 1 << 16:
-                        yield out(spans)
-                        spans = []
-                anchor = _Anchor(name)
-            anchor.add(context, places)
-    for span in anchor.spans() if anchor else ():
-        spans.append(span)
-        if len(spans) == 1 << 16:
-            yield out(spans)
-            spans = []
-    yield out(spans)
+            if not waiting or name != waiting[-1].name:
+                if held >= TOGETHER:
+                    yield from settle()
+                    held = 0
+                waiting.append(_Anchor(name))
+            if full := waiting[-1].add(context, places):
+                sent(waiting[-1], full)
+                split.add(name)
+                yield out()
+            held += 1
+    yield from settle()
+    yield out()
+
+
+def _joined(matched: DataFrame) -> DataFrame:
+    """``row``, ``first``, ``last`` of all spans: those that ``_match`` gives, and what it left to join."""
+    near = matched.where("anchor IS NULL").select("row", "first", "last")
+    places = matched.where("sent IS NOT NULL").select("row", F.col("first").alias("start"), "anchor", "context", "sent")
+    strings = matched.where("least IS NOT NULL").select("anchor", "context", "first", "last", "least")
+    far = places.join(strings, ["anchor", "context"]).where("sent > least")
+    return near.union(far.select("row", F.col("start") + F.col("first"), F.col("start") + F.col("last")))
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -495,7 +580,7 @@ def repeated_strings(rows: DataFrame) -> DataFrame:
     found = blobs.mapInArrow(_by_number(_gathered), "row long, places binary")
     marked = rows.join(found, "row").select("row", _doc().alias("doc"), "text", "places")
     met = marked.mapInArrow(_contexts, _met_schema).repartition("anchor").sortWithinPartitions("anchor", "context")
-    spans = met.mapInArrow(_match, "row long, first long, last long")
+    spans = _joined(stored(met.mapInArrow(_match, _spans), "spans"))
     starts = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(NO_ID - LENGTH).alias("last")))
     return starts.unionByName(copies.select("row", whole.alias("starts")))

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafledger.llm.shared import col, scratch
+from leafledger.operators.running import key_bounds, with_range
 
 #: Compressed bytes after which a shard goes on in a new file.
 ROLL_BYTES = 4 << 20
 #: Payload bytes a shard should hold.
 SHARD_BYTES = 16 << 20
-#: Ranges of ids counted at once while shard borders are sought; bounds what the driver gets.
-HISTOGRAM = 2048
+#: Shards at most, each a range of ids; beyond that shards grow.
+MAX_SHARDS = 1 << 16
 DATE = "2024-03-01T00:00:00Z"
 _read_columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
 
@@ -140,47 +141,20 @@ def _write(folder: str, roll: int):
     return run
 
 
-def _borders(pages: DataFrame, target: int) -> list[int]:
-    """First ids of the shards, from exact sums over ranges of ids: the same for the same pages.
+def _shards(narrow: DataFrame, target: int) -> int:
+    """As many shards as the payloads need; one number reaches the driver."""
+    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).head().size
+    return min(MAX_SHARDS, max(1, -(-total // target)))
 
-    A range above the target is counted again in finer ranges until it fits or is one id.
+
+def _placed(rows: DataFrame, narrow: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with their shard, a range of ids and digests cut at quantiles of a sample.
+
+    The sample is that of the least hashes, so the same pages give the same ranges. The borders
+    are a subquery, 40 bytes a shard.
     """
-    span = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).head()
-    if span.lo is None:
-        return []
-    borders, todo = [], [(span.lo, span.hi)]
-    while todo:
-        lo, hi = todo.pop(0)
-        width = (hi - lo) // HISTOGRAM + 1
-        part = pages.where(F.col("page_id").between(lo, hi))
-        place = F.expr(f"(cast(page_id AS decimal(20, 0)) - cast('{lo}' AS decimal(20, 0))) div {width}")
-        sums = part.groupBy(place.alias("i")).agg(F.sum("size").alias("size"))
-        total = 0
-        for i, size in sorted(tuple(r) for r in sums.collect()):
-            start = lo + i * width
-            if size > target and width > 1:
-                todo.append((start, min(hi, start + width - 1)))
-                borders.append(start)
-                total = target
-            elif total + size > target or not borders:
-                borders.append(start)
-                total = size
-            else:
-                total += size
-    return sorted(set(borders))
-
-
-def _shard_of(borders: list[int]):
-    """Number of borders up to an id, by binary search; null ids are in the first shard."""
-    steps = max(1, len(borders)).bit_length()
-    bounds = ",".join(f"{b}L" for b in borders) or "0L"
-    return F.expr(
-        f"""element_at(transform(array(array({bounds})), bs -> aggregate(sequence(1, {steps}),
-        named_struct('lo', 0, 'hi', size(bs)),
-        (s, x) -> CASE WHEN s.lo >= s.hi THEN s
-          WHEN bs[(s.lo + s.hi) div 2] <= page_id THEN named_struct('lo', cast((s.lo + s.hi) div 2 + 1 AS int), 'hi', s.hi)
-          ELSE named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 AS int)) END, s -> s.lo)), 1)"""
-    )
+    order = ["page_id", "digest"]
+    return with_range(rows, order, key_bounds(narrow, order, shards), "shard") if shards > 1 else rows.withColumn("shard", F.lit(0))
 
 
 def _commit(folder: str):
@@ -204,8 +178,8 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     Of pages with equal payloads that with the largest id is written whole and the others
     refer to it; among rows that repeat an id with its payload the first is whole. A null
     text is an empty payload, a null id sorts first and a null url is empty; no other column
-    is looked at. Shards are ranges of ids whose borders follow from exact sums, so the same
-    pages give the same bytes. Each attempt of a task writes under names of its own; only
+    is looked at. Shards are ranges of ids and digests whose borders follow from the pages alone,
+    so the same pages give the same bytes. The number of jobs does not grow with the pages. Each attempt of a task writes under names of its own; only
     files that its successful end reports enter the manifest, get their final name, and are
     read. An empty table gives an empty manifest.
     """
@@ -216,11 +190,14 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     narrow = rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size"))
     again = narrow.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1")
     notes = narrow.select("page_id", "digest").distinct().join(again, "digest")
-    shard = _shard_of(_borders(narrow, shard_bytes))
+    shards = _shards(narrow, shard_bytes)
+    # twice as many tasks as shards, so that few tasks get several
+    tasks = max(2 * shards, spark.sparkContext.defaultParallelism)
     none = F.lit(None).cast("string")
-    both = rows.select(shard.alias("shard"), "page_id", "digest", F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("latest"), "url", "html")
-    both = both.union(notes.select(shard.alias("shard"), "page_id", "digest", F.lit(False), "latest", none, none))
-    dealt = both.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
+    both = rows.select("page_id", "digest", F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("latest"), "url", "html")
+    both = both.union(notes.select("page_id", "digest", F.lit(False), "latest", none, none))
+    both = _placed(both, narrow, shards).select("shard", *both.columns)
+    dealt = both.repartition(tasks, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
     pending = f"{folder}/_pending"
     dealt.mapInArrow(_write(folder, roll_bytes), _MANIFEST).write.parquet(pending)
@@ -243,6 +220,7 @@ def _records(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def _row(fields: dict, block: bytes) -> tuple:
+    """What a record says, and whether its digests and lengths are those of its bytes."""
     number = lambda v: None if v in (None, "none") else int(v)
     is_revisit = fields["WARC-Type"] == "revisit"
     payload = block.partition(b"\r\n\r\n")[2]
@@ -280,8 +258,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("content").mapInArrow(_read, _read_columns)
 
 
+def sound(records: DataFrame) -> DataFrame:
+    """Records read back, without ``digest_ok``; a record whose digests do not hold raises an error."""
+    broken = F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
+    checked = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(broken.cast("string"))
+    return records.withColumn("payload_digest", checked).drop("digest_ok")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes archives to a new place in the shared folder and reads them back."""
+    """Writes archives to a new place in the shared folder and reads them back, each record checked."""
     folder = scratch(pages.sparkSession, "warc")
     write_archives(pages, folder)
-    return read_archives(pages.sparkSession, folder)
+    return sound(read_archives(pages.sparkSession, folder))

@@ -5,22 +5,30 @@ import hashlib
 import xxhash
 
 
-def lines_removed(texts):
+def line_chunks(lines, window=2, divisor=3):
+    """Chunks of two lines or more: no two neighbours end one, nor does the last line but one."""
+    hashes = [hashlib.md5(line.encode()).hexdigest() for line in lines]
+    marks = [
+        i >= max(window - 1, 1) and int(hashlib.md5("".join(hashes[i - window + 1 : i + 1]).encode()).hexdigest()[:7], 16) % divisor == 0
+        for i in range(len(lines))
+    ]
+    start = 0
+    for i in range(len(lines)):
+        if i == len(lines) - 1 or (marks[i] and not marks[i - 1] and i < len(lines) - 2):
+            yield lines[start : i + 1]
+            start = i + 1
+
+
+def lines_removed(texts, **cut):
     seen, out = set(), {}
     for doc_id in sorted(texts):
-        lines = (texts[doc_id] or "").split("\n")
-        hashes = [hashlib.md5(line.encode()).hexdigest() for line in lines]
-        kept, start = [], 0
-        for i in range(len(lines)):
-            pair = hashlib.md5("".join(hashes[max(0, i - 1) : i + 1]).encode()).hexdigest()
-            if i == len(lines) - 1 or (i and int(pair[:7], 16) % 3 == 0):
-                chunk, start = lines[start : i + 1], i + 1
-                whole = "\n".join(chunk)
-                if len(chunk) >= 2 and len(whole) >= 40:
-                    if whole in seen:
-                        continue
-                    seen.add(whole)
-                kept += chunk
+        kept = []
+        for chunk in line_chunks((texts[doc_id] or "").split("\n"), **cut):
+            if len(chunk) >= 2:
+                if tuple(chunk) in seen:
+                    continue
+                seen.add(tuple(chunk))
+            kept += chunk
         out[doc_id] = "\n".join(kept)
     return out
 

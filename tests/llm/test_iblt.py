@@ -2,13 +2,36 @@ import hashlib
 import random
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from leafledger.llm import iblt
 
 
+WORD = regex.compile(r"(?V1)[ \t\n\x0b\f\r]*+[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]{1,24}+|[ \t\n\x0b\f\r]*.", regex.DOTALL)
+
+
+def chained(values, seed=42):
+    """Spark's hash of several strings: each is hashed with the hash before as seed."""
+    for value in values:
+        seed = xxhash.xxh64_intdigest(value.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def pieces(line):
+    """A line is cut after a unit where the hash of the last four units is a multiple of eight."""
+    units, piece = WORD.findall(line), []
+    for i, unit in enumerate(units):
+        piece.append(unit)
+        if i == len(units) - 1 or (i >= 3 and chained(units[i - 3 : i + 1]) % 8 == 0):
+            if any(u.strip(" ") for u in piece):
+                yield tuple(piece)
+            piece = []
+
+
 def lines(text):
-    return {line for line in (text or "").split("\n") if line.strip(" ")}
+    return {p for line in (text or "").split("\n") if line.strip(" ") for p in pieces(line)}
 
 
 def like(a, b):
@@ -40,6 +63,8 @@ def test_against_brute_force(make):
     rng = random.Random(2)
     stock = [f"paragraph {i}" for i in range(25)] + ["", " ", "é中🎉"]
     rows = [(i * 7 % 101, "\n".join(rng.choices(stock, k=rng.choice([0, 1, 2, 5, 30])))) for i in range(101)]
+    words = ["".join(rng.choices("abcdefg", k=rng.randrange(1, 30))) for _ in range(60)] + ["中文字", "é", "#", "1,2"]
+    rows += [(400 + i, "\n".join(" ".join(rng.choices(words, k=rng.randrange(1, 90))) for _ in range(rng.randrange(1, 5)))) for i in range(40)]
     rows += [(200, "\n".join(f"many {i}" for i in range(700))), (201, "\n".join(f"many {i}" for i in range(350, 900))), (300, rows[0][1]), (-4, "end")]
     got, full = found(make(rows))
     assert got == brute(rows)
@@ -64,8 +89,40 @@ def test_peeling_gives_back_both_sides(spark):
     assert got == {(i, 1) for i in range(5)} | {(i, -1) for i in range(40, 45)}
     much = spark.createDataFrame([(list(range(500)), list(range(500, 900)))], "a array<long>, b array<long>")
     assert much.select(iblt.peeled(iblt.subtracted(iblt.sketch(F.col("a")), iblt.sketch(F.col("b"))))).first()[0] is None
-    larger = much.select(iblt._in_groups(F.col("a"), F.col("b"), 2).alias("d")).first().d
-    assert larger in (900, None)
+    larger = iblt.subtracted(iblt.sketch(F.col("a"), 2400, 5), iblt.sketch(F.col("b"), 2400, 5))
+    assert {(r.k, r.n) for r in much.select(iblt.peeled(larger, 2400, 5).alias("p")).first().p} == {(i, 1 if i < 500 else -1) for i in range(900)}
+
+
+def test_cells_are_counts_and_xors(spark):
+    keys = [3, -9, 1 << 60, 77]
+    got = spark.createDataFrame([(keys,)], "a array<long>").select(iblt.sketch(F.col("a"), 30, 2).alias("s")).first().s
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def hashed(key, salt):
+        return signed(xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)))
+
+    cells = {}
+    for key in keys:
+        for j in range(3):
+            n, k, h = cells.get(place := hashed(key, 2 + j) % 10 + 10 * j, (0, 0, 0))
+            cells[place] = n + 1, k ^ key, h ^ hashed(key, 101)
+    assert [tuple(c) for c in got] == [(p, *cells[p]) for p in sorted(cells)]
+
+
+def test_every_difference_is_peeled(spark):
+    """Sets of all sizes and overlaps: nothing but sketches tells how many digests differ."""
+    rng = random.Random(9)
+    rows = [([], []), ([1], []), (list(range(60)), list(range(60)))]
+    for size in (1, 5, 18, 30, 100, 400, 3000):
+        for shared in (0, size // 2, size - 1, size):
+            own = rng.sample(range(-(1 << 60), 1 << 60), 2 * size)
+            rows.append((own[:size], own[size - shared : 2 * size - shared]))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    a, b = F.col("a"), F.col("b")
+    sketched = df.select("a", "b", iblt.sketch(a).alias("x"), iblt.sketch(b).alias("y"))
+    got = sketched.select("a", "b", iblt.difference(a, b, F.col("x"), F.col("y")).alias("d"))
+    assert "array_except" not in got._jdf.queryExecution().analyzed().toString()
+    assert all(r.d == len(set(r.a) ^ set(r.b)) for r in got.collect())
 
 
 def test_texts_of_one_line_keep_the_likeness_of_what_is_untouched(make):

@@ -1,36 +1,20 @@
-import hashlib
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
+from llm_brute import line_chunks, lines_removed
 
 from leafledger.llm import linechunks
 
 
-def brute(rows, window=2, divisor=3, least_lines=2, least_chars=40):
-    """Texts without repeated chunks, documents in order of id."""
-    seen, out = set(), {}
-    for doc_id, text in sorted(rows):
-        lines = text.split("\n")
-        hashes = [hashlib.md5(line.encode()).hexdigest() for line in lines]
-        chunks, start = [], 0
-        for i in range(len(lines)):
-            rolled = i >= window - 1 and int(hashlib.md5("".join(hashes[i - window + 1:i + 1]).encode()).hexdigest()[:7], 16) % divisor == 0
-            if rolled or i == len(lines) - 1:
-                chunks.append(lines[start:i + 1])
-                start = i + 1
-        kept = []
-        for chunk in chunks:
-            whole = "\n".join(chunk)
-            if len(chunk) >= least_lines and len(whole) >= least_chars:
-                if whole in seen:
-                    continue
-                seen.add(whole)
-            kept += chunk
-        out[doc_id] = ("\n".join(kept), len(chunks))
-    return out
-
-
-@pytest.mark.parametrize("options", [{}, {"window": 3, "divisor": 2}, {"least_lines": 1, "least_chars": 0}])
+def brute(rows, **cut):
+    """Texts without repeated chunks, documents in order of id, and how many chunks they had."""
+    texts = dict(rows)
+    return {i: (t, len(list(line_chunks(texts[i].split("\n"), **cut)))) for i, t in lines_removed(texts, **cut).items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"window": 3, "divisor": 2}, {"window": 1, "divisor": 1}])
 def test_against_brute_force(make, options):
     rng = random.Random(8)
     stock = [f"line number {i} with some more words" for i in range(30)] + ["", "short"]
@@ -42,7 +26,7 @@ def test_against_brute_force(make, options):
             at = rng.randrange(len(body) + 1)
             body[at:at] = passage
         rows.append((i, "\n".join(body)))
-    rows.append((60, rows[0][1]))
+    rows += [(60, rows[0][1]), (61, "one line"), (62, "one line"), (63, "two\nlines"), (64, "two\nlines"), (65, "}\n\n}"), (66, "}\n\n}")]
     got = {r.doc_id: (r.text, r.n_chunks) for r in linechunks.without_repeated_chunks(make(rows), **options).collect()}
     assert got == brute(rows, **options)
 
@@ -68,3 +52,30 @@ def test_repeated_rows_and_null_ids(make):
     got = linechunks.without_repeated_chunks(make(rows)).collect()
     assert len([r for r in got if r.doc_id is None and r.text == text]) == 1
     assert len({r.text for r in got if r.doc_id is not None}) == 1 and all(r.text != text for r in got if r.doc_id is not None)
+
+
+def test_an_exact_copy_of_lines_is_emptied(make):
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(("ab", "c", "", "long line with words")) + str(rng.randrange(50)) for _ in range(n)) for n in (2, 3, 4, 5, 9, 40, 700)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in linechunks.without_repeated_chunks(make(rows)).collect()}
+    assert all(got[100 + i] == "" for i in range(len(texts)))
+
+
+def test_chunks_have_two_lines_or_more(make):
+    rng = random.Random(5)
+    rows = [(n, "\n".join(str(rng.random()) for _ in range(n))) for n in range(1, 120)]
+    for r in make(rows).select("doc_id", linechunks.chunks(F.col("text")).alias("c")).collect():
+        assert sum(c["size"] for c in r.c) == r.doc_id and (r.doc_id == 1 or min(c["size"] for c in r.c) >= 2)
+
+
+def test_time_grows_with_the_lines(make):
+    def seconds(lines):
+        text = "\n".join(f"line {i} of a long text" for i in range(lines))
+        docs = make([(1, text), (2, text + "\nmore"), (3, "x\n" + text)])
+        start = time.perf_counter()
+        linechunks.without_repeated_chunks(docs).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert seconds(64_000) < 4 * max(seconds(32_000), 1)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafledger.llm import suffixes
@@ -92,3 +93,51 @@ def test_odd_rows(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert found(odd) == brute(rows)
     assert suffixes.remove_repeats(odd.where("doc_id = -1")).count() == 0
+
+
+def spans_of(rows):
+    """What Spark joins, in plain Python."""
+    near = {(r[0], k) for r in rows if r[3] is None for k in range(r[1], r[2] + 1)}
+    strings = {}
+    for _, first, last, anchor, context, least, _ in (r for r in rows if r[5] is not None):
+        strings.setdefault((anchor, context), []).append((first, last, least))
+    for row, start, _, anchor, context, _, doc in (r for r in rows if r[6] is not None):
+        near |= {(row, start + k) for f, t, least in strings.get((anchor, context), ()) if doc > least for k in range(f, t + 1)}
+    return near
+
+
+def test_places_beyond_what_a_task_holds_are_joined_later(monkeypatch):
+    rng = random.Random(12)
+    alphabet = [bytes(rng.choices(b"ab", k=3)) for _ in range(4)]
+    contexts = sorted({b"".join(rng.choices(alphabet, k=rng.randrange(17, 26))) for _ in range(60)})
+    rows = []
+    for anchor in (-5, 3, 8):
+        for context in contexts[:: 1 + anchor % 3]:
+            for _ in range(rng.randrange(1, 4)):
+                places = [(rng.randrange(50), rng.randrange(12), rng.randrange(10_000)) for _ in range(rng.randrange(1, 4))]
+                rows.append((anchor, context, np.array(places, suffixes._place).tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 7]), kinds)], ["anchor", "context", "places"]) for i in range(0, len(rows), 7)]
+
+    def run():
+        return [tuple(r.values()) for b in suffixes._match(iter(batches)) for r in b.to_pylist()]
+
+    whole = run()
+    assert all(r[3] is None for r in whole)
+    monkeypatch.setattr(suffixes, "HELD", 200)
+    parted = run()
+    assert sum(r[6] is not None for r in parted) > 50
+    assert spans_of(parted) == spans_of(whole)
+    want = set()
+    for anchor in (-5, 3, 8):
+        least = {}
+        for a, context, places in rows:
+            if a == anchor:
+                low = min(d for _, d, _ in np.frombuffer(places, suffixes._place).tolist())
+                for k in range(len(context) - 49):
+                    least[context[k : k + 50]] = min(low, least.get(context[k : k + 50], low))
+        for a, context, places in rows:
+            if a == anchor:
+                for row, doc, start in np.frombuffer(places, suffixes._place).tolist():
+                    want |= {(row, start + k) for k in range(len(context) - 49) if doc > least[context[k : k + 50]]}
+    assert spans_of(whole) == want

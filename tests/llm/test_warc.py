@@ -92,3 +92,31 @@ def test_files_of_lost_attempts_are_not_read(spark):
 
 def test_no_pages(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
+
+
+def jobs_of(spark, run):
+    spark.sparkContext.setJobGroup(name := f"warc-{id(run)}", name)
+    run()
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(started)
+
+
+def test_jobs_do_not_grow_with_the_shards(spark):
+    few, many = (jobs_of(spark, lambda: warc.write_archives(pages(spark, ROWS), scratch(spark, "t"), 1 << 22, target)) for target in (200_000, 500))
+    assert many <= few + 2
+
+
+def test_a_damaged_record_raises(spark):
+    folder = scratch(spark, "t")
+    name = warc.write_archives(pages(spark, ROWS[:30]), folder).head().name
+    path = f"{folder.removeprefix('file://')}/{name}"
+    data = gzip.open(path).read()
+    broken = data.replace(b"<p>zz", b"<p>zy", 1)
+    assert broken != data
+    members = b"".join(gzip.compress(b"WARC/1.1" + part, mtime=0) for part in broken.split(b"WARC/1.1")[1:])
+    rows = spark.createDataFrame([(bytearray(members),)], "content binary")
+    read_back = rows.mapInArrow(warc._read, warc._read_columns)
+    assert [r.digest_ok for r in read_back.collect()].count(False) == 1
+    with pytest.raises(Exception, match="damaged record"):
+        warc.sound(read_back).collect()
