@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     path = public_tokenizers.path(VOCABULARY)
     narrow = placed(docs, ["doc_id", "lang", "source", "text"], ("__file", "__row"))
-    decoded = bpe.decode(bpe.encode(narrow, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    decoded = bpe.encode(narrow, path, public_tokenizers.PATTERN, decoded="bytes")
     done = decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("bytes", 256).alias("decoded_sha256"), "__file", "__row",
