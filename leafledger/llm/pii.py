@@ -51,6 +51,11 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
     "phone": r"^\+(?:1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
 }
+#: A name that keys and passwords go by, given a value of letters, digits and signs.
+SECRET = (
+    r"(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|pwd|(?:api|access|private)[_-]?key|credential)s?[\x22']?"
+    r"\x20{0,2}[:=]\x20{0,2}[\x22']?[a-z0-9+/=_.-]{16,}"
+)
 LABELERS = 5
 ROUNDS = 40
 #: Probability from which a span that no base pattern covers is reported.
@@ -240,7 +245,8 @@ def train(found: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
 
 def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``base``, ``added`` per row of ``docs``: arrays of (kind, start, end).
+    """``doc_id``, ``base``, ``added``, ``n_secret`` per row of ``docs``: arrays of (kind, start, end),
+    and how many keys or passwords are given in the text.
 
     ``kind`` is the place in ``KINDS``; places are code points, the end exclusive. ``base``
     has the sound matches of the base patterns; ``added`` has matches of the wider patterns that
@@ -250,7 +256,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     at. An empty table gives an empty result. Documents are read once and never shuffled.
     """
     text = F.coalesce(col(text_column).cast("string"), F.lit(""))
-    found = docs.select(col(id_column).alias("doc_id"), _candidates(text).alias("spans"))
+    found = docs.select(col(id_column).alias("doc_id"), _candidates(text).alias("spans"), F.regexp_count(text, F.lit(SECRET)).cast("long").alias("n_secret"))
     found = stored(found, "pii")
     weights, prior = train(found)
 
@@ -259,14 +265,14 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     base = F.transform(F.filter("spans", lambda c: c["base"]), span)
-    rows = found.select("doc_id", F.array_sort(base).alias("base"), F.filter("spans", lambda c: c["wide"]).alias("rest"))
+    rows = found.select("doc_id", "n_secret", F.array_sort(base).alias("base"), F.filter("spans", lambda c: c["wide"]).alias("rest"))
     limit = math.log(threshold / (1 - threshold))
     touches = lambda c: F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
     chosen = F.filter("rest", lambda c: (score(c) >= limit) & ~touches(c))
     added = F.when(F.size("rest") == 0, F.array().cast(rows.schema["base"].dataType)).otherwise(F.array_sort(F.array_distinct(F.transform(chosen, span))))
     # Of overlapping additions of a kind the first stays.
     first = F.filter("added", lambda c: ~F.exists("added", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["start"]) & (c["start"] < b["end"])))
-    return rows.select("doc_id", "base", added.alias("added")).select("doc_id", "base", first.alias("added"))
+    return rows.select("doc_id", "n_secret", "base", added.alias("added")).select("doc_id", "base", first.alias("added"), "n_secret")
 
 
 def listed(spans: Column) -> Column:

@@ -84,6 +84,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.listed(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        "n_secret",
+        (F.size("base") + F.size("added") + F.col("n_secret")).alias("n_private"),
     )
 
 

@@ -76,3 +76,13 @@ def test_redaction_and_listing(make):
 def test_no_python_on_the_main_path(make):
     plan = pii.find_pii(make([(1, "a@b.co")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_and_passwords_are_counted(make):
+    value = "0123456789abcdef0123"
+    texts = [
+        f'a token = "{value}" b', f"API_KEY:{value} and secret= {value}", f"password '{value}'", "token = short", f"tokens are {value}", None, "",
+        f"mytoken={value}", f"Passwd: \"{value}/+=\"",
+    ]
+    got = {r.doc_id: r.n_secret for r in pii.find_pii(make(list(enumerate(texts)))).collect()}
+    assert got == {0: 1, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1}
