@@ -9,6 +9,8 @@ computed: Catalyst drops them from the projection.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,35 +77,39 @@ def _once(df: DataFrame, name: str, expensive: Column) -> DataFrame:
 
 
 def facts(
-    corpus: DataFrame, as_of: dt.datetime | None = None, with_lines: bool = True
+    corpus: DataFrame, as_of: dt.datetime | None = None, with_lines: bool = True, only: Collection[str] | None = None
 ) -> DataFrame:
     """One narrow row per file; ``as_of`` adds ``age_bucket``.
 
     ``with_lines=False`` leaves out the line measures, whose one pass over the
-    text would otherwise be made even where they are not used.
+    text would otherwise be made even where they are not used.  ``only`` names the columns
+    wanted beside ``relpath`` and ``files`` (then without line measures): expressions that are not
+    wanted are not even built, which is most of the planning of a simple statistic.
     """
     require(corpus, "relpath", "size_bytes")
-    path, text, content = F.col("relpath"), text_of(corpus), bytes_of(corpus)
+    path = F.col("relpath")
     ext_key = P.extension_key(path)
-    textual = sniff.is_text(ext_key, content)
-    times = [c for c in ("mtime",) if c in corpus.columns]
-    columns = [
-        "relpath",
-        F.lit(1).cast("long").alias("files"),
-        "size_bytes",
-        *times,
-        P.extension(path).alias("ext"),
-        ext_key.alias("ext_key"),
-        textual.alias("is_text"),
-        sniff.has_nul(content).alias("is_binary"),
-        F.when(textual, tokens.file_tokens(ext_key, text))
-        .otherwise(0).alias("tokens"),
-        size_bucket(F.col("size_bytes")).alias("size_bucket"),
-    ]
-    if as_of is not None:
-        columns.append(age_bucket(F.col("mtime"), as_of).alias("age_bucket"))
-    if not with_lines:
+    textual = functools.cache(lambda: sniff.is_text(ext_key, bytes_of(corpus)))
+    makers: dict[str, Callable[[], Column]] = {
+        "size_bytes": lambda: F.col("size_bytes"),
+        "mtime": lambda: F.col("mtime"),
+        "ext": lambda: P.extension(path),
+        "ext_key": lambda: ext_key,
+        "is_text": textual,
+        "is_binary": lambda: sniff.has_nul(bytes_of(corpus)),
+        "tokens": lambda: F.when(textual(), tokens.file_tokens(ext_key, text_of(corpus))).otherwise(0),
+        "size_bucket": lambda: size_bucket(F.col("size_bytes")),
+        "age_bucket": lambda: age_bucket(F.col("mtime"), as_of),
+    }
+    if "mtime" not in corpus.columns:
+        del makers["mtime"]
+    if as_of is None:
+        del makers["age_bucket"]
+    wanted = makers if only is None else [n for n in makers if n in only]
+    columns = ["relpath", F.lit(1).cast("long").alias("files"), *[makers[n]().alias(n) for n in wanted]]
+    if not with_lines or only is not None:
         return corpus.select(*columns)
+    text = text_of(corpus)
     codes = linecodes.line_codes(ext_key, text)
     coded = _once(corpus, "codes", F.when(ext_key.isNotNull(), codes))
     return coded.select(

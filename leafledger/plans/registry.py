@@ -54,8 +54,8 @@ def _union(spark: SparkSession, sf: str) -> DataFrame:
     return D.corpus(spark, sf).select(columns).unionByName(D.page_corpus(spark, sf).select(columns))
 
 
-def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return S.facts(_union(spark, sf), with_lines=False)
+def _facts(spark: SparkSession, sf: str, *only: str) -> DataFrame:
+    return S.facts(_union(spark, sf), only=only)
 
 
 def _line_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,7 +264,7 @@ def tokens_default(spark, sf):
 
 @query
 def estimate_tokens(spark, sf):
-    return _facts(spark, sf).select("relpath", "tokens")
+    return _facts(spark, sf, "tokens").select("relpath", "tokens")
 
 
 @query
@@ -287,22 +287,22 @@ def directory_count(spark, sf):
 
 @query
 def average_file_size(spark, sf):
-    return S.average_file_size(_facts(spark, sf))
+    return S.average_file_size(_facts(spark, sf, "size_bytes"))
 
 
 @query
 def extension_topk(spark, sf):
-    return S.extension_counts(_facts(spark, sf), 5)
+    return S.extension_counts(_facts(spark, sf, "ext", "size_bytes"), 5)
 
 
 @query
 def size_distribution(spark, sf):
-    return S.size_distribution(_facts(spark, sf))
+    return S.size_distribution(_facts(spark, sf, "size_bucket"))
 
 
 @query
 def mtime_distribution(spark, sf):
-    return S.mtime_distribution(S.facts(D.corpus(spark, sf), AS_OF, with_lines=False))
+    return S.mtime_distribution(S.facts(D.corpus(spark, sf), AS_OF, only=("mtime", "age_bucket")))
 
 
 @query
@@ -322,17 +322,17 @@ def complex_files(spark, sf):
 
 @query
 def language_stats(spark, sf):
-    return S.language_stats(_facts(spark, sf))
+    return S.language_stats(_facts(spark, sf, "ext_key", "size_bytes"))
 
 
 @query
 def language_extensions(spark, sf):
-    return S.language_extensions(_facts(spark, sf))
+    return S.language_extensions(_facts(spark, sf, "ext_key", "size_bytes"))
 
 
 @query
 def top_languages(spark, sf):
-    return S.top_languages(_facts(spark, sf), 4)
+    return S.top_languages(_facts(spark, sf, "ext_key", "size_bytes"), 4)
 
 
 @query

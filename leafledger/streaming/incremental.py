@@ -27,11 +27,14 @@ _FACTS = (
 )
 
 
-def _facts(spark: SparkSession, folder: str, mtime: str, before: int | None = None) -> DataFrame:
-    """The facts of each file from the last batch that names it; removed files are left out."""
+def _facts(spark: SparkSession, folder: str, mtime: str, before: int | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """The facts of each file, or of those at ``paths``, from the last batch that names it (or the last
+    one ``before``); removed files are left out."""
     rows = read_batches(spark, f"{folder}/{FACTS}", _FACTS.format(mtime=mtime))
     if before is not None:
         rows = rows.where(F.col("batch") < before)
+    if paths is not None:
+        rows = rows.join(paths.select("relpath"), "relpath", "left_semi")
     values = [c for c in rows.columns if c not in ("relpath", "batch")]
     last = rows.groupBy("relpath").agg(F.max_by(F.struct(*values), F.col("batch")).alias("f"))
     return last.where("f.files > 0").select("relpath", *[F.col(f"f.{c}").alias(c) for c in values])
@@ -57,7 +60,7 @@ def take_in(changed: DataFrame, folder: str, number: int, as_of: dt.datetime, re
     rows = here.select("relpath", *names).union(changed.where(gone).select("relpath", *none))
     rows.write.mode("overwrite").parquet(f"{folder}/{FACTS}/batch={number}")
     written = spark.read.schema(rows.schema).parquet(f"{folder}/{FACTS}/batch={number}")
-    replaced = _facts(spark, folder, mtime, number).join(written.select("relpath"), "relpath", "left_semi")
+    replaced = _facts(spark, folder, mtime, number, written)
     parts = _signed(written.where("files > 0"), 1).unionByName(_signed(replaced, -1))
     sums = parts.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in S.MEASURES])
     sums.write.mode("overwrite").parquet(f"{folder}/{SUMS}/batch={number}")

@@ -125,3 +125,10 @@ def test_whole_profile(corpus):
     for name in found.tables:
         found[name].collect()
     found.release()
+
+
+def test_only_what_is_named_is_built(corpus):
+    narrow = S.facts(corpus(FILES), only=("ext", "size_bytes"))
+    assert narrow.columns == ["relpath", "files", "size_bytes", "ext"]
+    whole = S.facts(corpus(FILES), with_lines=False)
+    assert sorted(map(tuple, S.extension_counts(narrow).collect())) == sorted(map(tuple, S.extension_counts(whole).collect()))
