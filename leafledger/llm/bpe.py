@@ -129,8 +129,8 @@ def _boundaries(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def _cut(chunk: int):
-    """The text of a piece from the chunks it lies in."""
+def _piece_ids(chunk: int, path: str, pattern: str):
+    """The ids of a piece, whose text is put together from the chunks it lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,16 +139,17 @@ def _cut(chunk: int):
                 text = "".join([p["part"][:chunk] for p in own[:-1]] + [own[-1]["part"]])
                 at = own[0]["seq"] * chunk
                 stop = None if end.as_py() is None else end.as_py() - at
+                ids = encode_text(text[begin.as_py() - at : stop], path, pattern)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest.as_py()]), pa.array([piece.as_py()], pa.int32()), pa.array([text[begin.as_py() - at : stop]])],
-                    ["digest", "piece", "text"],
+                    [pa.array([digest.as_py()]), pa.array([piece.as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int32()))],
+                    ["digest", "piece", "ids"],
                 )
 
     return run
 
 
-def pieces_of(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """``digest``, ``piece``, ``text``: distinct long ``texts`` (digest, text) cut where matching is certain.
+def encoded_pieces(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """``digest``, ``piece``, ``ids``: distinct long ``texts`` (digest, text) cut where matching is certain.
 
     Neighbouring chunks match the text apart. From the first cut point that both have found in
     their common part they agree, so the text is cut there; where they have none (a run longer
@@ -162,6 +163,7 @@ def pieces_of(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataF
         _boundaries(pattern, chunk, overlap),
         "digest string, seq int, last boolean, heads array<long>, tails array<long>",
     )
+    bounds = stored(bounds, "bounds")
     after = bounds.select("digest", (F.col("seq") + 1).alias("seq"), "tails")
     met = bounds.select("digest", "seq", "heads").join(after, ["digest", "seq"], "left")
     met = met.select("digest", "seq", F.array_min(F.array_intersect("heads", "tails")).alias("cut"))
@@ -176,7 +178,8 @@ def pieces_of(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataF
         .groupBy("digest", "piece").agg(F.sort_array(F.collect_list(F.struct("seq", "part"))).alias("parts"))
     )
     whole = grouped.join(starts, ["digest", "piece"]).join(ends, ["digest", "piece"], "left")
-    return whole.select("digest", "piece", "begin", "end", "parts").mapInArrow(_cut(chunk), "digest string, piece int, text string")
+    whole = whole.select("digest", "piece", "begin", "end", "parts")
+    return whole.mapInArrow(_piece_ids(chunk, path, pattern), "digest string, piece int, ids array<int>")
 
 
 def encode(
@@ -208,7 +211,7 @@ def encode(
         decoded = free_name([*(c for c in docs.columns if c != text_column), name], decoded)
     done = _with_ids(short, text_column, name, path, pattern, decoded)
     distinct = long.select(F.col(digest).alias("digest"), F.col(text_column).alias("text")).dropDuplicates(["digest"])
-    pieces = _with_ids(pieces_of(distinct, pattern, chunk, overlap), "text", "ids", path, pattern)
+    pieces = encoded_pieces(distinct, path, pattern, chunk, overlap)
     joined = pieces.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("all"))
     joined = joined.select(F.col("digest").alias(digest), F.flatten("all.ids").alias(name))
     rest = long.drop(text_column).join(joined, digest).drop(digest)
