@@ -25,6 +25,8 @@ ROUNDS = 24
 #: followed by one of four times the size.
 ROOM = 2
 GROWTH = 4
+#: Bits of the number of an entry in an array.
+_NUMBER = 28
 #: Sizes grow beyond any array before these end; then two digests have equal hashes, an error.
 TRIES = 14
 #: Units that a rolling hash covers, and one of how many hashes ends a piece of a line; lines of
@@ -82,20 +84,30 @@ def _entries(key: Column, n: Column, size: Column, salt: Column) -> Column:
 
 
 def _summed(entries: Column) -> Column:
-    """Cells of entries: counts added, digests and check sums combined by xor; empty cells left out."""
+    """Cells of entries: counts added, digests and check sums combined by xor; empty cells left out.
 
-    def runs(e: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (e[i]["p"] != e[i - 1]["p"]))
-        return _bound(starts, lambda at: F.transform(at, lambda s, j: F.slice(e, s + 1, F.coalesce(F.get(at, j + 1), F.size(e)) - s)))
+    What is sorted are numbers, a place and the number of an entry each, as they compare faster than
+    the entries themselves.
+    """
 
-    def cell(run: Column) -> Column:
-        return F.aggregate(
-            F.slice(run, F.lit(2), F.size(run)), run[0],
-            lambda c, x: _entry(c["p"], c["n"] + x["n"], c["k"].bitwiseXOR(x["k"]), c["h"].bitwiseXOR(x["h"])),
-        )
+    def cells(e: Column) -> Column:
+        numbers = F.sort_array(F.transform(e, lambda x, i: F.shiftleft(x["p"], _NUMBER) + i))
+        place = lambda number: F.shiftright(number, _NUMBER)
+        entry = lambda number: e[number.bitwiseAND((1 << _NUMBER) - 1).cast("int")]
+
+        def added(o: Column, at: Column, j: Column, s: Column) -> Column:
+            rest = F.slice(o, s + 2, F.coalesce(F.get(at, j + 1), F.size(o)) - s - 1)
+            return F.aggregate(rest, entry(o[s]), lambda c, x: _bound(
+                entry(x), lambda y: _entry(c["p"], c["n"] + y["n"], c["k"].bitwiseXOR(y["k"]), c["h"].bitwiseXOR(y["h"]))
+            ))
+
+        def folded(o: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (place(o[i]) != place(o[i - 1])))
+            return _bound(starts, lambda at: F.transform(at, lambda s, j: added(o, at, j, s)))
+
+        return F.when(F.size(e) == 0, e).otherwise(_bound(numbers, folded))
 
-    cells = _bound(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, e).otherwise(F.transform(runs(e), cell)))
-    return F.filter(cells, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
+    return F.filter(_bound(entries, cells), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
 
 
 def sketch(keys: Column, size: Column | int = CELLS, salt: Column | int = 0) -> Column:
