@@ -345,7 +345,7 @@ class _Anchor:
     def add(self, context: bytes, places: bytes) -> bytes | None:
         """Takes a context and its places; gives places back where there is no more room for them."""
         if len(places) == _place.itemsize:
-            low = high = _DOC.unpack_from(places, 8)[0]
+            low = high = struct.unpack_from("=q", places, 8)[0]
         else:
             found = np.frombuffer(places, _place)["doc"]
             low, high = int(found.min()), int(found.max())
@@ -354,7 +354,7 @@ class _Anchor:
             last[1], last[2] = min(low, last[1]), max(high, last[2])
         else:
             self.contexts.append([context, low, high])
-        number = _NUMBER.pack(len(self.contexts) - 1)
+        number = struct.pack("=I", len(self.contexts) - 1)
         for at in range(0, len(places), _place.itemsize):
             self.held += number + places[at : at + _place.itemsize]
         if len(self.held) <= HELD:
@@ -363,9 +363,6 @@ class _Anchor:
         return full
 
 
-_NUMBER, _DOC = struct.Struct("=I"), struct.Struct("=q")
-
-
 def _window_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the ``LENGTH`` bytes from each place."""
     out, width, done = np.zeros(data.size, _U), 1, 0
