@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from leafledger.operators.blocks import line_blocks
 from leafledger.session import shared_dir
 
-CORPUS = """
+#: Minutes from 2024-03-01 back to the earliest time that a timestamp can be reckoned to, and one more.
+#: Squares of ids from 392,076 on reach further back and start again from that day.
+AGES = 153_722_867_281
+
+CORPUS = f"""
     doc_id,
     source || '/' || lang || '/' || (CASE WHEN doc_id % 41 = 0 THEN '.' ELSE '' END)
       || 'doc_' || CAST(doc_id AS STRING)
@@ -24,7 +28,7 @@ CORPUS = """
            WHEN 6 THEN '.PY'   WHEN 7 THEN ''      WHEN 8 THEN '.tar.gz'
            ELSE '.log' END AS relpath,
     CAST(octet_length(text) AS BIGINT) AS size_bytes,
-    timestampadd(MINUTE, -(doc_id * doc_id), TIMESTAMP_NTZ '2024-03-01 00:00:00') AS mtime,
+    timestampadd(MINUTE, -CAST(CAST(doc_id AS DECIMAL(19)) * doc_id % {AGES} AS BIGINT), TIMESTAMP_NTZ '2024-03-01 00:00:00') AS mtime,
     source, lang, text
 """
 
