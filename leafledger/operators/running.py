@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql.window import WindowSpec
 
 SAMPLES_PER_BUCKET = 16
 
-_BUCKET, _OFFSET, _PART, _BOUNDS = "__bucket", "__offset", "__part", "__bounds"
+_BUCKET, _OFFSET, _PART, _BOUNDS, _CUT = "__bucket", "__offset", "__part", "__bounds", "__cut"
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -61,10 +62,15 @@ def with_range(df: DataFrame, columns: Sequence[str], bounds: Column, name: str)
     return df.withColumn(_BOUNDS, bounds).withColumn(name, _range_of(columns, F.col(_BOUNDS))).drop(_BOUNDS)
 
 
-def _in_cut_groups(within: Sequence[str], bounds: Column) -> Column:
-    """Groups that a bound falls into; no other group spans ranges."""
-    groups = F.transform(bounds, lambda b: F.struct(*[b[c].alias(c) for c in within]))
-    return F.array_contains(F.array_distinct(groups), _key(within))
+def _in_cut_group(within: Sequence[str], bounds: Column) -> Column:
+    """Whether a bound falls into the row's group; no other group spans ranges.
+
+    If any does, the bound just below the row or the one just above it is in the group, as all keys
+    of a group lie together. So two bounds are compared, however many there are.
+    """
+    beside = (F.get(bounds, F.col(_BUCKET) - 1), F.get(bounds, F.col(_BUCKET)))
+    mine = [functools.reduce(Column.__and__, (b[c].eqNullSafe(F.col(c)) for c in within), b.isNotNull()) for b in beside]
+    return mine[0] | mine[1]
 
 
 def _over_ranges(
@@ -103,7 +109,9 @@ def _over_ranges(
 
     spanning = rows
     if within:
-        spanning = rows.withColumn(_BOUNDS, bounds).where(_in_cut_groups(within, F.col(_BOUNDS))).drop(_BOUNDS)
+        # A generated column, as Spark would move a condition on keys below the aggregation that made the rows.
+        cut = F.explode(F.array(_in_cut_group(within, F.col(_BOUNDS)))).alias(_CUT)
+        spanning = rows.withColumn(_BOUNDS, bounds).select("*", cut).where(_CUT).drop(_BOUNDS, _CUT)
     # Ranges follow the order, so their last keys order them; asking for these
     # makes the summaries need the same columns as the rows.
     rest = [c for c in rows.columns if c not in (*order, part, _BUCKET)]

@@ -32,10 +32,13 @@ def _visible_lines(spark: SparkSession, root: str) -> DataFrame:
     # Within a block ids count its lines; which splits there are follows from sizes and settings.
     blocks = rows.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__lines"))
     ends = running_total(blocks, F.col("__lines"), ["__start"], within=["__file"], name="__end")
-    ends = ends.select("__file", "__start", (F.col("__end") - F.col("__lines") - F.col("__first") + 1).alias("__shift"))
-    relpath = _below(root, F.col("__file"))
+    # Paths are made once per split: per line they cost far more than reading it does. They are a generated
+    # column, as Spark would copy conditions on paths that follow from the address to the lines.
+    shift = (F.col("__end") - F.col("__lines") - F.col("__first") + 1).alias("__shift")
+    ends = ends.select("__file", "__start", shift, F.explode(F.array(_below(root, F.col("__file")))).alias("relpath"))
+    ends = ends.withColumn("ext_key", P.extension_key(F.col("relpath")))
     return rows.join(ends, ["__file", "__start"]).select(
-        relpath.alias("relpath"), P.extension_key(relpath).alias("ext_key"), (F.col("__id") + F.col("__shift")).alias("line_no"), "line"
+        "relpath", "ext_key", (F.col("__id") + F.col("__shift")).alias("line_no"), "line"
     )
 
 
