@@ -8,6 +8,8 @@ neither.  Both are scanned over ranges of blocks, so a file may span any number
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from leafledger.functions import text as TX
 from leafledger.operators.lines import metric_columns
 from leafledger.operators.running import carried, running_total
 from leafledger.schema import require, text_of
+from leafledger.session import shared_dir
 
 ORDER, FILE = ["block_no"], ["relpath"]
 
@@ -39,15 +42,22 @@ def with_first_line(blocks: DataFrame) -> DataFrame:
     return ends.withColumn("first_line", F.col("__end") - F.col("lines") + 1).drop("__end")
 
 
+def _stored(coded: DataFrame) -> DataFrame:
+    path = f"{shared_dir(coded.sparkSession)}/codes-{uuid.uuid4().hex}"
+    coded.write.parquet(path)
+    return coded.sparkSession.read.schema(coded.schema).parquet(path)
+
+
 def block_codes(blocks: DataFrame) -> DataFrame:
     """``relpath, ext_key, block_no, codes``: a letter per line, what earlier blocks leave open included.
 
-    Only letters are shuffled, never text.
+    Only letters are shuffled, never text. They are stored in the shared folder, as ranges and sums
+    read them several times and texts should be split once.
     """
     text = text_of(require(blocks, "relpath", "block_no"))
     ext_key = P.extension_key(F.col("relpath"))
     coded = blocks.select("relpath", ext_key.alias("ext_key"), "block_no", linecodes.own_codes(ext_key, text).alias("codes"))
-    seen = carried(coded, linecodes.transition(F.col("codes")), ORDER, within=FILE, name="__open")
+    seen = carried(_stored(coded), linecodes.transition(F.col("codes")), ORDER, within=FILE, name="__open")
     inside = F.coalesce(F.col("__open"), F.lit(False))
     return seen.withColumn("codes", linecodes.codes_after(F.col("codes"), inside)).drop("__open")
 

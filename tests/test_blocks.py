@@ -76,3 +76,21 @@ def test_lines_of_many_splits_are_numbered_as_whole_files(spark, tmp_path):
         assert got == want
     splits = other.read.text(str(tmp_path / "big.txt")).select(F.spark_partition_id().alias("p")).distinct().count()
     assert splits > 20
+
+
+def test_texts_are_split_once(spark):
+    """The plan of kinds starts from stored letters, so texts are read by one job only."""
+    seen = spark.sparkContext.accumulator(0)
+    texts = spark.range(200).selectExpr("'a.go' AS relpath", "id AS block_no", "'/*\n' AS text").repartition(3)
+    counted = texts.mapInArrow(_counting(seen), "relpath string, block_no long, text string")
+    assert blocks.classify_blocks(counted).count() == 200
+    assert seen.value == 200
+
+
+def _counting(seen):
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return run

@@ -81,3 +81,15 @@ def test_nothing_runs_while_a_total_is_planned(spark):
     started = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(started) == 0
+
+
+def test_groups_that_no_bound_falls_into_are_told_from_two_bounds(spark):
+    """A row compares the bounds beside it, not all of them, and no line is asked before it is counted."""
+    lines = spark.range(6000).select((F.col("id") % 300).cast("string").alias("g"), (F.col("id") % 3).alias("at"))
+    counted = lines.groupBy("g", "at").agg(F.count("*").alias("v"))
+    got = running_total(counted, F.col("v"), ["at"], within=["g"], buckets=150)
+    assert {(r.g, r.at): r.running for r in got.collect()} == brute([(r.g, r.at, r.v) for r in counted.collect()])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(transform(__bounds" not in plan and "array_contains" not in plan
+    below = plan[plan.rindex("Generate explode"):]
+    assert "Filter" not in below and "Aggregate" in below
