@@ -94,3 +94,12 @@ def _counting(seen):
             yield batch
 
     return run
+
+
+def test_conditions_on_paths_do_not_decode_them_per_line(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("x\ny\n")
+    rows = read_lines(spark, str(tmp_path)).where("relpath <> 'b.txt'")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in plan if "Filter" in line and "decode" in line]
+    assert sorted((r.relpath, r.line_no, r.line) for r in rows.collect()) == [("a.txt", 1, "x"), ("a.txt", 2, "y")]
