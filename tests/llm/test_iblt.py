@@ -145,3 +145,24 @@ def test_odd_rows(odd, make):
     assert got == brute([(1, "alone\nhere")])
     got, _ = found(make([(None, "a\nb\nc"), (2, None), (1, "")]))
     assert got == brute([(None, "a\nb\nc"), (2, None), (1, "")])
+
+
+def test_large_differences_take_time_in_proportion(spark):
+    """Tens of thousands of digests, which were once compared pair by pair."""
+    a, b = F.sequence(F.lit(0), F.lit(59_999).cast("long")), F.sequence(F.lit(100), F.lit(50_000_000).cast("long"), F.lit(1000))
+    df = spark.range(1).select(a.alias("a"), b.alias("b")).select("a", "b", iblt.fingerprint(F.col("a")).alias("x"), iblt.fingerprint(F.col("b")).alias("y"))
+    both = len(set(range(60_000)) & set(range(100, 50_000_001, 1000)))
+    assert df.select(iblt.difference(*[F.col(c) for c in "abxy"])).first()[0] == 60_000 + 50_000 - 2 * both
+
+
+def test_a_fingerprint_is_the_sketch(spark):
+    rows = [([],), ([5],), (list(range(-3, 400)),), ([2**63 - 1, -(2**63), 0],)]
+    df = spark.createDataFrame(rows, "a array<long>")
+    got = df.select(iblt.fingerprint(F.col("a")).alias("f"), iblt.sketch(F.col("a")).alias("s")).collect()
+    assert all(r.f == r.s for r in got) and len(got) == 4
+
+
+def test_texts_are_shuffled_once(make):
+    docs = make([(i, f"line {i}\nline two of {i}\n") for i in range(50)])
+    plan = iblt.compare_versions(docs)._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" not in plan.split("== Physical Plan ==")[1]
