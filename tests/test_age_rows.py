@@ -51,3 +51,9 @@ def test_growth_closed(written):
     got = written("growth_closed")
     assert {r.window_start: [r.files, r.size_bytes, r.is_closed] for r in got} == days and len(got) == len(days)
     assert all(r.window_end - r.window_start == DAY for r in got)
+
+
+def test_growth_late(written):
+    late = late_ids()
+    assert sorted((r.mtime, r.size_bytes) for r in written("growth_late")) == sorted((at(i), size(i)) for i in late)
+    assert max(late) > 392_076 > 32_621 > min(late)
