@@ -57,3 +57,10 @@ def test_growth_late(written):
     late = late_ids()
     assert sorted((r.mtime, r.size_bytes) for r in written("growth_late")) == sorted((at(i), size(i)) for i in late)
     assert max(late) > 392_076 > 32_621 > min(late)
+
+
+def test_mtime_distribution(written):
+    (got,) = written("mtime_distribution")
+    bounds = [("last_24_hours", 0, 1), ("last_week", 1, 7), ("last_month", 7, 30), ("last_year", 30, 365), ("older", 365, 2**40)]
+    assert {n: got[n] for n, _, _ in bounds} == {n: sum(low * DAY <= NOW - at(i) < high * DAY for i in IDS) for n, low, high in bounds}
+    assert (got.oldest_file, got.newest_file) == (at(392_075), NOW) and at(392_075) == min(map(at, IDS))
