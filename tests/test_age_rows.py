@@ -64,3 +64,13 @@ def test_mtime_distribution(written):
     bounds = [("last_24_hours", 0, 1), ("last_week", 1, 7), ("last_month", 7, 30), ("last_year", 30, 365), ("older", 365, 2**40)]
     assert {n: got[n] for n, _, _ in bounds} == {n: sum(low * DAY <= NOW - at(i) < high * DAY for i in IDS) for n, low, high in bounds}
     assert (got.oldest_file, got.newest_file) == (at(392_075), NOW) and at(392_075) == min(map(at, IDS))
+
+
+def test_profile_incremental(written):
+    left = [i for i in IDS if i % 15 or i % 30 == 0]
+    got = {(r.section, r.item): r for r in written("profile_incremental")}
+    total = got["total", ""]
+    assert (total.files, total.size_bytes, total.oldest, total.newest) == (len(left), sum(map(size, left)), min(map(at, left)), NOW)
+    older = [i for i in left if NOW - at(i) >= 365 * DAY]
+    row = got["age_bucket", "older"]
+    assert (row.files, row.size_bytes, row.oldest, row.newest) == (len(older), sum(map(size, older)), min(map(at, older)), max(map(at, older)))
