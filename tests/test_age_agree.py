@@ -39,3 +39,17 @@ def test_growth_closed_has_the_sums_of_all_windows_without_late_rows(rows_of):
     got = {r.window_start: (r.window_end, r.files, r.size_bytes, r.tokens) for r in rows_of("growth_closed") if r.size_bytes}
     assert {d: v for d, v in got.items() if d not in late} == {d: v for d, v in whole.items() if d not in late}
     assert set(got) <= set(whole) and len(set(got) - late) > 20 and all(v[3] > 0 for v in got.values())
+
+
+def test_growth_late_has_what_closed_windows_lack(rows_of):
+    days = {}
+    for r in rows_of("growth_late"):
+        n, size = days.get(r.mtime // DAY * DAY, (0, 0))
+        days[r.mtime // DAY * DAY] = n + 1, size + r.size_bytes
+    assert sum(n for n, _ in days.values()) > 50
+    for r in rows_of("growth_closed"):
+        n, size = days.get(r.window_start, (0, 0))
+        days[r.window_start] = n + r.files, size + r.size_bytes
+    end = max(days)
+    assert days.pop(end) == (1, 0)  # the row that the second batch brings
+    assert days == {r.window_start: (r.files, r.size_bytes) for r in rows_of("corpus_growth")}
