@@ -5,6 +5,7 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
+from leafledger.operators import profile as S
 from leafledger.plans import registry
 
 IDS = [*range(45), 32_700, *[k * 100_000_007 + j for k in (1, 2, 20, 39) for j in range(15)]]
@@ -53,3 +54,12 @@ def test_growth_late_has_what_closed_windows_lack(rows_of):
     end = max(days)
     assert days.pop(end) == (1, 0)  # the row that the second batch brings
     assert days == {r.window_start: (r.files, r.size_bytes) for r in rows_of("corpus_growth")}
+
+
+def test_mtime_distribution_is_that_of_the_report(rows_of):
+    (got,) = rows_of("mtime_distribution")
+    report = rows_of("profile_report")
+    (total,) = [r for r in report if r.section == "total"]
+    ages = {r.item: r.files for r in report if r.section == "age_bucket"}
+    assert {label: got[label] for label, _ in S.AGE_BUCKETS} == {label: ages.get(label, 0) for label, _ in S.AGE_BUCKETS}
+    assert (got.oldest_file, got.newest_file) == (total.oldest, total.newest) and total.files == len(IDS)
