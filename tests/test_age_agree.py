@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafledger.operators import profile as S
 from leafledger.plans import registry
+from leafledger.sources import tables
 
 IDS = [*range(45), 32_700, *[k * 100_000_007 + j for k in (1, 2, 20, 39) for j in range(15)]]
 DAY = 86_400_000_000
@@ -63,3 +64,12 @@ def test_mtime_distribution_is_that_of_the_report(rows_of):
     ages = {r.item: r.files for r in report if r.section == "age_bucket"}
     assert {label: got[label] for label, _ in S.AGE_BUCKETS} == {label: ages.get(label, 0) for label, _ in S.AGE_BUCKETS}
     assert (got.oldest_file, got.newest_file) == (total.oldest, total.newest) and total.files == len(IDS)
+
+
+def test_profile_incremental_is_the_report_of_the_files_left(spark, folder, rows_of):
+    left = tables.corpus(spark, folder).where("doc_id % 15 <> 0 OR doc_id % 30 = 0")
+    whole = rows_of("", S.profile_report(S.condense(S.facts(left, registry.AS_OF))))
+    got = rows_of("profile_incremental")
+    assert sorted(got) == sorted(whole)
+    (total,) = [r for r in got if r.section == "total"]
+    assert total.files == sum(i % 15 > 0 or i % 30 == 0 for i in IDS) < len(IDS) and min(total.comments, total.tokens, total.code_lines) > 0
