@@ -1,4 +1,8 @@
-"""Embedding near-duplicates: epsilon grid order, blocks of the sequence joined recursively."""
+"""Embedding near-duplicates: epsilon grid order, blocks of the sequence joined recursively.
+
+What travels to every partner of a block is a sketch of a few bytes a dimension; it tells which
+vectors can have a link at all. Only these travel whole, and their cosines decide.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from leafledger.llm.components import connected_components
 from leafledger.llm.forest import Forest
@@ -19,20 +25,39 @@ from leafledger.llm.shared import col, stored
 GRID_DIMENSIONS = 5
 #: Of these, the first ones that blocks are matched by before all are compared.
 KEY_DIMENSIONS = 3
-#: Vectors of a block, the unit that tasks receive, and of a part that is multiplied out.
-BLOCK = 1024
+#: Least width of the cells for that. They are grid cells where those are not smaller.
+KEY_WIDTH = 0.25
+#: Vectors of a block, of a part of it whose sketches are multiplied out, and of one whose vectors are.
+BLOCK = 32_768
+PART = 512
 LEAF = 128
+#: Sketches travel once per group of blocks: groups that a sequence is cut into, and vectors of one at most.
+GROUPS = 10
+GROUP_ROWS = 1 << 20
 #: Vectors that the principal dimensions are fitted on. Any directions give right results.
 FIT_ROWS = 4096
 #: Cosines this close to the threshold are computed again with exact sums.
 DOUBT = 1e-11
+#: More than the rounding of a product of two sketches.
+ROUNDING = 1e-5
+#: Of a node's number, the bits of its place in the block; the others are the block's.
+ROW_BITS = 20
+
+_placed_schema = "dimension int, cell array<int>, vector binary, ids array<long>"
+_sequence_schema = "node long, size long, ids array<long>, vector binary, dimension int, block long, n long, lo array<int>, hi array<int>, sketch binary"
+_kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
-_block_schema = "dimension int, block long, lo array<int>, hi array<int>, nodes binary, sizes binary, vectors binary"
+
+def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` whose other columns are null."""
+    fields = [field.split() for field in schema.split(", ")]
+    arrays = [pa.array(columns[name], _kinds[kind]) if name in columns else pa.nulls(rows, _kinds[kind]) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
 def _usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
-    return vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
+    return F.coalesce(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -41,81 +66,171 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def principal_dimensions(classes: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
+def _width(length: int) -> int:
+    """Dimensions of a sketch: what they leave out of a vector is bounded by its norm alone."""
+    return min(length, 7 + length // 4)
+
+
+def principal_dimensions(rows: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
     """Per vector length, the leading principal directions of a bounded sample.
 
-    The sample has the smallest hashes, so it does not depend on partitions.
+    The sample has distinct vectors with the smallest of some hashes, so it does not depend on partitions.
     """
-    rows = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(fit_rows).collect()
+    hashed = rows.select("vector", F.xxhash64("vector").alias("hash"))
+    distinct = hashed.agg(F.approx_count_distinct("hash")).head()[0]
+    some = hashed.where((F.pmod("hash", F.lit(max(1, distinct // (2 * fit_rows)))) == 0) & _usable(F.col("vector"))).distinct()
     by_length: dict[int, list] = {}
-    for row in rows:
+    for row in some.orderBy("hash", "vector").limit(fit_rows).collect():
         by_length.setdefault(len(row.vector), []).append(row.vector)
     axes = {}
     for length, vectors in by_length.items():
         units = _unit(np.array(vectors, float))
         _, directions = np.linalg.eigh(np.cov(units, rowvar=False, bias=True).reshape(length, length))
-        axes[length] = np.ascontiguousarray(directions[:, ::-1][:, :GRID_DIMENSIONS])
+        axes[length] = np.ascontiguousarray(directions[:, ::-1][:, : _width(length)])
     return axes
 
 
 def _axes(axes: dict[int, np.ndarray], length: int) -> np.ndarray:
-    return axes.get(length, np.eye(length)[:, :GRID_DIMENSIONS])
+    return axes.get(length, np.eye(length)[:, : _width(length)])
+
+
+def _cells(axes: dict[int, np.ndarray], epsilon: float, kind: np.dtype):
+    """Adds the grid cell of each vector, which becomes its bytes. Copies in a batch share a row.
 
+    Vectors that can have no link have dimension 0.
+    """
 
-def _cells(axes: dict[int, np.ndarray], epsilon: float):
-    """Adds the grid cell of each vector; the vector becomes its unit vector in bytes."""
+    def alone(ids: pa.Array) -> pa.RecordBatch:
+        return _batch(_placed_schema, 1, dimension=[0], cell=[[0] * GRID_DIMENSIONS], vector=[b""], ids=[ids.to_pylist()])
+
+    def placed(ids: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+        length = values.shape[1]
+        data = pa.py_buffer(np.ascontiguousarray(values).tobytes())
+        same = pa.Array.from_buffers(pa.binary(length * kind.itemsize), len(values), [None, data]).dictionary_encode().indices.to_numpy()
+        order, starts = np.argsort(same, kind="stable"), np.r_[0, np.cumsum(np.bincount(same))]
+        values = values[order[starts[:-1]]]
+        cells = np.floor(_unit(values.astype(float)) @ _axes(axes, length)[:, :GRID_DIMENSIONS] / epsilon).astype(np.int32)
+        cells = np.pad(cells, ((0, 0), (0, GRID_DIMENSIONS - cells.shape[1])))
+        return _batch(
+            _placed_schema, len(values), dimension=np.full(len(values), length, np.int32), cell=list(cells), vector=[v.tobytes() for v in values],
+            ids=pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids.take(pa.array(order))),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column(2)])
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
             for length in np.unique(lengths):
-                rows = np.flatnonzero(lengths == length)
-                part = batch.take(pa.array(rows))
-                units = _unit(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, length))
-                cells = np.floor(units @ _axes(axes, length) / epsilon).astype(np.int32)
-                cells = np.pad(cells, ((0, 0), (0, GRID_DIMENSIONS - cells.shape[1])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.full(rows.size, length, np.int32)),
-                     pa.array(list(cells), pa.list_(pa.int32())), pa.array([u.tobytes() for u in units], pa.binary())],
-                    ["node", "size", "dimension", "cell", "vector"],
-                )
+                ids, vectors = batch.filter(pa.array(lengths == length)).columns
+                good = np.zeros(len(ids), bool)
+                if length:
+                    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, length) + kind.type(0)
+                    good = np.isfinite(values).all(axis=1) & values.any(axis=1)
+                if good.any():
+                    yield placed(ids.filter(pa.array(good)), values[good])
+                if not good.all():
+                    yield alone(ids.filter(pa.array(~good)))
 
     return run
 
 
-def _blocks(block: int):
-    """Cuts the sorted sequence into blocks with the range of their cells."""
+def _sketch(units: np.ndarray, axes: np.ndarray) -> bytes:
+    """The leading coordinates in one byte each, and per vector the norm of what they leave out."""
+    places = units @ axes
+    scale = (np.maximum(np.abs(places).max(axis=0), 1e-30) / 127).astype(np.float32)
+    codes = np.clip(np.rint(places / scale), -127, 127).astype(np.int8)
+    kept = codes * scale.astype(float)
+    rest = np.sqrt(np.square(units - kept @ axes.T).sum(axis=1)).astype(np.float32)
+    error = np.sqrt(np.square(places - kept).sum(axis=1).max())
+    return b"".join([np.array(codes.shape, np.int32).tobytes(), np.float32([error * 1.0001]).tobytes(), scale.tobytes(), rest.tobytes(), codes.tobytes()])
+
+
+class _Sketches:
+    """The sketches of a block: rows whose products are, but for ``error``, no less than the cosines."""
+
+    def __init__(self, block: int, dimension: int, data) -> None:
+        self.block, self.dimension = block, dimension
+        self.size, width = (int(x) for x in np.frombuffer(data, np.int32, 2))
+        self.error, scale = float(np.frombuffer(data, np.float32, 1, 8)[0]), np.frombuffer(data, np.float32, width, 12)
+        at = 12 + 4 * width
+        self.rows = np.empty((self.size, width + 1), np.float32)
+        np.multiply(np.frombuffer(data, np.int8, self.size * width, at + 4 * self.size).reshape(self.size, width), scale, out=self.rows[:, :width])
+        self.rows[:, width] = np.frombuffer(data, np.float32, self.size, at)
+        places, self.starts = self.rows[:, :width], np.arange(0, self.size, PART)
+        self.reach = float(np.sqrt(np.square(places).sum(axis=1).max()))
+        self.low, self.high = np.minimum.reduceat(places, self.starts), np.maximum.reduceat(places, self.starts)
 
-    def close(dimension, number, rows) -> pa.RecordBatch:
-        nodes, sizes, cells, vectors = zip(*rows)
-        cells = np.array(cells)
-        values = [
-            [dimension], [number], [cells.min(axis=0).tolist()], [cells.max(axis=0).tolist()],
-            [np.array(nodes, np.int64).tobytes()], [np.array(sizes, np.int64).tobytes()], [b"".join(vectors)],
-        ]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], [c.split()[0] for c in _block_schema.split(", ")])
+
+def _possible(a: _Sketches, b: _Sketches, threshold: float, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks, or one given twice, the rows that could link to one of the other.
+
+    A cosine is the product of the kept coordinates, that of what was left out (at most the product
+    of the norms) and those of coordinates with the errors of others. Parts whose boxes are
+    further apart than linked vectors can be are skipped.
+    """
+    same = a is b
+    least = np.float32(threshold - a.error * b.reach - b.error * a.reach - ROUNDING)
+    apart = np.maximum(0, np.maximum(a.low[:, None] - b.high, b.low - a.high[:, None]))
+    near = np.sqrt(np.square(apart).sum(axis=2)) <= math.sqrt(2 - 2 * threshold) + a.error + b.error + ROUNDING
+    of_a, of_b = np.zeros(a.size, bool), np.zeros(b.size, bool)
+    for i, k in zip(*np.nonzero(np.triu(near) if same else near)):
+        x, y = slice(a.starts[i], a.starts[i] + PART), slice(b.starts[k], b.starts[k] + PART)
+        p, q = a.rows[x], b.rows[y]
+        bounds = np.matmul(p, q.T, out=space[: len(p) * len(q)].reshape(len(p), len(q)))
+        if same and i == k:
+            np.fill_diagonal(bounds, -2)
+        if bounds.max() >= least:
+            possible = bounds >= least
+            of_a[x] |= possible.any(axis=1)
+            of_b[y] |= possible.any(axis=0)
+    return of_a, of_b
+
+
+def _blocks(block: int, axes: dict[int, np.ndarray], kind: np.dtype):
+    """Cuts the sorted sequence into blocks. A row is a class of equal vectors with the ids of its
+    members, a block with the range of its cells and its sketches, or the ids of those without links."""
+
+    def close(dimension, number, rows) -> Iterator[pa.RecordBatch]:
+        cells, vectors, ids = zip(*rows)
+        cells, first = np.array(cells), number << ROW_BITS
+        for at in range(0, len(rows), PART):
+            some = ids[at : at + PART]
+            yield _batch(
+                _sequence_schema, len(some), node=np.arange(first + at, first + at + len(some)), size=[len(x) for x in some],
+                ids=some, vector=vectors[at : at + PART],
+            )
+        units = _unit(np.frombuffer(b"".join(vectors), kind).reshape(len(rows), -1).astype(float))
+        yield _batch(
+            _sequence_schema, 1, dimension=[dimension], block=[number], n=[len(rows)], lo=[cells.min(axis=0).tolist()], hi=[cells.max(axis=0).tolist()],
+            sketch=[_sketch(units, _axes(axes, dimension))],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, dimension = TaskContext.get().partitionId() << 32, [], None
+        number, rows, dimension = TaskContext.get().partitionId() << 20, [], None
         for batch in batches:
-            for node, size, length, cell, vector in zip(*(c.to_pylist() for c in batch.columns)):
+            for length, cell, vector, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if not length:
+                    yield _batch(_sequence_schema, 1, ids=[ids])
+                    continue
+                if rows and length == dimension and rows[-1][1] == vector:
+                    rows[-1][2].extend(ids)
+                    continue
                 if rows and (len(rows) == block or length != dimension):
-                    yield close(dimension, number, rows)
+                    yield from close(dimension, number, rows)
                     number, rows = number + 1, []
                 dimension = length
-                rows.append((node, size, cell, vector))
+                rows.append((cell, vector, ids))
         if rows:
-            yield close(dimension, number, rows)
+            yield from close(dimension, number, rows)
 
     return run
 
 
-def _keys(lo: Column, hi: Column, margin: int) -> Column:
-    """The cells of the first dimensions that a block's range covers, widened by a margin."""
+def _keys(lo: Column, hi: Column, wide: int, margin: int) -> Column:
+    """The cells, ``wide`` grid cells each, of the first dimensions that a block's range covers, widened by a margin."""
     keys = F.array(F.array().cast("array<int>"))
     for k in range(KEY_DIMENSIONS):
-        keys = _extended(keys, F.sequence(F.get(lo, k) - margin, F.get(hi, k) + margin))
+        ends = (F.floor(F.get(x, k) / wide).cast("int") for x in (lo, hi))
+        keys = _extended(keys, F.sequence(next(ends) - margin, next(ends) + margin))
     return keys
 
 
@@ -123,11 +238,11 @@ def _extended(keys: Column, side: Column) -> Column:
     return F.flatten(F.transform(keys, lambda key: F.transform(side, lambda x: F.concat(key, F.array(x)))))
 
 
-def _block_pairs(blocks: DataFrame) -> DataFrame:
+def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """Pairs of blocks whose cells are neighbours in every grid dimension."""
-    ranges = blocks.select("dimension", "block", "lo", "hi")
-    one = ranges.select("dimension", F.col("block").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.explode(_keys(F.col("lo"), F.col("hi"), 0)).alias("key"))
-    other = ranges.select("dimension", F.col("block").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(_keys(F.col("lo"), F.col("hi"), 1)).alias("key"))
+    ranges, wide = blocks.select("dimension", "block", "lo", "hi"), max(1, math.ceil(KEY_WIDTH / epsilon))
+    one = ranges.select("dimension", F.col("block").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.explode(_keys(F.col("lo"), F.col("hi"), wide, 0)).alias("key"))
+    other = ranges.select("dimension", F.col("block").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(_keys(F.col("lo"), F.col("hi"), wide, 1)).alias("key"))
     near = F.lit(True)
     for k in range(GRID_DIMENSIONS):
         near &= (F.get("a_lo", k) - 1 <= F.get("b_hi", k)) & (F.get("b_lo", k) - 1 <= F.get("a_hi", k))
@@ -135,6 +250,57 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
     return met.select("dimension", "a", "b").distinct()
 
 
+def _tiles(blocks: DataFrame, epsilon: float) -> DataFrame:
+    """Blocks with their sketches, dealt to tasks by pairs of groups: ``tile``, ``own`` (a group with itself), ``group``.
+
+    A block goes to at most as many tiles as there are groups, and only where it has a near partner.
+    """
+    heads = blocks.select("dimension", "block", "n", "lo", "hi")
+    total = heads.agg(F.sum("n")).head()[0] or 0
+    rows = min(GROUP_ROWS, max(1, math.ceil(total / GROUPS)))
+    groups = total // rows + 1
+    before = F.sum("n").over(W.Window.orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1))
+    grouped = heads.select("block", F.floor(F.coalesce(before, F.lit(0)) / rows).alias("group"))
+    side = lambda name: grouped.select(F.col("block").alias(name), F.col("group").alias(f"{name}_group"))
+    pairs = _block_pairs(heads, epsilon).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.withColumn("tile", F.expr("b_group * (b_group + 1) div 2 + a_group")).withColumn("own", F.expr("a_group = b_group"))
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("block"), F.col(f"{x}_group").alias("group")) for x in "ab"]))
+    dealt = pairs.select("tile", "own", ends.alias("end")).select("tile", "own", "end.*").distinct()
+    dealt = dealt.join(blocks.select("block", "dimension", "sketch"), "block").select("tile", "own", "group", "block", "dimension", "sketch")
+    tiles = groups * (groups + 1) // 2
+    return dealt.repartitionById(tiles, F.pmod("tile", F.lit(tiles)).cast("int")).sortWithinPartitions("tile", "block")
+
+
+def _candidates(threshold: float):
+    """Per pair of blocks, the nodes that could have a link there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, first, held = None, None, []
+        space = np.empty(PART * PART, np.float32)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number, own, group, block, dimension = (batch.column(c)[row].as_py() for c in range(5))
+                if number != tile:
+                    tile, first, held = number, group, []
+                b = _Sketches(block, dimension, batch.column(5)[row].as_buffer())
+                if group == first:
+                    held.append(b)
+                    if not own:
+                        continue
+                found = []
+                for a in held:
+                    if a.dimension == dimension:
+                        of_a, of_b = (np.flatnonzero(x) for x in _possible(a, b, threshold, space))
+                        nodes = [(a.block << ROW_BITS) + of_a, (b.block << ROW_BITS) + of_b]
+                        if of_a.size:
+                            found.append((a.block, b.block, np.unique(np.concatenate(nodes))))
+                if found:
+                    a_blocks, b_blocks, nodes = zip(*found)
+                    yield _batch("a long, b long, nodes array<long>", len(found), a=a_blocks, b=b_blocks, nodes=nodes)
+
+    return run
+
+
 class _Side:
     def __init__(self, nodes: bytes, sizes: bytes, vectors: bytes, axes: np.ndarray) -> None:
         self.nodes, self.sizes = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64)
@@ -184,24 +350,25 @@ def links_between(a: _Side, b: _Side, same: bool, threshold: float, leaf: int =
     return counts[0], counts[1], forest
 
 
-def _join(axes: dict[int, np.ndarray], threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                length, a_block, b_block, *parts = (c[row].as_py() for c in batch.columns)
-                own, same = _axes(axes, length), a_block == b_block
-                a = _Side(*parts[:3], own)
-                b = a if same else _Side(*parts[3:], own)
-                of_a, of_b, forest = links_between(a, b, same, threshold)
-                nodes = a.nodes if same else np.concatenate([a.nodes, b.nodes])
-                counts = of_a + of_b if same else np.concatenate([of_a, of_b])
-                some = np.flatnonzero(counts)
-                linked, root = forest.stars()
-                kinds = np.r_[np.zeros(some.size, bool), np.ones(linked.size, bool)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds), pa.array(np.r_[nodes[some], nodes[linked]]), pa.array(np.r_[counts[some], nodes[root]])],
-                    ["is_link", "node", "value"],
-                )
+def _join(axes: dict[int, np.ndarray], threshold: float, kind: np.dtype):
+    """The links of the possible nodes of a pair of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a_block, b_block = table["a"][0].as_py(), table["b"][0].as_py()
+        table = table.sort_by("node")
+        nodes, sizes = table["node"].to_numpy(), table["size"].to_numpy()
+        units = _unit(np.frombuffer(b"".join(table["vector"].to_pylist()), kind).reshape(nodes.size, -1).astype(float))
+        grid = _axes(axes, units.shape[1])[:, :GRID_DIMENSIONS]
+        side = lambda own: _Side(nodes[own].tobytes(), sizes[own].tobytes(), units[own].tobytes(), grid)
+        of_a, same = nodes >> ROW_BITS == a_block, a_block == b_block
+        a = side(of_a)
+        b = a if same else side(~of_a)
+        of_a, of_b, forest = links_between(a, b, same, threshold)
+        counts = of_a + of_b if same else np.concatenate([of_a, of_b])
+        some = np.flatnonzero(counts)
+        linked, root = forest.stars()
+        kinds = np.r_[np.zeros(some.size, bool), np.ones(linked.size, bool)]
+        return pa.table([kinds, np.r_[nodes[some], nodes[linked]], np.r_[counts[some], nodes[root]]], ["is_link", "node", "value"])
 
     return run
 
@@ -219,30 +386,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     epsilon = math.sqrt(2 - 2 * threshold) + 1e-6
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), col(vector_column).cast("array<double>").alias("vector"))
-    usable = F.coalesce(_usable(F.col("vector")), F.lit(False))
-    found = rows.where(usable).groupBy("vector").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("size"))
-    classes = stored(stored(found, "vectors").withColumn("node", F.monotonically_increasing_id()), "classes")
-    axes = principal_dimensions(classes, FIT_ROWS)
+    single = vectors.select(col(vector_column)).schema[0].dataType.simpleString() == "array<float>"
+    kind = np.dtype("<f4" if single else "<f8")
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), col(vector_column).cast(f"array<{'float' if single else 'double'}>").alias("vector"))
+    axes = principal_dimensions(rows, FIT_ROWS)
     shared = vectors.sparkSession.sparkContext.broadcast(axes).value
-    placed = classes.select("node", "size", "vector").mapInArrow(_cells(shared, epsilon), "node long, size long, dimension int, cell array<int>, vector binary")
-    order = ["dimension", "cell", "node"]
-    sequence = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = stored(sequence.mapInArrow(_blocks(BLOCK), _block_schema), "blocks")
-    payload = lambda side: blocks.select(F.col("block").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("nodes", "sizes", "vectors")])
-    pairs = _block_pairs(blocks).join(payload("a"), "a").join(payload("b"), "b")
-    pairs = pairs.select("dimension", "a", "b", "a_nodes", "a_sizes", "a_vectors", "b_nodes", "b_sizes", "b_vectors")
-    met = stored(pairs.mapInArrow(_join(shared, threshold), "is_link boolean, node long, value long"), "links")
-    counts = met.where("not is_link").groupBy("node").agg(F.sum("value").alias("others"))
-    groups = connected_components(met.where("is_link"), "node", "value")
-    member = classes.select("node", "smallest").join(groups, "node")
+    order = ["dimension", "cell", "vector"]
+    sequence = rows.mapInArrow(_cells(shared, epsilon, kind), _placed_schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    sequence = stored(sequence.mapInArrow(_blocks(BLOCK, shared, kind), _sequence_schema), "sequence")
+    classes = sequence.where("node is not null")
+    met = stored(_tiles(sequence.where("block is not null"), epsilon).mapInArrow(_candidates(threshold), "a long, b long, nodes array<long>"), "candidates")
+    pairs = met.select("a", "b", F.explode("nodes").alias("node")).join(classes.select("node", "size", "vector"), "node")
+    links = stored(pairs.groupBy("a", "b").applyInArrow(_join(shared, threshold, kind), "is_link boolean, node long, value long"), "links")
+    counts = links.where("not is_link").groupBy("node").agg(F.sum("value").alias("others"))
+    groups = connected_components(links.where("is_link"), "node", "value")
+    member = classes.select("node", F.array_min("ids").alias("smallest")).join(groups, "node")
     lowest = member.groupBy("component").agg(F.min("smallest").alias("lowest"))
     named = member.join(lowest, "component").select("node", "lowest")
-    labels = classes.join(counts, "node", "left").join(named, "node", "left").select(
-        "vector",
+    labels = classes.select("node", "size", "ids").join(counts, "node", "left").join(named, "node", "left")
+    linked = labels.select(
+        F.explode("ids").alias("vec_id"),
         (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-        F.coalesce("lowest", "smallest").alias("component_id"),
+        F.coalesce("lowest", F.array_min("ids")).alias("component_id"),
     )
-    linked = rows.where(usable).join(labels, "vector").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = sequence.where("node is null and block is null").select(F.explode("ids").alias("vec_id"))
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

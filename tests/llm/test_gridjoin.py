@@ -1,3 +1,7 @@
+import contextlib
+import os
+import threading
+
 import numpy as np
 import pytest
 
@@ -58,3 +62,73 @@ def test_distant_parts_are_skipped():
     sides = [gridjoin._Side(np.arange(300).tobytes(), np.ones(300, int).tobytes(), v.tobytes(), np.eye(4)) for v in (a, b)]
     of_a, of_b, forest = gridjoin.links_between(*sides, False, 0.95)
     assert not of_a.any() and not of_b.any() and not forest.stars()[0].size
+
+
+def disk_of(spark, run):
+    """Bytes of the local files that Spark makes meanwhile, those that it deletes again included."""
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    seen, ended = {}, threading.Event()
+
+    def look():
+        for path in (os.path.join(at, name) for folder in folders for at, _, names in os.walk(folder) for name in names):
+            with contextlib.suppress(OSError):
+                seen[path] = max(seen.get(path, 0), os.path.getsize(path))
+
+    def watch():
+        while not ended.wait(0.05):
+            look()
+
+    look()
+    before = sum(seen.values())
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        run()
+    finally:
+        ended.set()
+        watcher.join()
+    return sum(seen.values()) - before
+
+
+def test_disk_does_not_grow_with_the_square_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(gridjoin, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    tables = [frame(spark, enumerate(rng.normal(size=(n, 64)).tolist())) for n in (1000, 4000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        few, many = (disk_of(spark, lambda: gridjoin.near_vectors(vectors).collect()) for vectors in tables)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert many < 6 * few
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.95, 0.999])
+@pytest.mark.parametrize("length, spread", [(1, 1.0), (3, 0.1), (24, 0.3), (64, 0.05), (64, 0.3)])
+def test_sketches_leave_out_no_link(monkeypatch, threshold, length, spread):
+    monkeypatch.setattr(gridjoin, "PART", 16)
+    rng = np.random.default_rng(length)
+    units = gridjoin._unit(np.repeat(rng.normal(size=(10, length)), 20, axis=0) + spread * rng.normal(size=(200, length)))
+    axes = np.linalg.qr(rng.normal(size=(length, length)))[0][:, : gridjoin._width(length)]
+    a, b = (gridjoin._Sketches(k, length, gridjoin._sketch(units[k::2], axes)) for k in range(2))
+    linked = units[0::2] @ units[1::2].T >= threshold
+    own = units[0::2] @ units[0::2].T >= threshold
+    np.fill_diagonal(own, False)
+    space = np.empty(16 * 16, np.float32)
+    of_a, of_b = gridjoin._possible(a, b, threshold, space)
+    assert (of_a >= linked.any(axis=1)).all() and (of_b >= linked.any(axis=0)).all()
+    of_a, of_b = gridjoin._possible(a, a, threshold, space)
+    assert ((of_a | of_b) >= own.any(axis=1)).all()
+
+
+def test_sketches_tell_unlike_vectors_apart():
+    units = gridjoin._unit(np.random.default_rng(7).normal(size=(2000, 64)))
+    sketches = gridjoin._Sketches(0, 64, gridjoin._sketch(units, np.eye(64)[:, : gridjoin._width(64)]))
+    of_a, of_b = gridjoin._possible(sketches, sketches, 0.95, np.empty(gridjoin.PART**2, np.float32))
+    assert (of_a | of_b).sum() < 100
+
+
+def test_copies_in_several_partitions(spark):
+    zero = [[0.0, 1.0], [-0.0, 1.0], [0.0, 2.0], [1.0, 0.0]]
+    rows = [(k, zero[k % 4]) for k in range(80)] + [(k, None) for k in range(80, 90)]
+    got = [tuple(r) for r in gridjoin.near_vectors(frame(spark, rows).repartition(7)).collect()]
+    assert sorted(got, key=str) == brute(rows)
