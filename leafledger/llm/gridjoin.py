@@ -27,7 +27,7 @@ GRID_DIMENSIONS = 5
 KEY_DIMENSIONS = 3
 #: Least width of the cells for that. They are grid cells where those are not smaller.
 KEY_WIDTH = 0.25
-#: Vectors of a block, of a part of it whose sketches are multiplied out, and of one whose vectors are.
+#: Vectors of a block (as many as a bitmap has bits), of a part of it whose sketches are multiplied out, and of one whose vectors are.
 BLOCK = 32_768
 PART = 512
 LEAF = 128
@@ -301,6 +301,15 @@ def _candidates(threshold: float):
     return run
 
 
+def _marked(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes that are among ``nodes``. A bitmap per block finds them, so the others are not shuffled."""
+    block, row = F.shiftright("node", ROW_BITS).alias("block"), F.col("node").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("row")
+    marks = nodes.select(block, row).groupBy("block").agg(F.bitmap_construct_agg("row").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.expr("int(row div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    found = classes.withColumns({"block": block, "row": row}).join(F.broadcast(marks), "block")
+    return found.withColumn("byte", byte).where("shiftright(byte, int(row % 8)) & 1 = 1").drop("block", "row", "marks", "byte")
+
+
 class _Side:
     def __init__(self, nodes: bytes, sizes: bytes, vectors: bytes, axes: np.ndarray) -> None:
         self.nodes, self.sizes = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64)
@@ -396,7 +405,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "
     sequence = stored(sequence.mapInArrow(_blocks(BLOCK, shared, kind), _sequence_schema), "sequence")
     classes = sequence.where("node is not null")
     met = stored(_tiles(sequence.where("block is not null"), epsilon).mapInArrow(_candidates(threshold), "a long, b long, nodes array<long>"), "candidates")
-    pairs = met.select("a", "b", F.explode("nodes").alias("node")).join(classes.select("node", "size", "vector"), "node")
+    nodes = met.select("a", "b", F.explode("nodes").alias("node"))
+    pairs = nodes.join(_marked(classes.select("node", "size", "vector"), nodes), "node")
     links = stored(pairs.groupBy("a", "b").applyInArrow(_join(shared, threshold, kind), "is_link boolean, node long, value long"), "links")
     counts = links.where("not is_link").groupBy("node").agg(F.sum("value").alias("others"))
     groups = connected_components(links.where("is_link"), "node", "value")

@@ -132,3 +132,12 @@ def test_copies_in_several_partitions(spark):
     rows = [(k, zero[k % 4]) for k in range(80)] + [(k, None) for k in range(80, 90)]
     got = [tuple(r) for r in gridjoin.near_vectors(frame(spark, rows).repartition(7)).collect()]
     assert sorted(got, key=str) == brute(rows)
+
+
+def test_marked_classes_are_those_named(spark):
+    rng = np.random.default_rng(9)
+    nodes = [(int(block) << gridjoin.ROW_BITS) + int(row) for block in (0, 3, 5 << 20) for row in {0, 7, 8, 32767, *rng.integers(0, 32768, 200)}]
+    every = spark.createDataFrame([(node, 1) for node in nodes], "node long, size long")
+    some = nodes[::3]
+    got = gridjoin._marked(every, spark.createDataFrame([(node,) for node in some + some[:9]], "node long"))
+    assert got.columns == ["node", "size"] and sorted(r.node for r in got.collect()) == sorted(some)
